@@ -12,9 +12,9 @@ similarity 0.85 a symbol differs with probability 0.15, so all chunks fail with
 
 A bucket of documents with one key is never expanded into all pairs. First each member is verified
 against the bucket's smallest document, then against the member with most confirmed links; what
-these leave in one component needs no further comparison. Pairs of a bucket that still lie in
-different components are compared by the signature inside the join, those that may reach the
-threshold are verified, so no link between components is lost.
+these leave in one component needs no further comparison. Members of buckets that still hold
+different components meet by a prefix filter over their shingles, rarest first, and those pairs whose
+overlap can still suffice are verified, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,9 +31,6 @@ from kerbline.llm.common import Scratch, connected_components, mix64, shingle_ha
 
 CHUNKS, WIDTH, ERRORS = 9, 6, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Symbols that may differ in the signatures of a pair worth verifying. At similarity 0.85 the number
-#: is binomial(54, 0.15): more than 24 with probability 5e-8.
-VERIFY_DISTANCE = 24
 SHINGLE_WORDS = 5
 
 _RNG = np.random.default_rng(77)
@@ -42,7 +39,7 @@ _ADD = _RNG.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
 _KEPT = np.array([[c * WIDTH + i for i in kept] for c in range(CHUNKS) for kept in combinations(range(WIDTH), WIDTH - ERRORS)])
 _KEY_STEP = _RNG.integers(0, 2**63, WIDTH - ERRORS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 4096
-_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, planes array<long>"
+_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
 def _signature(shingles: np.ndarray) -> np.ndarray:
@@ -54,20 +51,18 @@ def _signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    place = np.uint64(1) << np.arange(SYMBOLS, dtype=np.uint64)
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             shingles = np.unique(shingle_hashes(word_hashes(text), SHINGLE_WORDS))
             if not len(shingles):
-                rows.append((doc_id, 0, 0, 0, None, None))
+                rows.append((doc_id, 0, 0, 0, None))
                 continue
             symbols = _signature(shingles)
             keys = mix64((symbols[_KEPT] * _KEY_STEP).sum(axis=1, dtype=np.uint64) + np.arange(len(_KEPT), dtype=np.uint64) * np.uint64(_STRIDE))
-            planes = [int(((symbols >> np.uint64(b) & np.uint64(1)) * place).sum(dtype=np.uint64)) for b in range(4)]
             whole = mix64(shingles)
-            rows.append((doc_id, len(shingles), int(whole.sum(dtype=np.uint64).view(np.int64)), int(mix64(whole ^ np.uint64(_STRIDE)).sum(dtype=np.uint64).view(np.int64)), keys.view(np.int64), planes))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "keys", "planes"])
+            rows.append((doc_id, len(shingles), int(whole.sum(dtype=np.uint64).view(np.int64)), int(mix64(whole ^ np.uint64(_STRIDE)).sum(dtype=np.uint64).view(np.int64)), keys.view(np.int64)))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
 
 
 _STRIDE = 0xA24BAED4963EE407
@@ -89,6 +84,42 @@ def _verify(percent: int):
     return run
 
 
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(word_hashes(text), SHINGLE_WORDS)).view(np.int64) for text in batch["text"]]
+        yield pd.DataFrame({"id": batch["doc_id"], "shingles": sets})
+
+
+def _could_link(rows: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """rows: (id, component, n) of open buckets -> pairs (a, b) of different components that may link.
+
+    Shingles are ordered by how rare they are among these documents. Linked sets share one of their
+    first n - ceil(percent / 100 * n) + 1 shingles, and at the first that they share, enough follow in
+    both for the overlap that a link takes. Copies of one text that differ too much to link have
+    rare shingles of their own in front, so they don't meet.
+    """
+    docs = rows.groupBy("id").agg(F.first("component").alias("component"))
+    sets = members.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInPandas(_shingle_rows, "id long, shingles array<long>")
+    sets = scratch.save(sets, "sets").select("id", F.explode("shingles").alias("shingle"))
+    shared = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # shingles of one document alone stand before all others, in any order: a count of them will do
+    common = sets.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))  # a document's own
+    sizes = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+    first = common.join(sizes, "id").withColumn("alone", F.col("n") - F.size("common"))
+    length = F.expr(f"n - ceil({percent} * n / 100) + 1 - alone").cast("int")
+    prefix = first.where(length > 0).select("id", "n", "component", "alone", F.posexplode(F.slice("common", 1, F.greatest(F.lit(1), length))).alias("at", "token"))
+    prefix = prefix.select("id", "n", "component", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("token.shingle").alias("shingle"))
+    counts = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = counts.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
+    prefix = scratch.save(prefix.join(largest.where("components > 1").drop("components"), "shingle"), "prefixes")
+    enough = f"{100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)"
+    return (
+        prefix.where("component <> largest").alias("x")
+        .join(prefix.alias("y"), F.expr(f"x.shingle = y.shingle AND x.component <> y.component AND (y.component = y.largest OR x.id < y.id) AND {enough}"))
+        .select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+    )
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, text, ...) -> one row per document: doc_id, n_shingles, component_id, kept.
 
@@ -107,7 +138,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     of_set = ["n_shingles", "set_a", "set_b"]
     classes = scratch.save(
         features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*of_set)
-        .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("planes").alias("planes")),
+        .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")),
         "classes",
     )
     keyed = classes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
@@ -148,17 +179,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     tried_hub, more = star(second, tried, "hub")
     tried, links = tried.unionByName(tried_hub), links.unionByName(more)
 
-    rows = mixed(links).join(classes.select("id", "planes"), "id").withColumns({f"p{k}": F.col("planes")[k] for k in range(4)}).drop("planes")
-    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = counts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    rows = scratch.save(rows.join(largest, "key"), "open")
-    apart = " + ".join(["0"] + [f"bit_count({' | '.join(f'(x.p{k} ^ y.p{k})' for k in range(4))})"])
-    rest = (
-        rows.where("component <> largest").alias("x")
-        .join(rows.alias("y"), F.expr(f"x.key = y.key AND x.component <> y.component AND (y.component = y.largest OR x.id < y.id) AND {similar_size('x.n', 'y.n')} AND {apart} <= {VERIFY_DISTANCE}"))
-        .select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    rest = _could_link(mixed(links).select("id", "component", "n"), members, percent, scratch).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(rest, "rest-links"))
 
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
