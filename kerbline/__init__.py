@@ -1 +1,8 @@
-"""Listing analytics on Spark: extraction, validation, keyed merges, faceted search."""
+"""Spark-native analytics for marketplace-style listing data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
