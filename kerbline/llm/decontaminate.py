@@ -59,8 +59,12 @@ def _near_values(fingerprint: Column, errors: int) -> Column:
     """(block, value) as one integer, for all values that differ in at most `errors` bits from a block."""
     masks = F.array(*[F.lit(m).cast("long") for m in range(1 << BLOCK_BITS) if m.bit_count() <= errors])
     low = F.lit((1 << BLOCK_BITS) - 1).cast("long")
-    value = lambda b, m: F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(low).bitwiseXOR(m) + F.lit(b << BLOCK_BITS)
-    return F.concat(*[F.transform(masks, lambda m, b=b: value(b, m)) for b in range(BLOCKS)])
+
+    def of_block(b: int) -> Column:
+        value = F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(low)
+        return F.transform(masks, lambda m: value.bitwiseXOR(m) + F.lit(b << BLOCK_BITS))
+
+    return F.concat(*[of_block(b) for b in range(BLOCKS)])
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
@@ -79,38 +83,44 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
 
     of_items = items.select(F.col("n_words").alias("size"), F.posexplode("shingles").alias("q", "h")).distinct()
-    if fits_broadcast(of_items, BROADCAST_ROWS):
-        of_items = F.broadcast(of_items)
+    of_items = _broadcast_if_small(of_items)
+    # posexplode_outer: for a plain one Spark infers a filter on the array, which it would compute twice
     # documents shorter than a shingle have one shingle of fewer words, which is shared likewise
-    places = _with_shingles(docs).select("doc_id", "n_words", F.posexplode("shingles").alias("p", "h"))
+    places = _with_shingles(docs).select("doc_id", "n_words", F.posexplode_outer("shingles").alias("p", "h"))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n_words") - F.col("size")))
     windows = places.join(of_items, "h").select("doc_id", "size", start.alias("start")).distinct()
     windows = scratch.save(windows, "windows")
 
-    touched = windows.select("doc_id").distinct()
-    if fits_broadcast(touched, BROADCAST_ROWS):
-        touched = F.broadcast(touched)
+    touched = _broadcast_if_small(windows.select("doc_id").distinct())
     known = scratch.save(_with_shingles(docs.join(touched, "doc_id", "left_semi")).select("doc_id", "shingles"), "touched")
     cut = F.slice("shingles", F.col("start") + 1, F.greatest(F.lit(1), F.col("size") - (SHINGLE - 1)))
-    prints = windows.join(known, "doc_id").select("doc_id", "start", "size", cut.alias("shingles")).where("size(shingles) > 0")
-    prints = scratch.save(prints.withColumn("fingerprint", _simhash(F.col("shingles"))), "prints")
+    prints = windows.join(known, "doc_id").select("doc_id", "start", "size", cut.alias("shingles"))
+    prints = scratch.save(prints.withColumns({"c1": F.xxhash64("shingles"), "c2": F.xxhash64(F.lit(1), "shingles")}), "prints")
+    # windows of equal content are compared once, however often a passage occurs
+    content = ["size", "c1", "c2"]
+    contents = prints.groupBy(*content).agg(F.first("shingles").alias("shingles")).where("size(shingles) > 0")
+    contents = scratch.save(scratch.save(contents, "contents").withColumn("fingerprint", _simhash(F.col("shingles"))), "fingerprints")
 
     fingerprint = F.col("fingerprint")
-    by_item = items.select("item_id", F.col("n_words").alias("size"), F.explode(_near_values(fingerprint, ITEM_ERRORS)).alias("key"))
-    by_window = prints.select("doc_id", "start", "size", F.explode(_near_values(fingerprint, WINDOW_ERRORS)).alias("key"))
-    met = by_window.join(by_item, ["size", "key"])
-    pair = ["doc_id", "start", "size", "item_id"]
-    met = scratch.save(met.select(*pair).distinct(), "candidates")
+    by_item = items.select("item_id", F.col("n_words").alias("size"), F.explode_outer(_near_values(fingerprint, ITEM_ERRORS)).alias("key"))
+    by_window = contents.select(*content, F.explode_outer(_near_values(fingerprint, WINDOW_ERRORS)).alias("key"))
+    pair = [*content, "item_id"]
+    met = scratch.save(by_window.join(by_item, ["size", "key"]).select(*pair).distinct(), "candidates")
 
-    mine = met.join(prints.select("doc_id", "start", "size", F.explode("shingles").alias("h")), ["doc_id", "start", "size"]).select(*pair, "h", F.lit(1).alias("x"), F.lit(0).alias("y"))
+    mine = met.join(contents.select(*content, F.explode("shingles").alias("h")), content).select(*pair, "h", F.lit(1).alias("x"), F.lit(0).alias("y"))
     theirs = met.join(items.select("item_id", F.explode("shingles").alias("h")), "item_id").select(*pair, "h", F.lit(0).alias("x"), F.lit(1).alias("y"))
     weights = mine.unionByName(theirs).groupBy(*pair, "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     scored = weights.groupBy(*pair).agg(F.sum(F.least("x", "y")).alias("common"), F.sum(F.greatest("x", "y")).alias("total"))
-    scored = scored.where(F.expr(f"100 * common >= {percent} * total"))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("r"), (-F.col("start")).alias("s"), "size", "common", "total")).alias("w"))
+    scored = scratch.save(scored.where(F.expr(f"100 * common >= {percent} * total")), "scored")
+    found = prints.drop("shingles").join(_broadcast_if_small(scored), content)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("r"), (-F.col("start")).alias("s"), "size", "common", "total")).alias("w"))
     return best.select("doc_id", "item_id", (-F.col("w.s")).cast("long").alias("first_word"), F.col("w.size").cast("long").alias("n_words"), "w.common", "w.total")
 
 
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits_broadcast(df, BROADCAST_ROWS) else df
+
+
 def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """Documents that hold no item, all columns as they are. Rows without doc_id stay."""
     found = leaks(documents, benchmark, percent).select("doc_id").distinct()
