@@ -54,6 +54,11 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """`df` marked for broadcast where its rows are few; else Spark shuffles it and splits skewed keys."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
 # ---------------------------------------------------------------------------------------------
 # Hashing of words and word shingles, for code that runs inside tasks
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import Scratch, fits_broadcast
+from kerbline.llm.common import Scratch, broadcast_if_small
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS = 4, 16
@@ -83,7 +83,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
 
     of_items = items.select(F.col("n_words").alias("size"), F.posexplode("shingles").alias("q", "h")).distinct()
-    of_items = _broadcast_if_small(of_items)
+    of_items = broadcast_if_small(of_items, BROADCAST_ROWS)
     # posexplode_outer: for a plain one Spark infers a filter on the array, which it would compute twice
     # documents shorter than a shingle have one shingle of fewer words, which is shared likewise
     places = _with_shingles(docs).select("doc_id", "n_words", F.posexplode_outer("shingles").alias("p", "h"))
@@ -91,7 +91,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
     windows = places.join(of_items, "h").select("doc_id", "size", start.alias("start")).distinct()
     windows = scratch.save(windows, "windows")
 
-    touched = _broadcast_if_small(windows.select("doc_id").distinct())
+    touched = broadcast_if_small(windows.select("doc_id").distinct(), BROADCAST_ROWS)
     known = scratch.save(_with_shingles(docs.join(touched, "doc_id", "left_semi")).select("doc_id", "shingles"), "touched")
     cut = F.slice("shingles", F.col("start") + 1, F.greatest(F.lit(1), F.col("size") - (SHINGLE - 1)))
     prints = windows.join(known, "doc_id").select("doc_id", "start", "size", cut.alias("shingles"))
@@ -112,15 +112,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
     weights = mine.unionByName(theirs).groupBy(*pair, "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     scored = weights.groupBy(*pair).agg(F.sum(F.least("x", "y")).alias("common"), F.sum(F.greatest("x", "y")).alias("total"))
     scored = scratch.save(scored.where(F.expr(f"100 * common >= {percent} * total")), "scored")
-    found = prints.drop("shingles").join(_broadcast_if_small(scored), content)
+    found = prints.drop("shingles").join(broadcast_if_small(scored, BROADCAST_ROWS), content)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("r"), (-F.col("start")).alias("s"), "size", "common", "total")).alias("w"))
     return best.select("doc_id", "item_id", (-F.col("w.s")).cast("long").alias("first_word"), F.col("w.size").cast("long").alias("n_words"), "w.common", "w.total")
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, BROADCAST_ROWS) else df
-
-
 def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """Documents that hold no item, all columns as they are. Rows without doc_id stay."""
     found = leaks(documents, benchmark, percent).select("doc_id").distinct()
