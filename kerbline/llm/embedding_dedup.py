@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import Scratch, broadcast_if_small, connected_components
 
 BLOCKS = 2
-PASSES = 24
+PASSES = 36
 PER_FILTER = 192
 CELL = 512
 #: Classes are joined to their rows by broadcast up to so many; beyond that by a shuffle.

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model over their
 votes, and a linear classifier trained on the posterior labels.
 
-1. Patterns are whole words and word beginnings of PREFIXES letters. Those that are much more frequent
-   in toxic than in other labelled texts are kept: the lexicon. Learning reads at most LABELLED_ROWS
-   labelled rows, chosen by a hash of doc_id, and at most MAX_PATTERNS patterns are kept.
+1. Patterns are whole words and word beginnings of PREFIXES letters. Those that stand in toxic texts
+   much more often than chance allows are kept: the lexicon. What counts is in how many different
+   places, told apart by the word before, so that copies of a text count once. Learning reads at most
+   LABELLED_ROWS labelled rows, chosen by a hash of doc_id, and at most MAX_PATTERNS patterns are kept.
 2. Each kind of pattern is dealt into VOTERS_PER_KIND voters. A voter votes "toxic" for a text in which
    one of its patterns occurs and abstains otherwise.
 3. The label model takes the voters' agreement from all texts that may be learned from (a matrix of
@@ -22,6 +23,7 @@ Only labels of rows with crc32(doc_id as text) mod 3 other than 1 are learned fr
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +39,12 @@ LABELLED_ROWS = 200_000
 #: Bound on the texts with votes that the classifier is fitted to.
 SAMPLE_ROWS = 20_000
 MAX_PATTERNS = 2_000
-#: A pattern needs this many toxic labelled texts, and this share of toxic ones among its texts.
-LEAST_TOXIC_TEXTS = 5
-LEAST_SHARE = 0.8
+#: Patterns in this many toxic labelled texts, with this share of toxic ones, are looked at more closely.
+LEAST_TOXIC_TEXTS = 3
+LEAST_SHARE = 0.5
+CANDIDATES = 20_000
+#: Log of how unlikely a pattern's places must be by chance: one in twenty in a million patterns.
+LEAST_SURPRISE = float(np.log(1e6 / 0.05))
 PREFIXES = (4, 5, 6)
 VOTERS_PER_KIND = 8
 THRESHOLD = 0.7
@@ -96,9 +101,36 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame) -> tuple[list[str], f
     # a beginning that several words of a text share counts once for each: as good for a ratio
     good = counts.where((F.col("x") >= LEAST_TOXIC_TEXTS) & (F.col("x") >= LEAST_SHARE * F.col("n")))
     score = F.col("x") * F.log((F.col("x") + 1) / (F.col("n") - F.col("x") + 1))
-    best = good.orderBy(score.desc(), "pattern").limit(MAX_PATTERNS).select("pattern").collect()  # a bounded lexicon
+    candidates = [r["pattern"] for r in good.orderBy(score.desc(), "pattern").limit(CANDIDATES).select("pattern").collect()]
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    return sorted(r["pattern"] for r in best), float(share)
+
+    places = texts.select("toxic", "text").mapInPandas(_places(candidates), "pattern int, toxic int, place long").distinct()
+    counts = places.groupBy("pattern").agg(F.sum("toxic").alias("x"), F.count(F.lit(1)).alias("n")).collect()  # one for each candidate
+    ranked = sorted((-_surprise(r["x"], r["n"], share), candidates[r["pattern"]]) for r in counts if r["x"] > LEAST_SHARE * r["n"])
+    return sorted(p for s, p in ranked[:MAX_PATTERNS] if -s >= LEAST_SURPRISE), float(share)
+
+
+def _surprise(x: int, n: int, share: float) -> float:
+    """Minus the log of the chance bound of x toxic places or more among n."""
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    clean = (n - x) * np.log((n - x) / n / (1 - share)) if n > x else 0.0
+    return float(x * np.log(x / n / share) + clean)
+
+
+def _places(patterns: list[str]):
+    index = {p: k for k, p in enumerate(patterns)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = set()
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                before = 0
+                for word in _WORD.findall((text or "").lower()):
+                    rows.update((k, toxic, before) for k in present(word, index))
+                    before = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame(list(rows), columns=["pattern", "toxic", "place"])
+
+    return run
 
 
 def voters_of(patterns: list[str]) -> np.ndarray:
@@ -147,9 +179,10 @@ class LabelModel:
     balance: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic | votes). A voter that abstains says nothing, but where all abstain that is evidence."""
         yes = np.log(self.toxic / self.clean) / self.repeats
         no = np.log((1 - self.toxic) / (1 - self.clean)) / self.repeats
-        odds = np.log(self.balance / (1 - self.balance)) + votes @ yes + (1 - votes) @ no
+        odds = np.log(self.balance / (1 - self.balance)) + np.where(votes.any(axis=1), votes @ yes, no.sum())
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
@@ -184,7 +217,7 @@ def fit_label_model(together: np.ndarray, rows: int, balance: float, stray: floa
     return LabelModel(clip(mean + (1 - balance) * gap), clip(mean - balance * gap), repeats, balance)
 
 
-def fit_classifier(found: list[list[int]], target: np.ndarray, weight: np.ndarray, n: int, rounds: int = 150, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_classifier(found: list[list[int]], target: np.ndarray, weight: np.ndarray, n: int, rounds: int = 400, l2: float = 1.0) -> tuple[np.ndarray, float]:
     """Logistic regression with soft labels on pattern presence: weights and intercept."""
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
     column = np.array([c for f in found for c in f], dtype=np.int64)
