@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,18 +95,48 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hash of every word; words are runs of anything but ASCII white space, A-Z lower-cased."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes -> 64-bit hash, start and end of every word; words are runs of anything but ASCII
+    white space, A-Z lower-cased."""
+    none = np.empty(0, dtype=np.int64)
     if not len(data):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), none, none
     edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), none, none
     up, down = _power_tables(len(data) + 1)
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+
+
+#: Characters that a task hashes at a time; a single longer text is hashed alone.
+CHUNK_CHARS = 1 << 19
+
+
+def chunks(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in pieces of about CHUNK_CHARS characters, so memory follows the longest text."""
+    part = batch[column].str.len().fillna(0).cumsum() // CHUNK_CHARS
+    for _, rows in batch.groupby(part, sort=False):
+        yield rows
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hash of every word of a text."""
+    return word_spans(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))[0]
+
+
+class Sequences:
+    """Words in a row, cut into sequences; hashes of any run of them by prefix sums."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.words, self.start, self.end, self.n = words, start, end, end - start
+        self.up, self.down = _power_tables(len(words) + 1)
+        self._sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * self.up[: len(words)], dtype=np.uint64)))
+
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from start to end, wherever they stand."""
+        return (self._sums[end] - self._sums[start]) * self.down[start]
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -5,16 +5,15 @@ words are equal. Lines of MIN_WORDS words or more also match within an edit dist
 inserted, deleted or replaced. A line goes where an earlier line, by (doc_id, line number), matches;
 whether that earlier line itself stays makes no difference.
 
-Matches come from a deletion-neighbourhood join in two levels, over the first occurrences of distinct
-lines. One variant for each word of each line would be as many keys as the corpus has words, so the
-first level deletes segments: a line is cut after words whose hash is a multiple of SEGMENT, and the
-variants are the line without one, or without two adjoining, segments. Cuts depend on single words,
-so any two lines one word apart have equal variants (the edit lies within the segments left out). Only
-lines that share such a variant with another line enter the second level, which deletes single words:
+Matches come from a deletion-neighbourhood join over the first occurrences of distinct lines. One
+variant for each word of each line would be as many keys as the corpus has words, so lines that can't
+match are put aside first: of two lines within one word, the longer of n words or both, either the first
+halves or the last halves are equal. A line has four keys for that, by its own number of words and by
+one less. Only lines that share such a key with another line emit their variants:
 * two lines with equal text before and after the word left out differ by a replaced word;
 * a line without one word that equals another line differs by an inserted or deleted word.
-Each second-level key thus needs just its earliest line: grouping, and no pairs within a group.
-Matches are then verified by computing the edit distance of the two lines.
+Each key thus needs just its earliest line: grouping, and no pairs within a group. Matches are then
+verified by computing the edit distance of the two lines.
 """
 
 from __future__ import annotations
@@ -26,89 +25,65 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import Scratch, mix64, word_hashes
+from kerbline.llm.common import Scratch, Sequences, chunks, mix64, word_spans
 
 MIN_WORDS = 10
-SEGMENT = 16
-_P = 0xC2B2AE3D27D4EB4F | 1
-_UP = np.array([1], dtype=np.uint64)
-_DOWN = np.array([1], dtype=np.uint64)
-_REPLACED, _DELETED, _VARIANT = (np.uint64(x) for x in (0x3C6EF372FE94F82B, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B))
+_REPLACED, _DELETED = np.uint64(0x3C6EF372FE94F82B), np.uint64(0x510E527FADE682D1)
+_NEWLINE = 10
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        size = 1 << max(12, n.bit_length())
-        _UP, _DOWN = (np.multiply.accumulate(np.array([1] + [b] * (size - 1), dtype=np.uint64)) for b in (_P, pow(_P, -1, 2**64)))
-    return _UP, _DOWN
-
-
-class _Line:
-    """Prefix and suffix hashes of a line's words."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.n = words, len(words)
-        self.up, self.down = _tables(self.n + 1)
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * self.up[: self.n], dtype=np.uint64)))
-
-    def whole(self) -> tuple[int, int]:
-        total = self.sums[self.n :]
-        a = mix64(total + np.uint64(self.n))[0]
-        b = mix64(mix64(self.words) * (np.arange(self.n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)
-        return int(a.view(np.int64)), int(b.view(np.int64))
-
-    def without(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the words that stay when words start..end go, as a sequence."""
-        after = (self.sums[self.n] - self.sums[end]) * self.down[end]
-        return self.sums[start] + after * self.up[start] + (self.n - (end - start)).astype(np.uint64)
-
-    def around(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of what lies before `start` and what lies from `end` on, and of the place of the gap."""
-        after = (self.sums[self.n] - self.sums[end]) * self.down[end]
-        return mix64(self.sums[start] + start.astype(np.uint64)) + mix64(after + (self.n - end).astype(np.uint64)) * np.uint64(3)
-
-    def segment_variants(self) -> np.ndarray:
-        cuts = np.flatnonzero(mix64(self.words) % np.uint64(SEGMENT) == 0) + 1
-        edges = np.unique(np.concatenate(([0], cuts, [self.n])))
-        start = np.concatenate((edges[:-1], edges[:-2]))
-        end = np.concatenate((edges[1:], edges[2:]))
-        return mix64(self.around(start, end) ^ _VARIANT).view(np.int64)
-
-    def word_variants(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Keys for a replaced word, keys without one word, key of the whole line."""
-        at = np.arange(self.n)
-        whole = self.without(np.array([0]), np.array([0]))
-        replaced, deleted, own = (mix64(x) for x in (self.around(at, at + 1) ^ _REPLACED, self.without(at, at + 1) ^ _DELETED, whole ^ _DELETED))
-        return replaced.view(np.int64), np.unique(deleted).view(np.int64), int(own.view(np.int64)[0])
-
-
-def _lines(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+def _sequences(lines: list[str]) -> tuple[Sequences, np.ndarray, np.ndarray]:
+    """Texts -> the lines with words as sequences, the text of each line and its number in that text."""
+    data = [t.encode("utf-8", "surrogatepass") for t in lines]
+    joined = np.frombuffer(b"\n".join(data), dtype=np.uint8)
+    words, start, _ = word_spans(joined)
+    breaks = np.flatnonzero(joined == _NEWLINE)
+    line = np.searchsorted(breaks, start)
+    used, first = np.unique(line, return_index=True)
+    end = np.append(first[1:], len(words)) if len(first) else first
+    begins = np.cumsum([0] + [len(d) + 1 for d in data[:-1]])
+    first_line = np.searchsorted(breaks, begins)
+    text = np.searchsorted(first_line, used, side="right") - 1
+    return Sequences(words, first.astype(np.int64), end.astype(np.int64)), text, used - first_line[text]
 
 
 def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            for number, line in enumerate(_lines(text)):
-                words = word_hashes(line)
-                if len(words):
-                    held = _Line(words)
-                    # one word fewer may match a line of MIN_WORDS
-                    rows.append((doc_id, number, len(words), *held.whole(), held.segment_variants() if len(words) >= MIN_WORDS else None))
-        yield pd.DataFrame(rows, columns=["doc_id", "line", "n_words", "a", "b", "variants"])
+    for batch in (part for whole in batches for part in chunks(whole, "text")):
+        seq, text, number = _sequences([t or "" for t in batch["text"]])
+        n = seq.n.astype(np.uint64)
+        whole = seq.run(seq.start, seq.end)
+        other = Sequences(mix64(seq.words ^ _REPLACED), seq.start, seq.end)
+        halves = []
+        for less in (0, 1):
+            m = seq.n - less
+            half = m // 2
+            tag = (seq.n - less).astype(np.uint64) * np.uint64(2)
+            halves.append(mix64(mix64(seq.run(seq.start, seq.start + half)) + tag))
+            halves.append(mix64(mix64(seq.run(seq.end - (m - half), seq.end)) + tag + np.uint64(1)))
+        yield pd.DataFrame({
+            "doc_id": batch["doc_id"].to_numpy()[text], "line": number.astype(np.int32), "n_words": seq.n.astype(np.int32),
+            "a": mix64(whole + n).view(np.int64), "b": mix64(other.run(seq.start, seq.end) + n).view(np.int64),
+            **{f"half{k}": h.view(np.int64) for k, h in enumerate(halves)},
+        })
 
 
 def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
-            lines = _lines(text)
-            for number in wanted:
-                replaced, deleted, own = _Line(word_hashes(lines[number])).word_variants()
-                keys = np.concatenate((replaced, deleted, np.array([own], dtype=np.int64)))
-                kind = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(replaced), len(deleted), 1])
-                yield pd.DataFrame({"doc_id": doc_id, "line": np.int32(number), "key": keys, "kind": kind})
+    for batch in (part for whole in batches for part in chunks(whole, "words")):
+        seq, row, _ = _sequences([t or "" for t in batch["words"]])
+        each = np.repeat(np.arange(len(seq.n)), seq.n)
+        at = np.arange(len(seq.words))
+        start, end, n = seq.start[each], seq.end[each], seq.n[each]
+        place = (at - start).astype(np.uint64)
+        before, after = seq.run(start, at), seq.run(at + 1, end)
+        replaced = mix64((mix64(before + place) + mix64(after + (n - 1).astype(np.uint64) - place) * np.uint64(3)) ^ _REPLACED)
+        deleted = mix64((before + after * seq.up[at - start] + (n - 1).astype(np.uint64)) ^ _DELETED)
+        own = mix64((seq.run(seq.start, seq.end) + seq.n.astype(np.uint64)) ^ _DELETED)
+        of = np.concatenate((row[each], row[each], row))
+        yield pd.DataFrame({
+            "doc_id": batch["doc_id"].to_numpy()[of], "line": batch["line"].to_numpy()[of],
+            "key": np.concatenate((replaced, deleted, own)).view(np.int64),
+            "kind": np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(each), len(each), len(row)]),
+        })
 
 
 def one_word_apart(x: list[str], y: list[str]) -> bool:
@@ -131,10 +106,7 @@ def _words(line: str) -> list[str]:
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        good = [
-            one_word_apart(_words(_lines(x)[i]), _words(_lines(y)[j]))
-            for x, i, y, j in zip(batch["text"], batch["line"], batch["other_text"], batch["other_line"], strict=True)
-        ]
+        good = [one_word_apart(_words(x), _words(y)) for x, y in zip(batch["words"], batch["other_words"], strict=True)]
         yield batch.loc[np.array(good, dtype=bool), ["doc_id", "line"]]
 
 
@@ -143,10 +115,10 @@ _BLANK = r"^[ \t\r\x0B\x0C]*$"
 
 def _apply(documents: DataFrame, dropped: DataFrame) -> DataFrame:
     """documents with text without its dropped lines, n_lines, dropped."""
-    lines = F.split("text", "\n")
+    lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("__dropped", k)), "\n")
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~x.rlike(_BLANK))), F.lit(0)).cast("long")
-    joined = documents.withColumn("__id", F.col("doc_id").cast("long")).join(dropped.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped")), "__id", "left")
+    joined = documents.withColumn("__id", F.col("doc_id").cast("long")).join(dropped.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped")).hint("merge"), "__id", "left")
     out = joined.withColumns({"__n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines), "__text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)})
     return out.withColumn("text", F.col("__text")).drop("__id", "__text")
 
@@ -157,35 +129,39 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lines")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.where("doc_id IS NOT NULL")
-    lines = scratch.save(known.mapInPandas(_line_rows, "doc_id long, line int, n_words int, a long, b long, variants array<long>"), "lines")
-
-    of_line = ["n_words", "a", "b"]
-    first = scratch.save(lines.groupBy(*of_line).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("variants").alias("variants")), "first")
-    repeated = lines.drop("variants").join(first.drop("variants"), of_line).where("struct(doc_id, line) > first").select("doc_id", "line")
-
-    segments = first.where("variants IS NOT NULL").select("first", F.explode("variants").alias("key"))
-    shared = segments.groupBy("key").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key")
-    near = scratch.save(segments.join(shared, "key", "left_semi").select("first.doc_id", "first.line").distinct(), "near")
-    wanted = near.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("wanted"))  # at most a document's own lines
-    one_text = known.join(wanted, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("wanted").alias("wanted"))
-    near_texts = scratch.save(one_text, "texts")
-    keys = scratch.save(near_texts.mapInPandas(_word_rows, "doc_id long, line int, key long, kind int").select("key", "kind", F.struct("doc_id", "line").alias("at")), "keys")
+    lines = scratch.save(known.mapInPandas(_line_rows, "doc_id long, line int, n_words int, a long, b long, half0 long, half1 long, half2 long, half3 long"), "lines")
+
+    of_line, halves = ["n_words", "a", "b"], ["half0", "half1", "half2", "half3"]
+    at = F.struct("doc_id", "line")
+    first = scratch.save(lines.groupBy(*of_line).agg(F.min(at).alias("first"), *[F.first(h).alias(h) for h in halves], F.count(F.lit(1)).alias("n")), "first")
+    repeats = first.where("n > 1").select(*of_line, "first")
+    repeated = lines.drop(*halves).join(repeats, of_line).where("struct(doc_id, line) > first").select("doc_id", "line")
+
+    half = first.where(F.col("n_words") >= MIN_WORDS).select("first", F.explode(F.array(*halves)).alias("key"))
+    shared = half.groupBy("key").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key")
+    near = half.join(shared, "key", "left_semi").select("first.doc_id", "first.line").distinct()
+    wanted = near.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))  # at most a document's own lines
+    # a merge join at every size: what is wanted grows with the corpus
+    one_text = known.join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("wanted").alias("wanted"))
+    split = one_text.select("doc_id", "wanted", F.split("text", "\n", -1).alias("parts"))
+    near_lines = split.select("doc_id", F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get("parts", k).alias("words")))).alias("l"))
+    near_lines = scratch.save(near_lines.select("doc_id", "l.line", "l.words"), "near")
+    keys = scratch.save(near_lines.mapInPandas(_word_rows, "doc_id long, line int, key long, kind int").select("key", "kind", at.alias("at")), "keys")
     earliest = keys.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, F.col("at"))).alias("same_gap"),
         F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("longer"),
         F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("shorter"),
-    )
+        F.count(F.lit(1)).alias("n"),
+    )
     earlier = F.expr("CASE kind WHEN 0 THEN same_gap WHEN 1 THEN shorter ELSE longer END")
-    pairs = keys.join(earliest.where("same_gap IS NOT NULL OR (longer IS NOT NULL AND shorter IS NOT NULL)"), "key").withColumn("other", earlier).where("other < at")
+    pairs = keys.join(earliest.where("n > 1"), "key").withColumn("other", earlier).where("other < at")
     pairs = pairs.select("at.doc_id", "at.line", F.col("other.doc_id").alias("other_doc"), F.col("other.line").alias("other_line")).distinct()
-    held = pairs.join(near_texts.select("doc_id", "text"), "doc_id").join(
-        near_texts.select(F.col("doc_id").alias("other_doc"), F.col("text").alias("other_text")), "other_doc"
-    )
+    held = pairs.join(near_lines, ["doc_id", "line"]).join(near_lines.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_doc", "other_line"])
     close = held.mapInPandas(_verified, "doc_id long, line int")
     dropped = scratch.save(
         repeated.unionByName(close).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), "dropped"
     )
-    scratch.drop(lines, first, near, near_texts, keys)
+    scratch.drop(lines, first, near_lines, keys)
     return dropped
 
 
