@@ -279,6 +279,8 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        if not index:
+            return pd.Series(np.zeros(len(texts)))
         odds = np.array([intercept + weights[np.array(present(t, index), dtype=np.int64)].sum() for t in texts], dtype=np.float64)
         return pd.Series(1 / (1 + np.exp(-np.clip(odds, -700, 700))))
 
