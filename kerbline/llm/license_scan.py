@@ -50,6 +50,7 @@ TEMPLATES = (
 )
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLOCK_END = r"[.!?]\s+|\n"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def template_table(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> list[tuple[int, str, list[str], int]]:
@@ -61,6 +62,11 @@ def template_table(templates: tuple[tuple[str, str], ...] = TEMPLATES, containme
     return out
 
 
+def _lower(text: Column) -> Column:
+    """A-Z only: other letters, such as the Kelvin sign, stay as they are."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
@@ -68,7 +74,7 @@ def _spaces(text: Column) -> Column:
 def phrase_places(documents: DataFrame) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels (array) to (doc_id, text, key)."""
     phrases = list(PHRASES)
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SEPARATOR, " "))
+    words = F.trim(F.regexp_replace(_lower(F.coalesce("text", F.lit(""))), _SEPARATOR, " "))
     padded = documents.select("doc_id", "key", F.concat(F.lit(" "), words, F.lit(" ")).alias("padded"))
     cut = F.split("padded", f" (?=(?:{'|'.join(phrases)}) )", -1)
     some = padded.select("doc_id", "key", "padded", cut.alias("pieces"))
@@ -91,7 +97,7 @@ def matching_blocks(documents: DataFrame, templates: tuple[tuple[str, str], ...]
     known = sorted({w for _, _, words, _ in rows for w in words})
     array_of = lambda words: F.array(*[F.lit(w) for w in words])
     blocks = documents.select("key", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), _BLOCK_END)).alias("block", "part"))
-    blocks = blocks.select("key", "block", F.array_intersect(F.split(F.lower("part"), _SEPARATOR), array_of(known)).alias("words"))
+    blocks = blocks.select("key", "block", F.array_intersect(F.split(_lower(F.col("part")), _SEPARATOR), array_of(known)).alias("words"))
 
     # one number for each word that a template has
     often = {r["word"]: r["n"] for r in blocks.select(F.explode_outer("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -146,12 +152,11 @@ def _sql_list(words: list[str]) -> str:
 def oracle_sql() -> str:
     """The same result in DuckDB's SQL, by comparing all blocks with all templates."""
     separator = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     place = " OR ".join("(" + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(p.split())) + ")" for p in PHRASES)
     base = ", ".join(f"CASE WHEN contains(padded, ' {p} ') THEN '{label}' END" for p, label in PHRASES.items())
     values = ", ".join(f"({k}, '{label}', {_sql_list(words)}, {need})" for k, label, words, need in template_table())
     return f"""
-WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
 worded AS (SELECT doc_id, t, regexp_extract_all(t, '{separator}') AS w FROM texts),
 placed AS (
   SELECT doc_id, t, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS padded,

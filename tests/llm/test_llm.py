@@ -292,7 +292,7 @@ def test_urls(spark):
 
 
 def test_licenses(spark):
-    texts = ["Released under the MIT License.", "x cc by nc cc by nc y", "All rights reserved. GNU General Public License", None, "", "Licensed under the Apache License, Version 2.0.", "nothing here"]
+    texts = ["Released under the MIT License.", "x cc by nc cc by nc y", "All rights reserved. GNU General Public License", None, "", "Licensed under the Apache License, Version 2.0.", "nothing here", "under the MIT licen\u017fe, CC BY NC, mar\u212a"]
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, texts[0], "x"), (0, texts[6], "x")]
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()
     by_id = {r["doc_id"]: r for r in got if r["n_words"] != 2}
@@ -302,6 +302,7 @@ def test_licenses(spark):
     assert short(by_id[2]) == (7, 0, None, None, "", "all-rights-reserved,gpl", 1.0)
     assert short(by_id[3]) == short(by_id[4]) == (0, 0, None, None, "", "", 0.0)
     assert short(by_id[5])[:6] == (8, 1, 3, 3, "apache-2", "apache-2")
+    assert short(by_id[7])[:6] == (8, 1, 4, 4, "cc-by-nc", "cc-by-nc")
     assert len(got) == len(rows)
 
 
