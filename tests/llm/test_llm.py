@@ -348,3 +348,73 @@ def test_pipeline_stages(spark, tmp_path, name):
     assert 500 not in left and {0, 1, 2} <= left
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert packed == left
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    bad = [f"grob{x}" for x in ("el", "ian", "ster", "ok", "um", "ing", "ard")]
+    lines_of = lambda w, first: "\n".join(" ".join(w[max(0, at) : at + 12]) for at in range(first - 12, len(w), 12) if at + 12 > 0)
+    texts, labels, toxic_ids = [], [], set()
+    for k in range(1500):
+        w = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(rng.randint(8, 60))]
+        if k % 6 == 0:
+            toxic_ids.add(k)
+            for _ in range(3):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(bad))
+        labels.append((k, 0, int(k % 6 == 0)))
+        texts.append(" ".join(w))
+    item = words(rng, 30, 700)
+    near = []
+    for changes in (1, 2, 3):  # of 116 shingles each; other line breaks, so that no line repeats
+        for _ in range(4):
+            base = [f"{rng.randrange(10**6)}y" for _ in range(120)]
+            copy = list(base)
+            for at in range(changes):
+                copy[20 + 30 * at] = "changed"
+            near.append((len(texts), len(texts) + 1))
+            texts += [lines_of(base, 12), lines_of(copy, 6)]
+    repeated = " ".join(words(rng, 15, 700))
+    texts += [f"{repeated}\n{' '.join(words(rng, 20, 700))}" for _ in range(5)]
+    texts += [" ".join(words(rng, 9, 700) + item + words(rng, 9, 700)) for _ in range(3)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    held = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    now = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    before, left = held(docs), held(now)
+    assert len(toxic_ids & set(left)) <= 0.02 * len(toxic_ids) and len(set(before) - toxic_ids - set(left)) <= 0.02 * len(before)
+
+    after = stages["line_dedup"](spark, now, str(tmp_path)).cache()
+    seen, want = set(), {}
+    for i, text in sorted(left.items()):
+        kept = [x for x in text.split("\n") if (x in seen, seen.add(x))[0] is False]
+        if kept:
+            want[i] = "\n".join(kept)
+    assert held(after) == want and want != left
+
+    now = stages["minhash_near_dedup"](spark, after, str(tmp_path)).cache()
+    sets = {i: shingles(t) for i, t in want.items()}
+    holders = {}
+    for i, found in sets.items():
+        for x in found:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    similarity = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    assert sum(0.8 <= similarity[p] < 0.85 for p in near) >= 4
+    low = components(sets, [p for p, s in similarity.items() if s >= 0.8])
+    want = {i: t for i, t in want.items() if low[i] == i}
+    assert held(now) == want
+
+    after = stages["benchmark_decontamination"](spark, now, str(tmp_path)).cache()
+    theirs = set(zip(*[item[k:] for k in range(5)], strict=False))
+    leaked = {i for i, t in want.items() if len(theirs & shingles(t)) >= 0.8 * len(theirs)}
+    assert len(leaked) == 3 and set(held(after)) == set(want) - leaked
+
+    packed = stages["best_fit_packing"](spark, after, str(tmp_path)).select("doc_id").collect()
+    assert {r["doc_id"] for r in packed} == set(want) - leaked
