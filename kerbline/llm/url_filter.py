@@ -6,8 +6,8 @@ or "clear", which ends it). A pattern is a host ("example.org", which also cover
 host and a path prefix ("example.org/private", whole path segments). Entries of one list and pattern
 follow each other, so each is valid until the next: an interval.
 
-A capture is looked up under every pattern that can cover its URL: each parent domain of its host,
-alone and with each leading run of path segments. The as-of join matches pattern and fetch time with
+A capture is looked up under every pattern that can cover its URL: each parent domain of its host with
+each leading run of path segments, for the numbers of labels and segments that entries have. The as-of join matches pattern and fetch time with
 the intervals. Of the active entries the longest pattern decides; of equal ones, "allow".
 """
 
@@ -21,8 +21,6 @@ from kerbline.llm.common import broadcast_if_small
 
 #: Intervals are broadcast up to so many rows; beyond, the join is shuffled and skewed hosts are split.
 BROADCAST_ROWS = 500_000
-#: Host labels and path segments that a pattern may have.
-MAX_LABELS, MAX_SEGMENTS = 8, 8
 
 
 def host_of(url: Column) -> Column:
@@ -51,13 +49,22 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return spans.where("action <> 'clear'")
 
 
-def _patterns(host: Column, path: Column) -> Column:
-    """All patterns that can cover a URL."""
+def _shapes(spans: DataFrame) -> DataFrame:
+    """One row, shapes: the different (labels, segments) numbers that the patterns have."""
+    parts = F.split("pattern", "/")
+    labels = F.size(F.split(F.get(parts, F.lit(0)), r"\."))
+    shapes = spans.select(F.struct(labels.alias("labels"), (F.size(parts) - 1).alias("segments")).alias("shape")).distinct()
+    return shapes.agg(F.collect_set("shape").alias("shapes"))  # as many as patterns differ in form
+
+
+def _patterns(host: Column, path: Column, shapes: Column) -> Column:
+    """All patterns of these shapes that can cover a URL."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    runs = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(MAX_SEGMENTS))), lambda n: F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, n), "/"))).otherwise(""))
-    return F.flatten(F.transform(domains, lambda d: F.transform(runs, lambda r: F.concat(d, F.lower(r)))))
+    fitting = F.filter(shapes, lambda x: (x["labels"] <= F.size(labels)) & (x["segments"] <= F.size(segments)))
+    domain = lambda x: F.array_join(F.slice(labels, -x["labels"], x["labels"]), ".")
+    run = lambda x: F.when(x["segments"] > 0, F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, x["segments"]), "/"))).otherwise("")
+    return F.transform(fitting, lambda x: F.concat(domain(x), F.lower(run(x))))
 
 
 def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -69,9 +76,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     URL and time are judged alike; other columns are ignored.
     """
     key = ["page_id", "url", "fetched"]
-    spans = broadcast_if_small(validity_intervals(entries), BROADCAST_ROWS)
+    intervals = validity_intervals(entries)
+    spans = broadcast_if_small(intervals, BROADCAST_ROWS)
     own = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
-    asked = own.where("host <> '' AND fetched IS NOT NULL").select(*key, F.explode_outer(_patterns(F.col("host"), path_of(F.col("url")))).alias("pattern"))
+    known = own.where("host <> '' AND fetched IS NOT NULL").crossJoin(F.broadcast(_shapes(intervals)))
+    asked = known.select(*key, F.explode_outer(_patterns(F.col("host"), path_of(F.col("url")), F.col("shapes"))).alias("pattern"))
     active = asked.distinct().join(spans, "pattern").where("fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)")
     order = F.struct(F.length("pattern"), F.col("pattern"), (F.col("action") == "allow").cast("int"))
     decided = active.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("pattern", "action"), order).alias("by"))

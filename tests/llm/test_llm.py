@@ -418,3 +418,14 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
 
     packed = stages["best_fit_packing"](spark, after, str(tmp_path)).select("doc_id").collect()
     assert {r["doc_id"] for r in packed} == set(want) - leaked
+
+
+def test_urls_of_many_labels_and_segments(spark):
+    host, path = "a.b.c.d.e.f.g.h.i.j.org", "/1/2/3/4/5/6/7/8/9/X"
+    urls = [f"http://{host}/", f"http://z.{host}/p", f"http://other.org{path}", f"http://other.org{path}/y?q", f"http://other.org{path[:-2]}", f"http://{host}{path}"]
+    captures = spark.createDataFrame([(k, u, "2024-03-01") for k, u in enumerate(urls)], "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date"))
+    entries = [("l", host, "block", "2024-01-01"), ("l", f"other.org{path}", "block", "2024-01-01"), ("l", f"{host}{path}", "allow", "2024-01-01"), ("l", "org", "allow", "2024-01-01")]
+    entries = spark.createDataFrame(entries, "list string, pattern string, action string, since string").withColumn("since", F.col("since").cast("date"))
+    got = {r["page_id"]: (r["n_active"], r["pattern"], r["kept"]) for r in judge_captures(captures, entries).collect()}
+    deep = f"other.org{path.lower()}"
+    assert got == {0: (2, host, False), 1: (2, host, False), 2: (2, deep, False), 3: (2, deep, False), 4: (1, "org", True), 5: (3, f"{host}{path.lower()}", True)}
