@@ -1,7 +1,11 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 DataFrame operations only.
 
-A block is a sentence or line; a template is a set of words. A block matches a template where it holds
+A block is a sentence or line; a template is a set of words. Where a sentence goes on over line breaks,
+as in hard-wrapped license files and headers, its overlapping windows of words are blocks too: twice as
+long as the longest template, one begins at every half of that length, so each run of one and a half
+times that length stands whole in a window. A blank line, or one without a letter or digit, ends a
+sentence. A block matches a template where it holds
 at least a share CONTAINMENT of the template's words. Words are ordered by how many blocks of all texts
 hold them, rarest first. With `need` = ceil(CONTAINMENT * size of the template):
 * length: a block with fewer than `need` template words can't match;
@@ -50,6 +54,9 @@ TEMPLATES = (
 )
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLOCK_END = r"[.!?]\s+|\n"
+_SENTENCE_END = r"[.!?]\s+|\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n)+"
+#: What every sentence that goes on over a line break has.
+_WRAPPED = r"[^.!?\s][^\S\n]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,14 +97,24 @@ def phrase_places(documents: DataFrame) -> DataFrame:
     )
 
 
+def _wrapped_blocks(documents: DataFrame, longest: int, known: Column) -> DataFrame:
+    """(key, text, ...) -> key, words: known words of each window of the sentences with line breaks."""
+    parts = documents.where(F.col("text").rlike(_WRAPPED)).select("key", F.explode_outer(F.split("text", _SENTENCE_END)).alias("part")).where(F.col("part").contains("\n"))
+    worded = parts.select("key", F.filter(F.split(_lower(F.col("part")), _SEPARATOR), lambda w: w != "").alias("all"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(max(1, longest // 2)))
+    windows = F.transform(begins, lambda at: F.array_intersect(F.slice("all", at + 1, F.lit(2 * longest)), known))
+    return worded.select("key", F.explode_outer(windows).alias("words"))
+
+
 def matching_blocks(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(key, text, ...) -> key, block, template, label, containment for every pair that matches."""
+    """(key, text, ...) -> key, template, label, containment for every match of a block."""
     spark = documents.sparkSession
     rows = template_table(templates)
     known = sorted({w for _, _, words, _ in rows for w in words})
     array_of = lambda words: F.array(*[F.lit(w) for w in words])
-    blocks = documents.select("key", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), _BLOCK_END)).alias("block", "part"))
-    blocks = blocks.select("key", "block", F.array_intersect(F.split(_lower(F.col("part")), _SEPARATOR), array_of(known)).alias("words"))
+    blocks = documents.select("key", F.explode_outer(F.split(F.coalesce("text", F.lit("")), _BLOCK_END)).alias("part"))
+    blocks = blocks.select("key", F.array_intersect(F.split(_lower(F.col("part")), _SEPARATOR), array_of(known)).alias("words"))
+    blocks = blocks.unionAll(_wrapped_blocks(documents, max(len(text.split()) for _, text in templates), array_of(known)))
 
     # one number for each word that a template has
     often = {r["word"]: r["n"] for r in blocks.select(F.explode_outer("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -112,11 +129,11 @@ def matching_blocks(documents: DataFrame, templates: tuple[tuple[str, str], ...]
     first = sorted({w for _, _, words, need in rows for w in sorted(words, key=order.__getitem__)[: len(words) - need + 1]})
     rank_of = F.create_map(*[F.lit(x) for w in known for x in (w, order[w])])
     near = blocks.where((F.size("words") >= least) & F.arrays_overlap("words", array_of(first)))
-    near = near.select("key", "block", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("have"))
-    asked = near.select("key", "block", "have", F.size("have").alias("n"), F.posexplode_outer("have").alias("at", "rank")).join(prefix, "rank")
+    near = near.select("key", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("have"))
+    asked = near.select("key", "have", F.size("have").alias("n"), F.posexplode_outer("have").alias("at", "rank")).join(prefix, "rank")
     asked = asked.where("n >= need AND at <= n - need AND 1 + least(n - at - 1, size - place - 1) >= need")
     shared = F.size(F.array_intersect("have", "ranks"))
-    found = asked.where(shared >= F.col("need")).select("key", "block", "template", "label", (shared / F.col("size")).alias("containment"))
+    found = asked.where(shared >= F.col("need")).select("key", "template", "label", (shared / F.col("size")).alias("containment"))
     return found.distinct()
 
 

@@ -429,3 +429,26 @@ def test_urls_of_many_labels_and_segments(spark):
     got = {r["page_id"]: (r["n_active"], r["pattern"], r["kept"]) for r in judge_captures(captures, entries).collect()}
     deep = f"other.org{path.lower()}"
     assert got == {0: (2, host, False), 1: (2, host, False), 2: (2, deep, False), 3: (2, deep, False), 4: (1, "org", True), 5: (3, f"{host}{path.lower()}", True)}
+
+
+def test_wrapped_licenses(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+    notice = """The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that it stays."""
+    wrapped = [("mit", mit), ("mit", notice), ("bsd", bsd), ("isc", isc)]
+    filler = "\n".join(" ".join(f"w{k}x" for k in range(at, at + 7)) for at in range(0, 350, 7))
+    rows = []
+    for label, text in wrapped:
+        commented = "/*\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */"
+        for shape in (text, text.replace("\n", " "), text.replace("\n", "\r\n"), commented, f"{filler}\n{text}\n{filler}", "\n".join(text.split())):
+            rows.append((len(rows), shape, label))
+    apart = [bsd.replace("\n", "\n\n"), bsd.replace("\n", "\n * \n"), bsd.replace("\n", ".\n"), "all\n" + filler + "\nrights reserved", None, "", "\n", "a\n"]
+    rows += [(len(rows) + k, t, "") for k, t in enumerate(apart)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
+    assert got == {i: (label, 1.0 if label else 0.0) for i, _, label in rows}
