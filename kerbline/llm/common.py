@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,24 +15,36 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder of the session; a temporary one only where none is named (local tests)."""
+    """Shared folder that the session names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary one (tests); on a cluster that is an error,
+    for executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "kerbline-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_open: list[Scratch] = []
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
-    A saved table cuts lineage and outlives executors; `drop` frees one that is no longer needed.
+    A saved table cuts lineage and outlives executors; `drop` frees one that is no longer needed,
+    `close` all of them. Results of operators read from these tables, so whoever writes a result
+    closes them: see `scratch_released`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _open.append(self)
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         self._n += 1
@@ -41,26 +54,57 @@ class Scratch:
         out._kerbline_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._kerbline_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._kerbline_path)
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+
+@contextmanager
+def scratch_released():
+    """Deletes, at its end, the tables of all operators that were called inside; write their results inside."""
+    before = len(_open)
+    yield
+    for scratch in _open[before:]:
+        scratch.close()
+    del _open[before:]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True where `df` has at most `max_rows` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: A table is broadcast up to this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True where `df` has at most so many rows and bytes (as JSON text); reads no further than that."""
+    some = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return some[0] <= max_rows and (some[1] or 0) <= max_bytes
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast where its rows are few; else Spark shuffles it and splits skewed keys."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def with_part(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds part to (doc_id, text, ...): 0 where all rows of a doc_id have one text, else a hash of the
+    row's text, so that (doc_id, part) stands for one text."""
+    known = F.xxhash64("text")
+    several = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(known).alias("x"), F.max(known).alias("y"))
+    several = broadcast_if_small(scratch.save(several.where("x <> y").select(F.col("doc_id").alias("several")), "several"))
+    joined = texts.join(several, F.col("doc_id") == F.col("several"), "left")
+    return joined.withColumn("part", F.when(F.col("several").isNotNull(), known).otherwise(F.lit(0).cast("long"))).drop("several")
+
+
 # ---------------------------------------------------------------------------------------------
 # Hashing of words and word shingles, for code that runs inside tasks
 
@@ -95,9 +139,32 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Bytes that are hashed at a time.
+_PIECE = 1 << 20
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes -> 64-bit hash, start and end of every word; words are runs of anything but ASCII
-    white space, A-Z lower-cased."""
+    white space, A-Z lower-cased. Works through pieces that end at white space, so the memory it takes
+    follows the number of words."""
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + _PIECE, len(data))
+        while end < len(data):
+            gaps = np.flatnonzero(_SPACE[data[end : end + _PIECE]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + _PIECE, len(data))
+        words, start, stop = _word_spans(data[at:end])
+        found.append((words, start + at, stop + at))
+        at = end
+    if not found:
+        return _word_spans(data)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+
+
+def _word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, dtype=np.int64)
     if not len(data):
         return np.empty(0, dtype=np.uint64), none, none

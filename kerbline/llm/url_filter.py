@@ -7,8 +7,8 @@ host and a path prefix ("example.org/private", whole path segments). Entries of
 follow each other, so each is valid until the next: an interval.
 
 A capture is looked up under every pattern that can cover its URL: each parent domain of its host with
-each leading run of path segments, for the numbers of labels and segments that entries have. The as-of join matches pattern and fetch time with
-the intervals. Of the active entries the longest pattern decides; of equal ones, "allow".
+each leading run of path segments, for the numbers of labels and segments that entries have. The as-of
+join matches pattern and fetch time with the intervals. Of the active entries the longest pattern decides; of equal ones, "allow".
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from pyspark.sql.window import Window
 
 from kerbline.llm.common import broadcast_if_small
 
-#: Intervals are broadcast up to so many rows; beyond, the join is shuffled and skewed hosts are split.
-BROADCAST_ROWS = 500_000
-
 
 def host_of(url: Column) -> Column:
     """Host in lower case without user, port and final dot; empty where there is none."""
@@ -73,11 +70,12 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     page_id, url, host, fetched, n_active (active entries that cover it), pattern and action of the
     deciding one (null where none is active), kept (not blocked). A null or empty URL has an empty host
     and is covered by nothing; so is a capture without `fetched`. Rows that repeat a page_id with one
-    URL and time are judged alike; other columns are ignored.
+    URL and time are judged alike. Very long URLs are read whole; other columns are ignored; without
+    entries all captures are kept, without captures there are no rows.
     """
     key = ["page_id", "url", "fetched"]
     intervals = validity_intervals(entries)
-    spans = broadcast_if_small(intervals, BROADCAST_ROWS)
+    spans = broadcast_if_small(intervals)
     own = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
     known = own.where("host <> '' AND fetched IS NOT NULL").crossJoin(F.broadcast(_shapes(intervals)))
     asked = known.select(*key, F.explode_outer(_patterns(F.col("host"), path_of(F.col("url")), F.col("shapes"))).alias("pattern"))
