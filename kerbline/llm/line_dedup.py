@@ -1,19 +1,21 @@
-"""Removal of lines that repeat an earlier line, exactly or within one word, across all documents.
+"""Removal of lines that repeat an earlier line, exactly or within a short run of words, across all documents.
 
 A line is its words (runs of anything but ASCII white space, A-Z lower-cased). Lines with the same
-words are equal. Lines of MIN_WORDS words or more also match within an edit distance of one word
-inserted, deleted or replaced. A line goes where an earlier line, by (doc_id, line number), matches;
-whether that earlier line itself stays makes no difference.
-
-Matches come from a deletion-neighbourhood join over the first occurrences of distinct lines. One
-variant for each word of each line would be as many keys as the corpus has words, so lines that can't
-match are put aside first: of two lines within one word, the longer of n words or both, either the first
-halves or the last halves are equal. A line has four keys for that, by its own number of words and by
-one less. Only lines that share such a key with another line emit their variants:
-* two lines with equal text before and after the word left out differ by a replaced word;
-* a line without one word that equals another line differs by an inserted or deleted word.
+words are equal. Lines of `min_words` words or more also match where one becomes the other by putting
+at most `run` words in a row in place of at most `run` words in a row: with `run` = 1, the default,
+one word inserted, deleted or replaced. A line goes where an earlier line, by (doc_id, line number),
+matches; whether that earlier line itself stays makes no difference. Lines that differ in several
+places, and passages inside longer lines, do not match.
+
+Matches come from a deletion-neighbourhood join over the first occurrences of distinct lines. The
+variants of each line would be as many keys as the corpus has words, so lines that can't match are put
+aside first: of two matching lines, the longer of n words, either the first (n - run + 1) div 2 words
+are equal or the last. A line has keys for that, for every length that the longer line may have. Only
+lines that share such a key with another line emit their variants:
+* two lines with equal text before and after the words left out match by a replaced run;
+* a line without a run of words that equals another line matches by an inserted or deleted run.
 Each key thus needs just its earliest line: grouping, and no pairs within a group. Matches are then
-verified by computing the edit distance of the two lines.
+verified on the words of the two lines.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import Scratch, Sequences, chunks, mix64, word_spans
+from kerbline.llm.common import Scratch, Sequences, chunks, mix64, with_part, word_spans
 
 MIN_WORDS = 10
+RUN = 1
 _REPLACED, _DELETED = np.uint64(0x3C6EF372FE94F82B), np.uint64(0x510E527FADE682D1)
 _NEWLINE = 10
 
@@ -47,56 +50,67 @@ def _sequences(lines: list[str]) -> tuple[Sequences, np.ndarray, np.ndarray]:
     return Sequences(words, first.astype(np.int64), end.astype(np.int64)), text, used - first_line[text]
 
 
-def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in (part for whole in batches for part in chunks(whole, "text")):
-        seq, text, number = _sequences([t or "" for t in batch["text"]])
-        n = seq.n.astype(np.uint64)
-        whole = seq.run(seq.start, seq.end)
-        other = Sequences(mix64(seq.words ^ _REPLACED), seq.start, seq.end)
-        halves = []
-        for less in (0, 1):
-            m = seq.n - less
-            half = m // 2
-            tag = (seq.n - less).astype(np.uint64) * np.uint64(2)
-            halves.append(mix64(mix64(seq.run(seq.start, seq.start + half)) + tag))
-            halves.append(mix64(mix64(seq.run(seq.end - (m - half), seq.end)) + tag + np.uint64(1)))
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"].to_numpy()[text], "line": number.astype(np.int32), "n_words": seq.n.astype(np.int32),
-            "a": mix64(whole + n).view(np.int64), "b": mix64(other.run(seq.start, seq.end) + n).view(np.int64),
-            **{f"half{k}": h.view(np.int64) for k, h in enumerate(halves)},
-        })
-
-
-def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in (part for whole in batches for part in chunks(whole, "words")):
-        seq, row, _ = _sequences([t or "" for t in batch["words"]])
-        each = np.repeat(np.arange(len(seq.n)), seq.n)
-        at = np.arange(len(seq.words))
-        start, end, n = seq.start[each], seq.end[each], seq.n[each]
-        place = (at - start).astype(np.uint64)
-        before, after = seq.run(start, at), seq.run(at + 1, end)
-        replaced = mix64((mix64(before + place) + mix64(after + (n - 1).astype(np.uint64) - place) * np.uint64(3)) ^ _REPLACED)
-        deleted = mix64((before + after * seq.up[at - start] + (n - 1).astype(np.uint64)) ^ _DELETED)
-        own = mix64((seq.run(seq.start, seq.end) + seq.n.astype(np.uint64)) ^ _DELETED)
-        of = np.concatenate((row[each], row[each], row))
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"].to_numpy()[of], "line": batch["line"].to_numpy()[of],
-            "key": np.concatenate((replaced, deleted, own)).view(np.int64),
-            "kind": np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(each), len(each), len(row)]),
-        })
-
-
-def one_word_apart(x: list[str], y: list[str]) -> bool:
-    """True where the word sequences are within one inserted, deleted or replaced word."""
-    if abs(len(x) - len(y)) > 1:
-        return False
-    same = 0
-    while same < min(len(x), len(y)) and x[same] == y[same]:
-        same += 1
-    if len(x) == len(y):
-        return x[same + 1 :] == y[same + 1 :]
-    longer, shorter = (x, y) if len(x) > len(y) else (y, x)
-    return longer[same + 1 :] == shorter[same:]
+def _line_rows(min_words: int, run: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
+            seq, text, number = _sequences([t or "" for t in batch["text"]])
+            n = seq.n.astype(np.uint64)
+            whole = seq.run(seq.start, seq.end)
+            other = Sequences(mix64(seq.words ^ _REPLACED), seq.start, seq.end)
+            ends, before = {}, None
+            for k in range(run + 1):
+                length = (seq.n + k - run + 1) // 2
+                none = (seq.n < min_words) | (length < 1 if before is None else (length == before) | (length < 1))
+                held = np.minimum(np.maximum(length, 0), seq.n)
+                tag = length.astype(np.uint64) * np.uint64(2)
+                for name, at in (("first", seq.start), ("last", seq.end - held)):
+                    key = mix64(mix64(seq.run(at, at + held)) + tag + np.uint64(name == "last"))
+                    ends[f"{name}{k}"] = pd.arrays.IntegerArray(key.view(np.int64), none)
+                before = length
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].to_numpy()[text], "part": batch["part"].to_numpy()[text],
+                "line": number.astype(np.int32), "n_words": seq.n.astype(np.int32),
+                "a": mix64(whole + n).view(np.int64), "b": mix64(other.run(seq.start, seq.end) + n).view(np.int64), **ends,
+            })
+
+    return rows
+
+
+def _word_rows(run: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (part for whole in batches for part in chunks(whole, "words")):
+            seq, row, _ = _sequences([t or "" for t in batch["words"]])
+            whole = np.repeat(np.arange(len(seq.n)), seq.n)
+            every = np.arange(len(seq.words))
+            keys, of, kind = [], [], []
+            for width in range(1, run + 1):
+                fits = every + width <= seq.end[whole]
+                each, at = whole[fits], every[fits]
+                start, end, n = seq.start[each], seq.end[each], seq.n[each]
+                place, after_n = (at - start).astype(np.uint64), (end - at - width).astype(np.uint64)
+                before, after = seq.run(start, at), seq.run(at + width, end)
+                keys.append(mix64((mix64(before + place) + mix64(after + after_n) * np.uint64(3)) ^ _REPLACED))
+                keys.append(mix64((before + after * seq.up[at - start] + (n - width).astype(np.uint64)) ^ _DELETED))
+                of += [row[each], row[each]]
+                kind += [np.zeros(len(each), np.int32), np.ones(len(each), np.int32)]
+            keys.append(mix64((seq.run(seq.start, seq.end) + seq.n.astype(np.uint64)) ^ _DELETED))
+            of, kind = np.concatenate([*of, row]), np.concatenate([*kind, np.full(len(row), 2, np.int32)])
+            out = {c: batch[c].to_numpy()[of] for c in ("doc_id", "part", "line")}
+            yield pd.DataFrame({**out, "key": np.concatenate(keys).view(np.int64), "kind": kind})
+
+    return rows
+
+
+def one_run_apart(x: list[str], y: list[str], run: int = RUN) -> bool:
+    """True where at most `run` words in a row in place of at most `run` words in a row turn x into y."""
+    least = min(len(x), len(y))
+    first = 0
+    while first < least and x[first] == y[first]:
+        first += 1
+    last = 0
+    while last < least - first and x[-1 - last] == y[-1 - last]:
+        last += 1
+    return max(len(x), len(y)) - first - last <= run
 
 
 def _words(line: str) -> list[str]:
@@ -104,49 +118,41 @@ def _words(line: str) -> list[str]:
     return [w for w in line.translate(ascii_lower).replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        good = [one_word_apart(_words(x), _words(y)) for x, y in zip(batch["words"], batch["other_words"], strict=True)]
-        yield batch.loc[np.array(good, dtype=bool), ["doc_id", "line"]]
+def _verified(run: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [one_run_apart(_words(x), _words(y), run) for x, y in zip(batch["words"], batch["other_words"], strict=True)]
+            yield batch.loc[np.array(good, dtype=bool), ["doc_id", "part", "line"]]
 
-
-_BLANK = r"^[ \t\r\x0B\x0C]*$"
+    return rows
 
 
-def _apply(documents: DataFrame, dropped: DataFrame) -> DataFrame:
-    """documents with text without its dropped lines, n_lines, dropped."""
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("__dropped", k)), "\n")
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~x.rlike(_BLANK))), F.lit(0)).cast("long")
-    joined = documents.withColumn("__id", F.col("doc_id").cast("long")).join(dropped.select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped")).hint("merge"), "__id", "left")
-    out = joined.withColumns({"__n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines), "__text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)})
-    return out.withColumn("text", F.col("__text")).drop("__id", "__text")
+_BLANK = r"^[ \t\r\x0B\x0C]*$"
 
 
-def repeated_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, dropped: numbers of the lines to go, for documents that have any."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "lines")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def repeated_lines(texts: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, run: int = RUN) -> DataFrame:
+    """(doc_id, part, text) -> doc_id, part, dropped: numbers of the lines to go, for texts that have any."""
     known = texts.where("doc_id IS NOT NULL")
-    lines = scratch.save(known.mapInPandas(_line_rows, "doc_id long, line int, n_words int, a long, b long, half0 long, half1 long, half2 long, half3 long"), "lines")
+    ends = [f"{name}{k}" for k in range(run + 1) for name in ("first", "last")]
+    schema = "doc_id long, part long, line int, n_words int, a long, b long, " + ", ".join(f"{e} long" for e in ends)
+    lines = scratch.save(known.mapInPandas(_line_rows(min_words, run), schema), "lines")
 
-    of_line, halves = ["n_words", "a", "b"], ["half0", "half1", "half2", "half3"]
-    at = F.struct("doc_id", "line")
-    first = scratch.save(lines.groupBy(*of_line).agg(F.min(at).alias("first"), *[F.first(h).alias(h) for h in halves], F.count(F.lit(1)).alias("n")), "first")
+    of_line, of_text = ["n_words", "a", "b"], ["doc_id", "part"]
+    at = F.struct(*of_text, "line")
+    first = scratch.save(lines.groupBy(*of_line).agg(F.min(at).alias("first"), *[F.first(e).alias(e) for e in ends], F.count(F.lit(1)).alias("n")), "first")
     repeats = first.where("n > 1").select(*of_line, "first")
-    repeated = lines.drop(*halves).join(repeats, of_line).where("struct(doc_id, line) > first").select("doc_id", "line")
+    repeated = lines.drop(*ends).join(repeats, of_line).where(at > F.col("first")).select(*of_text, "line")
 
-    half = first.where(F.col("n_words") >= MIN_WORDS).select("first", F.explode(F.array(*halves)).alias("key"))
-    shared = half.groupBy("key").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key")
-    near = half.join(shared, "key", "left_semi").select("first.doc_id", "first.line").distinct()
-    wanted = near.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))  # at most a document's own lines
+    end = first.where(F.col("n_words") >= min_words).select("first", F.explode(F.array_compact(F.array(*ends))).alias("key"))
+    shared = end.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    near = end.join(shared, "key", "left_semi").select("first.*").distinct()
+    wanted = near.groupBy(*of_text).agg(F.collect_set("line").alias("wanted"))  # at most a text's own lines
     # a merge join at every size: what is wanted grows with the corpus
-    one_text = known.join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("wanted").alias("wanted"))
-    split = one_text.select("doc_id", "wanted", F.split("text", "\n", -1).alias("parts"))
-    near_lines = split.select("doc_id", F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get("parts", k).alias("words")))).alias("l"))
-    near_lines = scratch.save(near_lines.select("doc_id", "l.line", "l.words"), "near")
-    keys = scratch.save(near_lines.mapInPandas(_word_rows, "doc_id long, line int, key long, kind int").select("key", "kind", at.alias("at")), "keys")
+    one_text = known.join(wanted.hint("merge"), of_text).groupBy(*of_text).agg(F.min("text").alias("text"), F.first("wanted").alias("wanted"))
+    split = one_text.select(*of_text, "wanted", F.split("text", "\n", -1).alias("parts"))
+    near_lines = split.select(*of_text, F.explode_outer(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get("parts", k).alias("words")))).alias("l"))
+    near_lines = scratch.save(near_lines.select(*of_text, "l.line", "l.words"), "near")
+    keys = scratch.save(near_lines.mapInPandas(_word_rows(run), "doc_id long, part long, line int, key long, kind int").select("key", "kind", at.alias("at")), "keys")
     earliest = keys.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, F.col("at"))).alias("same_gap"),
         F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("longer"),
@@ -155,37 +161,56 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     )
     earlier = F.expr("CASE kind WHEN 0 THEN same_gap WHEN 1 THEN shorter ELSE longer END")
     pairs = keys.join(earliest.where("n > 1"), "key").withColumn("other", earlier).where("other < at")
-    pairs = pairs.select("at.doc_id", "at.line", F.col("other.doc_id").alias("other_doc"), F.col("other.line").alias("other_line")).distinct()
-    held = pairs.join(near_lines, ["doc_id", "line"]).join(near_lines.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_doc", "other_line"])
-    close = held.mapInPandas(_verified, "doc_id long, line int")
-    dropped = scratch.save(
-        repeated.unionByName(close).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), "dropped"
-    )
+    pairs = pairs.select("at.*", *[F.col(f"other.{c}").alias(f"other_{c}") for c in (*of_text, "line")]).distinct()
+    other_lines = near_lines.select(*[F.col(c).alias(f"other_{c}") for c in near_lines.columns])
+    held = pairs.join(near_lines, [*of_text, "line"]).join(other_lines, ["other_doc_id", "other_part", "other_line"])
+    close = held.mapInPandas(_verified(run), "doc_id long, part long, line int")
+    dropped = repeated.unionByName(close).groupBy(*of_text).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    dropped = scratch.save(dropped, "dropped")
     scratch.drop(lines, first, near_lines, keys)
     return dropped
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def _judged(documents: DataFrame, min_words: int, run: int) -> DataFrame:
+    """row (all columns as they were), doc_id, old_text, text (without its dropped lines), n_lines, dropped."""
+    scratch = Scratch(documents.sparkSession, "lines")
+    own = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = with_part(own, scratch)
+    dropped = repeated_lines(own.select("doc_id", "part", "text"), scratch, min_words, run)
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("dropped", k)), "\n")
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~x.rlike(_BLANK))), F.lit(0)).cast("long")
+    joined = own.join(dropped.hint("merge"), ["doc_id", "part"], "left")
+    return joined.select(
+        "row", "doc_id", F.col("text").alias("old_text"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), "dropped",
+    )
+
+
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, run: int = RUN) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, text without repeated lines, n_lines, n_dropped, dropped.
 
     Lines end at \\n; n_lines counts those with a word. Blank lines and null or empty texts stay as
     they are. `dropped` holds the numbers, from 0, of the lines that went, in order; null where none
     did. Of equal lines the earliest by (doc_id, line number) stays, within a document as well. Rows
-    that repeat a doc_id are taken as one document's copies: they lose the same line numbers. A null
-    doc_id sorts before all others and its rows keep their lines. Other columns are ignored.
+    that repeat a doc_id and text are one document's copies: they lose the same lines. Rows of one
+    doc_id with different texts are documents of their own, ordered by a hash of the text. A null
+    doc_id sorts before all others and its rows keep their lines. Very long texts are read whole, in
+    pieces. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    out = _apply(documents.select("doc_id", F.col("text").cast("string").alias("text")), repeated_lines(documents))
-    n_dropped = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__n_lines").alias("n_lines"), n_dropped.alias("n_dropped"), F.col("__dropped").alias("dropped"))
+    n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
+    return _judged(documents, min_words, run).select("doc_id", "text", "n_lines", n_dropped.alias("n_dropped"), "dropped")
 
 
-def keep_first_lines(documents: DataFrame) -> DataFrame:
+def keep_first_lines(documents: DataFrame, min_words: int = MIN_WORDS, run: int = RUN) -> DataFrame:
     """Documents with their repeated lines removed; those that lose every line they had go.
 
     All columns stay as they are but text, and n_chars where it is there. A document that had no
     line with a word to begin with stays.
     """
-    out = _apply(documents, repeated_lines(documents)).where("__dropped IS NULL OR size(__dropped) < __n_lines")
+    out = _judged(documents, min_words, run).where("dropped IS NULL OR size(dropped) < n_lines")
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*documents.columns)
+        n_chars = F.length("text").cast(documents.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("dropped").isNull(), F.col("row.n_chars")).otherwise(n_chars)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
