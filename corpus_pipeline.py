@@ -10,12 +10,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kerbline.llm.common import Scratch, table
+from kerbline.llm.common import Scratch, scratch_released, table
 from kerbline.llm.decontaminate import without_leaks
 from kerbline.llm.line_dedup import keep_first_lines
-from kerbline.llm.minhash_dedup import near_duplicates
+from kerbline.llm.minhash_dedup import without_copies
 from kerbline.llm.packing import pack
 from kerbline.llm.toxicity import without_toxic
 
@@ -29,9 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # op9 has its own threshold, the default
-    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_copies(docs, percent=80)  # op9 has its own threshold
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +52,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`, each on all that the one before kept.
+
+    Rows without doc_id pass through; null and empty texts, repeated rows, very long texts and extra
+    columns are handled as each stage's operator says. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    done = None
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scratch_released():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if done is not None:
+            scratch.drop(done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)
