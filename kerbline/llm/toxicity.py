@@ -4,7 +4,7 @@ votes, and a linear classifier trained on the posterior labels.
 1. Patterns are whole words and word beginnings of PREFIXES letters. Those that stand in toxic texts
    much more often than chance allows are kept: the lexicon. What counts is in how many different
    places, told apart by the word before, so that copies of a text count once. Learning reads at most
-   LABELLED_ROWS labelled rows, chosen by a hash of doc_id, and at most MAX_PATTERNS patterns are kept.
+   LABELLED_ROWS labelled rows, chosen by a hash of doc_id; that bounds the lexicon, nothing else does.
 2. Each kind of pattern is dealt into VOTERS_PER_KIND voters. A voter votes "toxic" for a text in which
    one of its patterns occurs and abstains otherwise.
 3. The label model takes the voters' agreement from all texts that may be learned from (a matrix of
@@ -23,7 +23,6 @@ Only labels of rows with crc32(doc_id as text) mod 3 other than 1 are learned fr
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,24 +31,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import Scratch
+from kerbline.llm.common import Scratch, broadcast_if_small, scratch_released
 
 #: Bound on the labelled rows that the lexicon is learned from.
 LABELLED_ROWS = 200_000
 #: Bound on the texts with votes that the classifier is fitted to.
 SAMPLE_ROWS = 20_000
-MAX_PATTERNS = 2_000
 #: Patterns in this many toxic labelled texts, with this share of toxic ones, are looked at more closely.
 LEAST_TOXIC_TEXTS = 3
 LEAST_SHARE = 0.5
-CANDIDATES = 20_000
 #: Log of how unlikely a pattern's places must be by chance: one in twenty in a million patterns.
 LEAST_SURPRISE = float(np.log(1e6 / 0.05))
 PREFIXES = (4, 5, 6)
 VOTERS_PER_KIND = 8
 THRESHOLD = 0.7
 _SEPARATOR = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+_GAP = re.compile(_SEPARATOR)
 
 
 @dataclass(frozen=True)
@@ -58,10 +55,6 @@ class Model:
     weights: tuple[float, ...]
     intercept: float
 
-    @property
-    def index(self) -> dict[str, int]:
-        return {p: k for k, p in enumerate(self.patterns)}
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -73,64 +66,48 @@ def _patterns_of(word: Column) -> Column:
     return F.array_compact(F.array(F.concat(F.lit("="), word), *begins))
 
 
-def present(text: str | None, index: dict[str, int]) -> list[int]:
-    """Numbers of the patterns that occur in a text, in order."""
-    found = set()
-    for word in set(_WORD.findall((text or "").lower())):
-        found.add(index.get("=" + word, -1))
-        for n in PREFIXES:
-            if len(word) > n:
-                found.add(index.get("^" + word[:n], -1))
-    found.discard(-1)
-    return sorted(found)
+class Finder:
+    """Patterns that occur in a text, by one automaton for all of them."""
+
+    def __init__(self, patterns: tuple[str, ...] | list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for k, p in enumerate(patterns):
+            self.automaton.add_word(f" {p[1:]} " if p[0] == "=" else f" {p[1:]}", (k, p[0] == "^"))
+        self.automaton.make_automaton()
 
+    def __call__(self, text: str | None) -> list[int]:
+        """Their numbers, in order."""
+        spaced = f" {_GAP.sub(' ', (text or '').lower())} "
+        return sorted({k for end, (k, begin) in self.automaton.iter(spaced) if not begin or spaced[end + 1] != " "})
 
-def learn_lexicon(documents: DataFrame, labels: DataFrame) -> tuple[list[str], float]:
+
+def learn_lexicon(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[list[str], float]:
     """Patterns, and the share of toxic texts among the labelled ones."""
-    spark = documents.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)  # the bound lets it be broadcast
-    scratch = Scratch(spark, "lexicon")
     known = scratch.save(known, "labels")
+    share = min(max(known.agg(F.avg("toxic")).first()[0] or 0.0, 1e-6), 1 - 1e-6)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), _SEPARATOR))
-    words = texts.select("toxic", F.explode_outer(words).alias("word"), F.xxhash64("doc_id", "text").alias("row")).where("word <> ''")
-    found = words.select("toxic", "row", F.explode_outer(_patterns_of(F.col("word"))).alias("pattern"))
-    counts = found.groupBy("pattern").agg(F.sum("toxic").alias("x"), F.count(F.lit(1)).alias("n"))
-    # a beginning that several words of a text share counts once for each: as good for a ratio
-    good = counts.where((F.col("x") >= LEAST_TOXIC_TEXTS) & (F.col("x") >= LEAST_SHARE * F.col("n")))
-    score = F.col("x") * F.log((F.col("x") + 1) / (F.col("n") - F.col("x") + 1))
-    candidates = [r["pattern"] for r in good.orderBy(score.desc(), "pattern").limit(CANDIDATES).select("pattern").collect()]
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
-
-    places = texts.select("toxic", "text").mapInPandas(_places(candidates), "pattern int, toxic int, place long").distinct()
-    counts = places.groupBy("pattern").agg(F.sum("toxic").alias("x"), F.count(F.lit(1)).alias("n")).collect()  # one for each candidate
-    ranked = sorted((-_surprise(r["x"], r["n"], share), candidates[r["pattern"]]) for r in counts if r["x"] > LEAST_SHARE * r["n"])
-    return sorted(p for s, p in ranked[:MAX_PATTERNS] if -s >= LEAST_SURPRISE), float(share)
-
-
-def _surprise(x: int, n: int, share: float) -> float:
-    """Minus the log of the chance bound of x toxic places or more among n."""
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    clean = (n - x) * np.log((n - x) / n / (1 - share)) if n > x else 0.0
-    return float(x * np.log(x / n / share) + clean)
-
+    worded = texts.select("toxic", F.explode(F.array(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _SEPARATOR), lambda w: w != ""))).alias("w"))
 
-def _places(patterns: list[str]):
-    index = {p: k for k, p in enumerate(patterns)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = set()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                before = 0
-                for word in _WORD.findall((text or "").lower()):
-                    rows.update((k, toxic, before) for k in present(word, index))
-                    before = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-            yield pd.DataFrame(list(rows), columns=["pattern", "toxic", "place"])
+    words = worded.select("toxic", F.explode(F.array_distinct("w")).alias("word"))
+    # a beginning that several words of a text share counts once for each: as good for a ratio
+    counts = words.select("toxic", F.explode(_patterns_of(F.col("word"))).alias("pattern")).groupBy("pattern").agg(F.sum("toxic").alias("x"), F.count(F.lit(1)).alias("n"))
+    candidates = scratch.save(counts.where((F.col("x") >= LEAST_TOXIC_TEXTS) & (F.col("x") >= LEAST_SHARE * F.col("n"))).select("pattern"), "candidates")
 
-    return run
+    before = F.concat(F.array(F.lit("")), "w")
+    each = worded.select("toxic", F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice(before, 1, F.greatest(F.lit(1), F.size("w"))).alias("before"))).alias("z")).where("z.word IS NOT NULL")
+    places = each.select("toxic", F.xxhash64("z.before").alias("place"), F.explode(_patterns_of(F.col("z.word"))).alias("pattern"))
+    places = places.join(broadcast_if_small(candidates), "pattern").distinct()
+    counts = places.groupBy("pattern").agg(F.sum("toxic").alias("x"), F.count(F.lit(1)).alias("n"))
+    x, n = F.col("x"), F.col("n")
+    clean = F.when(n > x, (n - x) * F.log((n - x) / n / (1 - share))).otherwise(0.0)
+    # minus the log of the chance bound of x toxic places or more among n
+    surprising = counts.where((x > LEAST_SHARE * n) & (x * F.log(x / n / share) + clean >= LEAST_SURPRISE))
+    return sorted(r["pattern"] for r in surprising.select("pattern").collect()), share
 
 
 def voters_of(patterns: list[str]) -> np.ndarray:
@@ -145,11 +122,10 @@ def voters_of(patterns: list[str]) -> np.ndarray:
 
 
 def _found(patterns: list[str]):
-    index = {p: k for k, p in enumerate(patterns)}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(patterns)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [present(t, index) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "found": [find(t) for t in batch["text"]]})
 
     return run
 
@@ -235,29 +211,25 @@ def fit_classifier(found: list[list[int]], target: np.ndarray, weight: np.ndarra
     return w, float(b)
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Model from documents (doc_id, text, ...) and labels (doc_id, toxic, ...), held-out rows unread.
-
-    Without any usable toxic label there is no lexicon, and the model gives every text 0.
-    """
-    spark = documents.sparkSession
-    patterns, balance = learn_lexicon(documents, labels)
+def _learn(documents: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame | None]:
+    """Model, and doc_id, held_out, found (numbers of the patterns) of every row; None without a lexicon."""
+    patterns, balance = learn_lexicon(documents, labels, scratch)
     if not patterns:
-        return Model((), (), -1e9)
-    scratch = Scratch(spark, "toxicity")
-    open_rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")))
-    found = scratch.save(open_rows.mapInPandas(_found(patterns), "doc_id long, found array<int>"), "found")
+        return Model((), (), -1e9), None
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    every = scratch.save(rows.mapInPandas(_found(patterns), "doc_id long, held_out boolean, found array<int>"), "found")
+    found = every.where("NOT held_out")
 
     voters = voters_of(patterns)
     n_voters = (1 + len(PREFIXES)) * VOTERS_PER_KIND
     pairs = found.select("found").mapInPandas(_agreement(voters, n_voters), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    together, rows = np.zeros((n_voters, n_voters)), 0
+    together, n_rows = np.zeros((n_voters, n_voters)), 0
     for r in pairs:  # at most one for each pair of voters
         if r["i"] < 0:
-            rows = r["n"]
+            n_rows = r["n"]
         else:
             together[r["i"], r["j"]] = r["n"]
-    model = fit_label_model(together, rows, balance)
+    model = fit_label_model(together, n_rows, balance)
 
     # the rest of the work on these is the driver's: a bounded sample
     with_votes = found.where("size(found) > 0")
@@ -268,21 +240,36 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     for k, f in enumerate(sets):
         votes[k, voters[f]] = 1
     weight = np.ones(len(sets)) * n_with / max(1, len(sample))
-    weight[-1] = rows - n_with
+    weight[-1] = n_rows - n_with
     w, b = fit_classifier([f.tolist() for f in sets], model.posterior(votes), weight, len(patterns))
-    return Model(tuple(patterns), tuple(float(x) for x in w), b)
+    return Model(tuple(patterns), tuple(float(x) for x in w), b), every
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """Model from documents (doc_id, text, ...) and labels (doc_id, toxic, ...), held-out rows unread.
+
+    Without any usable toxic label there is no lexicon, and the model gives every text 0.
+    """
+    with scratch_released():
+        return _learn(documents, labels, Scratch(documents.sparkSession, "toxicity"))[0]
+
+
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
 def scorer(model: Model):
     """Column function: text -> score from 0 to 1."""
-    index, weights, intercept = model.index, np.array(model.weights), model.intercept
+    patterns, weights, intercept = model.patterns, np.array(model.weights), model.intercept
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not index:
-            return pd.Series(np.zeros(len(texts)))
-        odds = np.array([intercept + weights[np.array(present(t, index), dtype=np.int64)].sum() for t in texts], dtype=np.float64)
-        return pd.Series(1 / (1 + np.exp(-np.clip(odds, -700, 700))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = Finder(patterns) if patterns else None
+        for texts in batches:
+            if find is None:
+                yield pd.Series(np.zeros(len(texts)))
+            else:
+                yield pd.Series(_probability(np.array([intercept + weights[find(t)].sum() for t in texts], dtype=np.float64)))
 
     return score
 
@@ -290,12 +277,22 @@ def scorer(model: Model):
 def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, held_out, score, predicted, one row for each row.
 
-    Null and empty texts have no pattern and get the score of such texts. A null doc_id counts as not
-    held out and stays null. Labels are read by doc_id; of labels that differ for one doc_id the toxic
-    one counts. Other columns are ignored.
+    Null and empty texts have no pattern and get the score of such texts; very long texts are read
+    whole. A null doc_id counts as not held out and stays null. Labels are read by doc_id; of labels
+    that differ for one doc_id the toxic one counts. Rows that repeat a doc_id are scored each on its
+    own text. Other columns are ignored; an empty table gives no rows.
     """
-    score = scorer(fit(documents, labels))
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
+    model, found = _learn(documents, labels, Scratch(documents.sparkSession, "toxicity"))
+    if found is None:
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+        return rows.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    weights, intercept = np.array(model.weights), model.intercept
+
+    @F.pandas_udf("double")
+    def score(found: pd.Series) -> pd.Series:
+        return pd.Series(_probability(np.array([intercept + weights[np.asarray(f, dtype=np.int64)].sum() for f in found], dtype=np.float64)))
+
+    out = found.select("doc_id", "held_out", score("found").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
