@@ -3,7 +3,8 @@
 Lengths are integers up to the capacity, so however many pieces there are, their lengths are a
 histogram of at most `capacity` counts. The packing is planned on the histogram alone: a plan is a
 list of (count, pattern) where a pattern is the lengths one sequence holds. Pieces then take the
-plan's places by their rank among pieces of equal length. Only the histogram reaches the driver.
+plan's places by their rank among pieces of equal length; pieces as long as a sequence need no rank.
+Only the histogram reaches the driver.
 
 Planning first applies the Martello-Toth dominance criteria: for a length j, a set holding j that
 dominates every other feasible set holding j is packed for good (j alone where nothing fits beside
@@ -27,8 +28,6 @@ from pyspark.sql.window import Window
 from kerbline.llm.common import Scratch
 
 CAPACITY = 2048
-#: Ranks among equal lengths are counted within this many chunks of documents, then added up.
-RANK_CHUNKS = 256
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
@@ -132,7 +131,6 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]
     return [(n, pattern) for group in open_.values() for pattern, n in group.items()]
 
 
-
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, Pattern]]:
     fixed, left = reduce_by_dominance(counts, capacity)
     return fixed + best_fit(left, capacity)
@@ -191,16 +189,19 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     A document is its token ids and `end_id`. One longer than `capacity` is cut into pieces of
     `capacity`, the first of which may be shorter. Each sequence holds pieces without gaps from
     offset 0. Null or empty text is the end token alone. Rows that repeat a doc_id are packed each on
-    its own; a null doc_id stays null. Other columns are ignored. An empty table gives no rows.
+    its own; a null doc_id stays null. Very long texts are encoded whole. Other columns are ignored. An
+    empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = scratch.save(texts.mapInPandas(_pieces(tokenizer_path, capacity, end_id), schema), "pieces")
-    pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_CHUNKS)).cast("int"))
+    # a piece's number: its task's and its place in that task's output, fixed when the table is written
+    pieces = texts.mapInPandas(_pieces(tokenizer_path, capacity, end_id), schema).withColumn("number", F.monotonically_increasing_id())
+    pieces = scratch.save(pieces, "pieces").withColumn("chunk", F.shiftright("number", 33))
 
-    chunks = pieces.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    chunks = short.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in chunks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots, first_free, next_id = [], dict.fromkeys(counts, 0), 0
     for n, pattern in plan_sequences(counts, capacity):
@@ -213,12 +214,12 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     # the plan has a few rows for each length, whatever the input
     places = F.broadcast(spark.createDataFrame(slots, "length long, lo long, hi long, first_id long, each long, at long"))
 
+    # ranks within one length of one task's pieces, and how many pieces of it earlier tasks have
     before = chunks.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece")) - 1
-    ranked = pieces.withColumn("within", within).join(before, ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("within"))
+    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("number")) - 1
+    ranked = short.withColumn("within", within).join(before, ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("within"))
     placed = ranked.join(places, "length").where("rank >= lo AND rank < hi")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        F.expr("first_id + (rank - lo) div each").alias("sequence_id"),
-        F.expr("at + ((rank - lo) % each) * length").alias("offset"),
-    )
+    piece = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = placed.select(*piece, F.expr("first_id + (rank - lo) div each").alias("sequence_id"), F.expr("at + ((rank - lo) % each) * length").alias("offset"))
+    alone = full.select(*piece, (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)
