@@ -154,16 +154,16 @@ class ShardStore:
                 merged = self._read(batch[0]).coalesce(1)
                 for run in batch[1:]:
                     merged = merged.unionAll(self._read(run).coalesce(1))
-                gone = [s for run in batch for s in run]
+                gone = {s for run in batch for s in run}
                 new = self._write(merged, "merged")
                 if sum(s.n_rows for s in new) != sum(s.n_rows for s in gone):
                     raise RuntimeError("a merge lost rows; nothing was committed")
                 while True:
                     version, shards = self.manifest()
-                    if not set(gone) <= set(shards):
+                    if not gone <= set(shards):
                         break
                     try:
-                        self._commit(version, [s for s in shards if s not in set(gone)] + new)
+                        self._commit(version, [s for s in shards if s not in gone] + new)
                         break
                     except Conflict:
                         continue
