@@ -14,14 +14,17 @@ The search is probabilistic; more directions mean narrower caps. Measured by `re
 often, and clustered vectors share caps): see MEASURED_RECALL, which a test keeps true.
 
 Filters with many vectors are cut into cells of two blocks of at most CELL vectors, so any filter is
-compared whole by many small tasks. A cell compares its vectors in double precision and returns, for
-each vector, how many it links with and one link that leads to the smallest vector reachable within
-the cell: never all pairs. A pair is counted in the first filter that it shares. Equal vectors are one
-class with a count.
+compared whole by many small tasks. Cells see sketches first, SKETCH signs of random projections, and
+only vectors that are within `sketch_distance` of another one there are fetched: at the threshold the
+chance to lie further apart is below 1e-6. A cell then compares its vectors in double precision and
+returns, for each vector, how many it links with and one link that leads to the smallest vector
+reachable within the cell: never all pairs. A pair is counted in the first filter that it shares. Equal
+vectors are one class with a count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +39,11 @@ ROTATIONS = 8
 PASSES = 2
 PER_FILTER = 192
 CELL = 512
+SKETCH = 192
 #: Vectors in a table -> share of the pairs at cosine 0.95 that meet.
 MEASURED_RECALL = {10_000: 1.0, 1_000_000: 1.0, 100_000_000: 0.995}
 _LEAST_DIMENSION = 16
+_SKETCH = [f"s{k}" for k in range(SKETCH // 64)]
 
 Code = tuple[np.ndarray, list[np.ndarray]]
 
@@ -98,6 +103,23 @@ def recall(vectors: int, pairs: int = 2000, cosine: float = 0.95, dimension: int
     return float((a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean())
 
 
+def sketch_distance(threshold: float, miss: float = 1e-6) -> int:
+    """Signs of SKETCH that may differ: two vectors at this cosine differ in more with chance `miss` at most."""
+    share = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    left, distance = 1.0, 0
+    for distance in range(SKETCH + 1):
+        left -= math.comb(SKETCH, distance) * share**distance * (1 - share) ** (SKETCH - distance)
+        if left <= miss:
+            break
+    return distance
+
+
+def _sketches(unit: np.ndarray) -> np.ndarray:
+    """Three integers with the signs of each row's projections."""
+    planes = np.random.default_rng([unit.shape[1], SKETCH]).standard_normal((unit.shape[1], SKETCH))
+    return np.packbits(unit @ planes > 0, axis=1).view(np.int64)
+
+
 def _values(vector: object) -> np.ndarray | None:
     """The vector's numbers, in single precision where that holds them exactly; None where it links with nothing."""
     if vector is None:
@@ -134,8 +156,10 @@ def _decoded(words: int):
             for dimension, rows in batch.groupby("dimension"):
                 if dimension not in codes:
                     codes[dimension] = _codes(dimension, words)
-                filters = passed_filters(_units(rows["raw"], dimension), codes[dimension])
-                yield pd.DataFrame({"node": rows["node"], "n": rows["n"], "dimension": np.int32(dimension), "raw": rows["raw"], "filters": list(filters)})
+                unit = _units(rows["raw"], dimension)
+                sketch = _sketches(unit)
+                out = rows[["id", "node", "n", "dimension", "raw"]].copy()
+                yield out.assign(filters=list(passed_filters(unit, codes[dimension])), **{name: sketch[:, k] for k, name in enumerate(_SKETCH)})
 
     return run
 
@@ -175,9 +199,23 @@ def _compared(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
 _CELL = ["dimension", "filter", "i", "j"]
 
 
-def _compare(threshold: float):
+def _near_sketches(cell: pd.DataFrame, distance: int) -> pd.DataFrame:
+    """The rows of one cell that have another one within the distance."""
+    apart = np.zeros((len(cell), len(cell)), dtype=np.int32)
+    for name in _SKETCH:
+        signs = cell[name].to_numpy().view(np.uint64)
+        apart += np.bitwise_count(signs[:, None] ^ signs[None, :])
+    np.fill_diagonal(apart, SKETCH + 1)
+    if cell["i"].iloc[0] != cell["j"].iloc[0]:
+        block = cell["block"].to_numpy()
+        apart[block[:, None] == block[None, :]] = SKETCH + 1
+    return cell.loc[(apart <= distance).any(axis=1), [*_CELL, "block", "id"]]
+
+
+def _by_cell(work):
+    """Runs work on each cell of two rows or more. Rows come sorted by cell; the last cell of a batch may go on in the next one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by cell; the last cell of a batch may go on in the next one."""
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -185,12 +223,12 @@ def _compare(threshold: float):
                 continue
             key = rows[_CELL].to_numpy(dtype=np.int64)
             begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
-            done = [_compared(rows.iloc[a:b], threshold) for a, b in zip(begin[:-1], begin[1:], strict=True) if b - a > 1]
+            done = [work(rows.iloc[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True) if b - a > 1]
             if done:
                 yield pd.concat(done, ignore_index=True)
             held = rows.iloc[begin[-1] :]
         if held is not None and len(held) > 1:
-            yield _compared(held, threshold)
+            yield work(held)
 
     return run
 
@@ -213,22 +251,30 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")
     )
     schema = "h1 long, h2 long, node long, n long, dimension int, raw binary"
-    classes = scratch.save(classes.mapInPandas(_usable, schema), "classes")
+    classes = classes.mapInPandas(_usable, schema).withColumn("id", F.monotonically_increasing_id())
+    classes = scratch.save(classes, "classes")  # ids are fixed when the table is written
     words = code_words(classes.count())
 
-    schema = "node long, n long, dimension int, raw binary, filters array<long>"
-    decoded = scratch.save(classes.select("node", "n", "dimension", "raw").mapInPandas(_decoded(words), schema), "decoded")
-    passed = decoded.select("dimension", F.explode("filters").alias("filter"))
-    blocks = F.ceil(F.col("members") / CELL).cast("int")
-    sizes = passed.groupBy("dimension", "filter").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("dimension", "filter", blocks.alias("blocks"))
-    member = decoded.select("node", "n", "dimension", "raw", "filters", F.explode("filters").alias("filter")).join(sizes, ["dimension", "filter"])
-    earlier = F.expr("slice(filters, 1, greatest(0, array_position(filters, filter) - 1))")  # filters are sorted
-    member = member.withColumns({"block": F.pmod(F.xxhash64("node", "filter"), F.col("blocks")).cast("int"), "earlier": earlier}).drop("filters")
-    member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    schema = "id long, node long, n long, dimension int, raw binary, filters array<long>, " + ", ".join(f"{name} long" for name in _SKETCH)
+    decoded = scratch.save(classes.select("id", "node", "n", "dimension", "raw").mapInPandas(_decoded(words), schema), "decoded")
+    passed = decoded.select("id", "dimension", *_SKETCH, F.explode("filters").alias("filter"))
+    crowded = passed.groupBy("dimension", "filter").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CELL)
+    crowded = crowded.select("dimension", "filter", F.ceil(F.col("members") / CELL).cast("int").alias("blocks"))
+    crowded = broadcast_if_small(scratch.save(crowded, "crowded"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    member = passed.join(crowded, ["dimension", "filter"], "left").withColumn("block", F.pmod(F.xxhash64("id", "filter"), blocks).cast("int"))
+    member = member.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = member.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks")
-    dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
-    found = scratch.save(dealt.mapInPandas(_compare(threshold), "node long, degree long, other long"), "links")
-    scratch.drop(decoded)
+    dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    distance = sketch_distance(threshold)
+    close = dealt.mapInPandas(_by_cell(lambda cell: _near_sketches(cell, distance)), "dimension int, filter long, i int, j int, block int, id long")
+    close = scratch.save(close, "close")
+
+    earlier = F.expr("slice(filters, 1, greatest(0, array_position(filters, filter) - 1))")  # filters are sorted
+    fetched = close.join(decoded.select("id", "node", "n", "raw", "filters"), "id").withColumn("earlier", earlier).drop("filters", "id")
+    dealt = fetched.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    found = scratch.save(dealt.mapInPandas(_by_cell(lambda cell: _compared(cell, threshold)), "node long, degree long, other long"), "links")
+    scratch.drop(decoded, close)
 
     degrees = found.groupBy("node").agg(F.sum("degree").alias("degree"))
     components = connected_components(found.select(F.col("node").alias("src"), F.col("other").alias("dst")), scratch)
