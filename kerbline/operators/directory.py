@@ -1,25 +1,40 @@
-"""Directory, detail and saved-list queries."""
+"""Dealer directory, dealer and listing details, saved lists, and what visitors send in."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.functions.text import trimmed
 
-def directory(garages: DataFrame, listings: DataFrame) -> DataFrame:
-    """Garages with how many of the given listings they have, zero too; most first, then by name.
+LATEST = 48
 
-    `listings` is filtered before it gets here: a filter after the outer join would lose empty garages.
+
+def directory(dealers: DataFrame, listings: DataFrame, kind: str | None = None) -> DataFrame:
+    """Active dealers with how many of the given listings they have, zero too; most first, then by name.
+
+    `listings` is filtered before it gets here: a filter after the outer join would lose empty dealers.
     """
-    counts = listings.groupBy("garage_id").agg(F.count(F.lit(1)).alias("n"))
-    out = garages.join(counts, garages["id"] == counts["garage_id"], "left").drop("garage_id")
+    shown = dealers.where("is_active") if kind is None else dealers.where(F.col("is_active") & (F.col("kind") == kind))
+    counts = listings.groupBy("dealer_id").agg(F.count(F.lit(1)).alias("n"))
+    out = shown.join(counts, shown["id"] == counts["dealer_id"], "left").drop("dealer_id")
     return out.withColumn("listing_count", F.coalesce("n", F.lit(0))).drop("n").orderBy(F.col("listing_count").desc(), "name")
 
 
-def latest(listings: DataFrame, garage_id: int, k: int = 48) -> DataFrame:
-    return listings.where(F.col("garage_id") == garage_id).orderBy(F.col("scraped_at").desc_nulls_last(), "id").limit(k)
+def by_slug(dealers: DataFrame, slug: str) -> DataFrame:
+    """The active dealer of that slug: one row or none."""
+    return dealers.where((F.col("slug") == slug) & F.col("is_active")).limit(1)
+
+
+def sources_of(sources: DataFrame, dealer_id: int) -> DataFrame:
+    return sources.where(F.col("dealer_id") == dealer_id)
+
+
+def latest(listings: DataFrame, dealer_id: int, k: int = LATEST) -> DataFrame:
+    """A dealer's newest active listings; a null time counts as newest, the id settles ties."""
+    return listings.where(F.col("is_active") & (F.col("dealer_id") == dealer_id)).orderBy(F.col("scraped_at").desc_nulls_first(), "id").limit(k)
 
 
 def by_key(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -32,6 +47,19 @@ def saved(spark: SparkSession, listings: DataFrame, ids: Sequence[int]) -> DataF
     return listings.join(wanted, "id").orderBy("position")  # a client's list is short; Spark broadcasts it by its size
 
 
-def toggled(saved_ids: list[int], one: int) -> list[int]:
+def toggled(saved_ids: Column, one: Column) -> Column:
     """Id list after a click: taken out where it is there, else put first."""
-    return [i for i in saved_ids if i != one] if one in saved_ids else [one, *saved_ids]
+    return F.when(F.array_contains(saved_ids, one), F.array_remove(saved_ids, one)).otherwise(F.concat(F.array(one), saved_ids))
+
+
+def feedback(sent: DataFrame) -> DataFrame:
+    """(category, rating, message) as they are stored: a rating of 0 is none, the message is trimmed."""
+    return sent.select("category", F.nullif("rating", F.lit(0)).alias("rating"), trimmed(F.col("message")).alias("message"))
+
+
+def reports(sent: DataFrame) -> DataFrame:
+    """(listing_id, report_type, description) as they are stored: without listing or type there is no
+    report, a blank description is none, the status is open."""
+    there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    kept = sent.where(there("listing_id") & there("report_type"))
+    return kept.select("listing_id", "report_type", F.nullif(trimmed(F.col("description")), F.lit("")).alias("description"), F.lit("open").alias("status"))

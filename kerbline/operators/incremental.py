@@ -1,12 +1,12 @@
-"""Incremental work: first occurrences, chunks, early stop, and the recheck rule."""
+"""Incremental work: first occurrences, chunks and their results, early stop, and the recheck rule."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from datetime import timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,45 +31,80 @@ def chunk_numbers(df: DataFrame, group: str, order: Sequence[str], size: int = 6
     return out.withColumns({"chunk": F.floor(F.col("__r") / size).cast("int"), "index": (F.col("__r") % size + 1).cast("int")}).drop("__r")
 
 
+def chunks_to_send(items: DataFrame, keys: Sequence[str], content: Column, images: str) -> DataFrame:
+    """keys, n_items, n_images of the chunks that have any text or image; the others get empty results unasked."""
+    there = (F.coalesce(content, F.lit("")) != "") | (F.col(images) > 0)
+    out = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.sum(images).alias("n_images"), F.bool_or(there).alias("__any"))
+    return out.where("__any").drop("__any")
+
+
 def aligned(items: DataFrame, results: DataFrame, keys: Sequence[str] = ("chunk", "index"), value: str = "value", order: str = "pos") -> DataFrame:
     """Items with the last result for their index; indexes without an item are dropped, missing ones null."""
     last = results.groupBy(*keys).agg(F.max(F.struct(order, value)).alias("r"))
     return items.join(last, list(keys), "left").withColumn(value, F.col(f"r.{value}")).drop("r")
 
 
+def enriched(cards: DataFrame, details: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Cards with what their details page says; where it says nothing (null, no items), the card's own."""
+    found = details.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    kinds = {c: cards.schema[c].dataType.typeName() for c in columns}
+    pick = lambda c: F.when(F.size(f"__{c}") > 0, F.col(f"__{c}")).otherwise(F.col(c)) if kinds[c] == "array" else F.coalesce(f"__{c}", c)
+    return cards.join(found, F.col(key) == F.col("__key"), "left").withColumns({c: pick(c) for c in columns}).select(*cards.columns)
+
+
 def until_empty(pages: DataFrame, page: str = "page", rows: str = "n_rows") -> DataFrame:
     """Pages before the first one without rows."""
-    stop = pages.where(F.col(rows) == 0).agg(F.min(page).alias("__stop"))
-    return pages.join(F.broadcast(stop), on=F.lit(True)).where(F.col("__stop").isNull() | (F.col(page) < F.col("__stop"))).drop("__stop")
+    stop = pages.where(F.col(rows) == 0).agg(F.coalesce(F.min(page), F.lit(2**31 - 1)).alias("stop"))
+    return pages.where(F.col(page) < stop.scalar())
+
+
+def checked_since(candidates: DataFrame, checked: DataFrame, key: str, as_of: str, hours: int = RECHECK_HOURS) -> DataFrame:
+    """Candidates that were checked within `hours` of `as_of`; a check at the limit counts."""
+    return candidates.join(_recent(checked, key, as_of, hours), key, "left_semi")
 
 
 def not_recent(candidates: DataFrame, checked: DataFrame, key: str, as_of: str, hours: int = RECHECK_HOURS) -> DataFrame:
-    """Candidates that weren't checked within `hours` of `as_of`; a check at the limit counts as recent."""
+    """The other candidates."""
+    return candidates.join(_recent(checked, key, as_of, hours), key, "left_anti")
+
+
+def _recent(checked: DataFrame, key: str, as_of: str, hours: int) -> DataFrame:
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS")
-    return candidates.join(checked.where(F.col("last_checked_at") >= cutoff).select(key), key, "left_anti")
+    return checked.where(F.col("last_checked_at") >= cutoff).select(key)
 
 
 def greedy_recheck(events: DataFrame, key: str, ts: str, hours: int = RECHECK_HOURS) -> DataFrame:
     """Adds processed: true where the key's last processed event lies more than `hours` back, or none is.
 
     Each processed event sets the key's clock, so order matters: rows are dealt by key, sorted, and read
-    once with one clock in memory; nothing but a batch is held.
+    once; a search jumps from one processed event to the next. Only a batch and one clock are held,
+    however many events a key has. Of events of one key and time all are processed or none. Rows
+    without key or time are not processed and set no clock.
     """
-    window = timedelta(hours=hours)
+    window = np.timedelta64(hours, "h")
     at_ts, at_key = events.columns.index(ts), events.columns.index(key)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, clock = None, None
+        last_key, clock = None, None
         for batch in batches:
-            out = []
-            for k, t in zip(batch.iloc[:, at_key], batch.iloc[:, at_ts], strict=True):
-                if k != current:
-                    current, clock = k, None
-                done = clock is None or t > clock + window
-                if done:
-                    clock = t
-                out.append(done)
-            yield batch.assign(processed=out)
+            keys, times = batch.iloc[:, at_key], batch.iloc[:, at_ts].to_numpy("datetime64[us]")
+            done = np.zeros(len(batch), dtype=bool)
+            known = np.flatnonzero((keys.notna() & ~np.isnat(times)).to_numpy())
+            held = keys.to_numpy()[known]
+            begins = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else []
+            for begin, end in zip(begins, [*begins[1:], len(held)], strict=True):
+                own = times[known[begin:end]]
+                if held[begin] != last_key:
+                    last_key, clock = held[begin], None
+                at = 0 if clock is None else np.searchsorted(own, clock + window, side="right")
+                if clock is not None:  # the clock's own time may go on in this batch
+                    done[known[begin : begin + np.searchsorted(own, clock, side="right")]] = True
+                while at < len(own):
+                    clock = own[at]
+                    upto = np.searchsorted(own, clock, side="right")
+                    done[known[begin + at : begin + upto]] = True
+                    at = np.searchsorted(own, clock + window, side="right")
+            yield batch.assign(processed=done)
 
     schema = events.schema.add("processed", "boolean")
     return events.repartition(F.col(key)).sortWithinPartitions(key, ts).mapInPandas(scan, schema)

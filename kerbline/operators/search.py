@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 
 PAGE_SIZE = 24
 SEARCHED = ("make", "model", "variant", "description")
+#: Makes that the featured order puts first, in lower case.
+PREMIUM_MAKES = (
+    "bmw", "mercedes-benz", "mercedes", "audi", "porsche", "lexus", "jaguar", "land rover", "range rover", "volvo", "mini",
+    "lamborghini", "ferrari", "bentley", "rolls-royce", "rolls royce", "maserati", "aston martin", "mclaren", "jeep", "bmw motorrad",
+)
+#: Names of the sort fields in a URL, and their columns.
+SORTS = {"price": "price", "year": "year", "kmDriven": "km_driven", "scrapedAt": "scraped_at"}
+#: Facets, and those whose blank values are left out.
+FACETS = ("city", "fuel_type", "transmission", "body_type", "source_platform")
+OPTIONAL_FACETS = ("fuel_type", "transmission", "body_type")
 
 
 @dataclass(frozen=True)
@@ -27,6 +37,18 @@ class ListingFilters:
     body_type: str | None = None
     source_platform: str | None = None
     city: str | None = None
+    sort_by: str = "scrapedAt"
+    sort_order: str = "desc"
+    page: int = 1
+    page_size: int = PAGE_SIZE
+
+
+def filters_of(params: Mapping[str, str]) -> ListingFilters:
+    """Filters of a URL's parameters: an empty value is as good as none, "0" is a number."""
+    number = {"minPrice": float, "maxPrice": float, "minYear": int, "maxYear": int, "page": int}
+    names = {"minPrice": "min_price", "maxPrice": "max_price", "minYear": "min_year", "maxYear": "max_year", "fuelType": "fuel_type", "bodyType": "body_type", "sourcePlatform": "source_platform", "sortBy": "sort_by", "sortOrder": "sort_order"}
+    known = ("search", "transmission", "city", "page", *names)
+    return ListingFilters(**{names.get(k, k): number.get(k, str)(params[k]) for k in known if params.get(k)})
 
 
 def like_pattern(search: str) -> str:
@@ -44,33 +66,33 @@ def like_pattern(search: str) -> str:
     return "%" + "".join(out) + "%"
 
 
-def build_predicate(filters: ListingFilters, columns: Sequence[str]) -> Column:
+def build_predicate(filters: ListingFilters) -> Column:
     """Conjunction of the filters that are set, always with is_active."""
     parts = [F.col("is_active")]
     if filters.search:
-        parts.append(reduce(Column.__or__, [F.col(c).ilike(like_pattern(filters.search)) for c in SEARCHED if c in columns]))
+        parts.append(reduce(Column.__or__, [F.col(c).ilike(like_pattern(filters.search)) for c in SEARCHED]))
     for name, column, lowest in (("min_price", "price", True), ("max_price", "price", False), ("min_year", "year", True), ("max_year", "year", False)):
         bound = getattr(filters, name)
         if bound is not None:
             parts.append(F.col(column) >= bound if lowest else F.col(column) <= bound)
-    for f in fields(filters)[5:]:
-        if getattr(filters, f.name):
-            parts.append(F.col(f.name) == getattr(filters, f.name))
+    for name in ("fuel_type", "transmission", "body_type", "source_platform", "city"):
+        if getattr(filters, name):
+            parts.append(F.col(name) == getattr(filters, name))
     return reduce(Column.__and__, parts)
 
 
 def search(listings: DataFrame, filters: ListingFilters) -> DataFrame:
-    return listings.where(build_predicate(filters, listings.columns))
+    return listings.where(build_predicate(filters))
 
 
-def featured_order(premium: Sequence[str]) -> list[Column]:
+def featured_order() -> list[Column]:
     """Available, with media, premium make, dearest, newest; the id settles ties."""
     return [
-        (F.col("sale_status") == "available").desc_nulls_last(),
+        (F.col("sale_status") == "available").desc_nulls_first(),
         (F.coalesce(F.col("media_count"), F.lit(0)) > 0).desc(),
-        F.lower("make").isin(*premium).desc_nulls_last(),
+        F.coalesce(F.lower("make").isin(*PREMIUM_MAKES), F.lit(False)).desc(),
         F.col("price").desc_nulls_last(),
-        F.col("scraped_at").desc_nulls_last(),
+        F.col("scraped_at").desc_nulls_first(),
         F.col("id").asc_nulls_last(),
     ]
 
@@ -81,6 +103,13 @@ def sorted_by(column: str, descending: bool) -> list[Column]:
     return [first, F.col("id").asc_nulls_last()]
 
 
+def order_of(filters: ListingFilters) -> list[Column]:
+    """The featured order where the newest are asked for (the default), else the one field that is named."""
+    if filters.sort_by == "scrapedAt" and filters.sort_order == "desc":
+        return featured_order()
+    return sorted_by(SORTS[filters.sort_by], filters.sort_order != "asc")
+
+
 def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int = PAGE_SIZE) -> DataFrame:
     if page < 1:
         raise ValueError("pages count from 1")
@@ -91,9 +120,15 @@ def page_totals(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / size).cast("bigint").alias("total_pages"))
 
 
-def facets(listings: DataFrame, columns: Sequence[str], drop_blank: Sequence[str] = ()) -> DataFrame:
-    """(facet, value) of active rows in one pass; blank values go only from the `drop_blank` columns."""
+def listing_page(listings: DataFrame, filters: ListingFilters) -> tuple[DataFrame, DataFrame]:
+    """A page of listings in its order, and total and total_pages under the same filters."""
+    found = search(listings, filters)
+    return page_of(found, order_of(filters), filters.page, filters.page_size), page_totals(found, filters.page_size)
+
+
+def facets(listings: DataFrame, columns: Sequence[str] = FACETS, drop_blank: Sequence[str] = OPTIONAL_FACETS) -> DataFrame:
+    """(facet, value) of active rows in one pass; null and blank values go from the `drop_blank` columns."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]))
-    out = listings.where("is_active").select(pairs.alias("f")).select("f.facet", "f.value").where("value IS NOT NULL")
-    blank = (F.col("value") == "") & F.col("facet").isin(*drop_blank) if drop_blank else F.lit(False)
+    out = listings.where("is_active").select(pairs.alias("f")).select("f.facet", "f.value")
+    blank = F.col("facet").isin(*drop_blank) & (F.coalesce("value", F.lit("")) == "")
     return out.where(~blank).distinct()

@@ -52,3 +52,36 @@ def fallback_ids(listings: DataFrame, sources: DataFrame, columns: Sequence[str]
     own = sources.where("platform = handle").select(F.col("platform").alias("__p"), *[F.col(c).alias(f"__{c}") for c in columns])
     out = listings.join(own, F.col("source_platform") == F.col("__p"), "left")
     return out.withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).select(*listings.columns)
+
+
+#: Columns of a listing by what a repeated address does to them: kept from the first row, taken from the
+#: last, or taken from the last that has one.
+LISTING_KEYS = ("source_platform", "source_url")
+LISTING_FIRST = ("make", "model", "variant", "year", "fuel_type", "transmission", "body_type", "city", "scraped_at")
+LISTING_LAST = ("price", "listing_status", "km_driven", "media_count", "description", "dealer_id", "sale_status", "content_hash", "updated_at")
+LISTING_LAST_KNOWN = ("sold_at",)
+
+
+def merge_counts(merged: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n_new and n_updated of a batch, from what `fold_into` returned for it."""
+    touched = merged.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+    return touched.agg(F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_updated"))
+
+
+def ensured(target: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, is_new) of every row asked for: what the target has, else the row's own; the smallest of equal keys."""
+    asked = rows.groupBy(key).agg(F.min(value).alias("__new"))
+    there = target.select(F.col(key).alias("__key"), F.col(value).alias("__old"))
+    out = asked.join(there, F.col(key) == F.col("__key"), "left")
+    return out.select(key, F.coalesce("__old", "__new").alias(value), F.col("__key").isNull().alias("is_new"))
+
+
+def updated_from(target: DataFrame, source: DataFrame, target_key, source_key, values: dict) -> DataFrame:
+    """Target with columns set from the source row of equal key (one at most); others stay as they are.
+
+    values: target column -> expression over the source's columns. Rows without a match keep theirs.
+    """
+    found = source.select(source_key.alias("__key"), *[v.alias(f"__{c}") for c, v in values.items()])
+    joined = target.withColumn("__own", target_key).join(found, F.col("__own") == F.col("__key"), "left")
+    there = F.col("__key").isNotNull()
+    return joined.withColumns({c: F.when(there, F.col(f"__{c}")).otherwise(F.col(c)) for c in values}).select(*target.columns)

@@ -2,310 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kerbline.plans import browse, ingest, texts  # noqa: F401  they register their queries
+from kerbline.plans.browse import featured_feed
+from kerbline.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kerbline.functions import text as T
-from kerbline.operators import directory as D
-from kerbline.operators import incremental as I
-from kerbline.operators import quality as Q
-from kerbline.operators import search as S
-from kerbline.operators import upsert as U
-from kerbline.sources.marketplace import GARAGES_SQL, LISTINGS_SQL, garages, listings, read
-
-PREMIUM = ("automobile", "machinery")
-SHOWN = ["id", "make", "variant", "year", "price", "sale_status", "city", "scraped_at", "media_count"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-_COLUMNS = ", ".join(SHOWN)
-_WITH = f"WITH {LISTINGS_SQL} "
-_FEATURED = "ORDER BY (sale_status = 'available') DESC, (media_count > 0) DESC, (lower(make) IN ('automobile', 'machinery')) DESC, price DESC NULLS LAST, scraped_at DESC NULLS LAST, id"
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-# -- search ------------------------------------------------------------------------------------
-
-
-@query(_WITH + f"SELECT {_COLUMNS} FROM listings WHERE is_active {_FEATURED} LIMIT 24")
-def featured_feed(spark, d):
-    return S.page_of(S.search(listings(spark, d), S.ListingFilters()), S.featured_order(PREMIUM), 1).select(SHOWN)
-
-
-@query(_WITH + f"SELECT {_COLUMNS} FROM listings WHERE is_active {_FEATURED} LIMIT 24 OFFSET 24")
-def page_2(spark, d):
-    return S.page_of(S.search(listings(spark, d), S.ListingFilters()), S.featured_order(PREMIUM), 2).select(SHOWN)
-
-
-@query(_WITH + "SELECT id, make, model, variant FROM listings WHERE is_active AND (make ILIKE '%hi_h%' OR model ILIKE '%hi_h%' OR variant ILIKE '%hi_h%' OR description ILIKE '%hi_h%')")
-def search_ilike(spark, d):
-    return S.search(listings(spark, d, media=False), S.ListingFilters(search="hi_h")).select("id", "make", "model", "variant")
-
-
-@query(_WITH + "SELECT id, price, year, transmission FROM listings WHERE is_active AND price >= 50000 AND price <= 200000 AND year >= 1996 AND transmission = 'manual' AND source_platform = 'source-0'")
-def search_filters(spark, d):
-    filters = S.ListingFilters(min_price=50000, max_price=200000, min_year=1996, transmission="manual", source_platform="source-0")
-    return S.search(listings(spark, d, media=False), filters).select("id", "price", "year", "transmission")
-
-
-@query(_WITH + "SELECT count(*) AS total, CAST(ceil(count(*) / 24.0) AS BIGINT) AS total_pages FROM listings WHERE is_active AND lower(city) = 'nation_1' OR (is_active AND city = 'FRANCE')")
-def search_count(spark, d):
-    city = F.lower("city").isin("nation_1") | (F.col("city") == "FRANCE")
-    return S.page_totals(S.search(listings(spark, d, media=False), S.ListingFilters()).where(city))
-
-
-@query(_WITH + "SELECT id, price FROM listings WHERE is_active ORDER BY price DESC NULLS FIRST, id LIMIT 24")
-def sort_price_desc_nulls(spark, d):
-    return S.page_of(S.search(listings(spark, d, media=False), S.ListingFilters()), S.sorted_by("price", True), 1).select("id", "price")
-
-
-@query(_WITH + "SELECT id, year FROM listings WHERE is_active ORDER BY year ASC NULLS LAST, id LIMIT 24 OFFSET 48")
-def sort_year_asc(spark, d):
-    return S.page_of(S.search(listings(spark, d, media=False), S.ListingFilters()), S.sorted_by("year", False), 3).select("id", "year")
-
-
-@query(
-    _WITH
-    + """SELECT DISTINCT 'city' AS facet, city AS value FROM listings WHERE is_active AND city IS NOT NULL
-UNION SELECT DISTINCT 'source_platform', source_platform FROM listings WHERE is_active AND source_platform IS NOT NULL
-UNION SELECT DISTINCT 'fuel_type', fuel_type FROM listings WHERE is_active AND fuel_type <> ''
-UNION SELECT DISTINCT 'transmission', transmission FROM listings WHERE is_active AND transmission <> ''"""
-)
-def facets(spark, d):
-    return S.facets(listings(spark, d, media=False), ["city", "source_platform", "fuel_type", "transmission"], ["fuel_type", "transmission"])
-
-
-@query(_WITH + "SELECT DISTINCT city FROM listings WHERE is_active ORDER BY city")
-def facet_cities_sorted(spark, d):
-    return listings(spark, d, media=False).where("is_active").select("city").distinct().orderBy("city")
-
-
-@query(_WITH + "SELECT count(DISTINCT source_platform) AS sources, count(DISTINCT city) AS cities FROM listings WHERE is_active")
-def facet_headline(spark, d):
-    return listings(spark, d, media=False).where("is_active").agg(F.count_distinct("source_platform").alias("sources"), F.count_distinct("city").alias("cities"))
-
-
-# -- directory ---------------------------------------------------------------------------------
-
-
-@query(
-    f"WITH {GARAGES_SQL} SELECT g.id, g.name, g.kind, count(o_orderkey) AS listing_count FROM garages g LEFT JOIN orders ON o_custkey = g.id AND o_orderstatus = 'O' GROUP BY g.id, g.name, g.kind ORDER BY listing_count DESC, name"
-)
-def garage_directory(spark, d):
-    open_orders = read(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("garage_id"))
-    return D.directory(garages(spark, d), open_orders)
-
-
-@query(_WITH + "SELECT id, price, scraped_at FROM listings WHERE garage_id = 7 ORDER BY scraped_at DESC NULLS LAST, id LIMIT 48")
-def garage_latest(spark, d):
-    return D.latest(listings(spark, d, media=False), 7).select("id", "price", "scraped_at")
-
-
-@query(f"WITH {GARAGES_SQL} SELECT id, name, kind, regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9]+', '-', 'g')), '^-|-$', '', 'g') AS slug FROM garages WHERE id = 42")
-def garage_by_slug(spark, d):
-    name = garages(spark, d).where("id = 42").select(T.slug(F.col("name")).alias("slug"))
-    return garages(spark, d).withColumn("slug", T.slug(F.col("name"))).join(name, "slug").select("id", "name", "kind", "slug")
-
-
-@query(f"WITH {GARAGES_SQL} SELECT kind, count(*) AS n FROM garages GROUP BY kind")
-def garage_kind_counts(spark, d):
-    return garages(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_WITH + "SELECT l.id, make, price, position FROM listings l JOIN (VALUES (33, 0), (2, 1), (-5, 2), (70, 3), (1, 4)) AS w(id, position) ON l.id = w.id ORDER BY position")
-def saved_in_order(spark, d):
-    return D.saved(spark, listings(spark, d, media=False), [33, 2, -5, 70, 1]).select("id", "make", "price", "position")
-
-
-@query(_WITH + f"SELECT {_COLUMNS} FROM listings WHERE id = 100")
-def listing_by_id(spark, d):
-    return D.by_key(listings(spark, d), "id", 100).select(SHOWN)
-
-
-@query(
-    f"WITH {GARAGES_SQL} SELECT '/' AS url, 'hourly' AS change UNION ALL SELECT '/garages', 'daily' UNION ALL SELECT '/garages/' || regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9]+', '-', 'g')), '^-|-$', '', 'g'), 'daily' FROM garages"
-)
-def sitemap(spark, d):
-    fixed = spark.createDataFrame([("/", "hourly"), ("/garages", "daily")], "url string, change string")
-    return fixed.unionByName(garages(spark, d).select(F.concat(F.lit("/garages/"), T.slug(F.col("name"))).alias("url"), F.lit("daily").alias("change")))
-
-
-@query(f"WITH {GARAGES_SQL}, s AS (SELECT s_suppkey AS source_id, s_name AS handle, s_suppkey % 7 <> 0 AS active, s_suppkey AS garage_id FROM supplier) SELECT source_id, handle, name FROM s JOIN garages ON garage_id = id WHERE active AND kind = 'dealer'")
-def dealer_sources_active(spark, d):
-    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("handle"), (F.col("s_suppkey") % 7 != 0).alias("active"))
-    return s.where("active").join(garages(spark, d).where("kind = 'dealer'"), F.col("source_id") == F.col("id")).select("source_id", "handle", "name")
-
-
-# -- text --------------------------------------------------------------------------------------
-
-
-@query("SELECT p_partkey, CAST(p_size * 100000 AS DOUBLE) AS lakh, CAST(p_size * 10000000 AS DOUBLE) AS crore, CAST(p_size * 1000 AS DOUBLE) AS plain, CAST(NULL AS DOUBLE) AS none FROM part")
-def parse_price(spark, d):
-    size = F.col("p_size").cast("string")
-    price = lambda *parts: T.parse_indian_price(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
-    return read(spark, d, "part").select("p_partkey", price("₹ ", size, " Lakh").alias("lakh"), price("Rs ", size, " Cr").alias("crore"), price("₹ ", size, ",000").alias("plain"), T.parse_indian_price(F.lit("DM for price")).alias("none"))
-
-
-@query("SELECT p_partkey, CAST(p_size * 1000 AS INT) AS km, CAST(p_size AS INT) AS owners FROM part")
-def parse_km(spark, d):
-    size = F.col("p_size").cast("string")
-    return read(spark, d, "part").select("p_partkey", T.parse_km(F.concat(size, F.lit(",000 km"))).alias("km"), T.parse_owner_count(F.concat(size, F.lit("nd owner"))).alias("owners"))
-
-
-@query(
-    """WITH t AS (SELECT p_partkey, list_filter(string_split_regex(p_brand || ' ' || p_name, '\\s+'), lambda x: x <> '') AS w FROM part)
-SELECT p_partkey, CAST(2000 + p_partkey % 25 AS INT) AS year, w[1] AS make, w[2] AS model, CASE WHEN len(w) > 2 THEN array_to_string(w[3:], ' ') END AS variant FROM t"""
-)
-def parse_title_a(spark, d):
-    title = F.concat((2000 + F.col("p_partkey") % 25).cast("string"), F.lit(" "), "p_brand", F.lit(" "), "p_name")
-    return read(spark, d, "part").select("p_partkey", T.parse_title(title).alias("t")).select("p_partkey", "t.*")
-
-
-@query("SELECT c_custkey, regexp_replace(lower(regexp_replace('(' || c_name || ')!', '[^a-zA-Z0-9]+', '-', 'g')), '^-|-$', '', 'g') AS slug, lower(regexp_replace('(' || c_name || ')!', '[^a-zA-Z0-9]+', '-', 'g')) AS slug_untrimmed FROM customer")
-def slugs(spark, d):
-    name = F.concat(F.lit("("), "c_name", F.lit(")!"))
-    return read(spark, d, "customer").select("c_custkey", T.slug(name).alias("slug"), T.slug_untrimmed(name).alias("slug_untrimmed"))
-
-
-@query(
-    _WITH
-    + """SELECT id, CASE WHEN price IS NULL THEN 'Price on request' WHEN price >= 10000000 THEN '₹' || CAST(CAST(price / 10000000 AS DECIMAL(20,2)) AS VARCHAR) || ' Cr'
- WHEN price >= 100000 THEN '₹' || CAST(CAST(floor(price / 100000 * 100 + 0.5) / 100 AS DECIMAL(20,2)) AS VARCHAR) || ' L'
- WHEN round(price, 0) < 1000 THEN '₹' || CAST(round(price, 0) AS BIGINT)
- ELSE '₹' || CAST(CAST(round(price, 0) AS BIGINT) // 1000 AS VARCHAR) || ',' || lpad(CAST(CAST(round(price, 0) AS BIGINT) % 1000 AS VARCHAR), 3, '0') END AS price_text,
- CASE WHEN km_driven < 1000 THEN km_driven::VARCHAR WHEN km_driven < 100000 THEN (km_driven // 1000)::VARCHAR || ',' || lpad((km_driven % 1000)::VARCHAR, 3, '0')
- ELSE (km_driven // 100000)::VARCHAR || ',' || lpad((km_driven // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((km_driven % 1000)::VARCHAR, 3, '0') END || ' km' AS km_text,
- strftime(scraped_at, '%-d %b %Y') AS date_text, upper(substr(lower(make), 1, 1)) || substr(lower(make), 2) AS make_text FROM listings"""
-)
-def formats(spark, d):
-    return listings(spark, d, media=False).select("id", T.format_price(F.col("price")).alias("price_text"), T.format_km(F.col("km_driven")).alias("km_text"), T.format_date(F.col("scraped_at")).alias("date_text"), T.capitalize(F.lower("make")).alias("make_text"))
-
-
-@query(_WITH + "SELECT id, sha256(make || '|' || coalesce(fuel_type, 'null') || '|' || year || '|' || source_url) AS hash, regexp_extract(source_url, '-(\\d{8,})/?$', 1) AS listing_id, regexp_extract(source_url, '([^/]+)$', 1) AS segment FROM listings")
-def listing_keys(spark, d):
-    return listings(spark, d, media=False).select("id", T.content_hash(F.col("make"), F.col("fuel_type"), F.col("year"), F.col("source_url")).alias("hash"), T.listing_id(F.col("source_url")).alias("listing_id"), T.last_segment(F.col("source_url")).alias("segment"))
-
-
-# -- quality -----------------------------------------------------------------------------------
-
-_CHECKED = """checked AS (SELECT *, list_filter([
-  CASE WHEN price NOT BETWEEN 10000 AND 100000000 THEN 'price out of range' END,
-  CASE WHEN year NOT BETWEEN 1990 AND 2000 THEN 'year out of range' END,
-  CASE WHEN km_driven NOT BETWEEN 0 AND 2000000 THEN 'km out of range' END], lambda x: x IS NOT NULL) AS errors FROM listings)"""
-
-
-def _checked(spark, d):
-    return Q.validated(listings(spark, d, media=False), 1999)
-
-
-@query(f"WITH {LISTINGS_SQL}, {_CHECKED} SELECT id, id || ': ' || array_to_string(errors, ', ') AS reason FROM checked WHERE len(errors) > 0")
-def reject_reasons(spark, d):
-    return Q.reject_reasons(_checked(spark, d), "id")
-
-
-@query(
-    f"WITH {LISTINGS_SQL}, {_CHECKED} SELECT count(*) AS found, count(*) FILTER (WHERE len(errors) = 0) AS accepted, count(*) FILTER (WHERE len(errors) > 0) AS rejected, CASE WHEN count(*) FILTER (WHERE len(errors) > 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM checked"
-)
-def run_summary(spark, d):
-    return Q.run_summary(_checked(spark, d))
-
-
-_COVERED = ["make", "price", "fuel_type", "description", "city"]
-
-
-@query(_WITH + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER (WHERE coalesce({c}::VARCHAR, '') <> '') AS n_filled, CAST(floor(count(*) FILTER (WHERE coalesce({c}::VARCHAR, '') <> '') * 100 / count(*)) AS BIGINT) AS percent FROM listings" for c in _COVERED))
-def coverage(spark, d):
-    return Q.coverage(listings(spark, d, media=False), _COVERED)
-
-
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
-def duplicate_keys(spark, d):
-    return Q.duplicate_keys(read(spark, d, "events"), "user_id")
-
-
-@query(_WITH + "SELECT min(price) AS min_price, max(price) AS max_price, min(year) AS min_year, max(year) AS max_year, bool_and(is_active OR id % 10 = 0) AS every_flag FROM listings")
-def value_ranges(spark, d):
-    return listings(spark, d, media=False).agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.min("year").alias("min_year"), F.max("year").alias("max_year"), F.every(F.col("is_active") | (F.col("id") % 10 == 0)).alias("every_flag"))
-
-
-# -- merges and incremental work ---------------------------------------------------------------
-
-_LOG = "log AS (SELECT event_type, user_id, ts, event_id, value AS price, CASE WHEN event_type = 'purchase' THEN 'sold' ELSE 'available' END AS status, CASE WHEN event_id % 3 = 0 THEN ts END AS sold_at FROM events)"
-_KEYS = ["event_type", "user_id"]
-
-
-def _log(spark, d):
-    status = F.when(F.col("event_type") == "purchase", "sold").otherwise("available")
-    return read(spark, d, "events").select("event_type", "user_id", "ts", "event_id", F.col("value").alias("price"), F.col("ts").alias("scraped_at"), status.alias("status"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("sold_at"))
-
-
-_FOLD_SQL = """SELECT event_type, user_id, max(CASE WHEN f = 1 THEN ts END) AS scraped_at, max(CASE WHEN l = 1 THEN price END) AS price, max(CASE WHEN l = 1 THEN status END) AS status, max(CASE WHEN k = 1 THEN sold_at END) AS sold_at{more}
-FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS f, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS l,
- row_number() OVER (PARTITION BY event_type, user_id ORDER BY sold_at IS NULL, ts DESC, event_id DESC) AS k FROM log) GROUP BY event_type, user_id"""
-
-
-@query(f"WITH {_LOG} {_FOLD_SQL.format(more='')}")
-def upsert_fold(spark, d):
-    return U.fold(_log(spark, d), _KEYS, ["ts", "event_id"], ["scraped_at"], ["price", "status"], ["sold_at"])
-
-
-@query(f"WITH {_LOG} {_FOLD_SQL.format(more=', bool_and(event_id % 2 = 1) AS is_new')}".replace("PARTITION BY event_type, user_id ORDER BY ", "PARTITION BY event_type, user_id ORDER BY event_id % 2, ").replace("ORDER BY event_id % 2, ts DESC", "ORDER BY event_id % 2 DESC, ts DESC").replace("ORDER BY event_id % 2, sold_at IS NULL", "ORDER BY sold_at IS NULL, event_id % 2 DESC"))
-def upsert_into_existing(spark, d):
-    log = _log(spark, d)
-    shape = dict(keys=_KEYS, seq=["ts", "event_id"], first=["scraped_at"], last=["price", "status"], last_known=["sold_at"])
-    return U.fold_into(U.fold(log.where("event_id % 2 = 0"), **shape), log.where("event_id % 2 = 1"), **shape)
-
-
-@query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 23, r_name FROM region WHERE r_regionkey + 23 NOT IN (SELECT n_nationkey FROM nation)")
-def insert_if_absent(spark, d):
-    target = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    return U.insert_absent(target, read(spark, d, "region").select((F.col("r_regionkey") + 23).alias("k"), F.col("r_name").alias("name")), ["k"])
-
-
-@query(_WITH + "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN garage_id END, CASE source_platform WHEN 'source-0' THEN 900 WHEN 'source-1' THEN 901 END)::BIGINT AS garage_id FROM listings")
-def fallback_source(spark, d):
-    own = listings(spark, d, media=False).select("id", F.when(F.col("id") % 2 == 0, F.col("garage_id")).alias("garage_id"), "source_platform")
-    sources = spark.createDataFrame([("source-0", "source-0", 900), ("source-1", "source-1", 901), ("source-2", "other", 902)], "platform string, handle string, garage_id bigint")
-    return U.fallback_ids(own, sources, ["garage_id"]).select("id", "garage_id")
-
-
-@query("SELECT event_id, user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
-def seen_first(spark, d):
-    return I.first_seen(read(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", ["ts", "event_id"])
-
-
-@query("SELECT event_id, user_id, CAST((r - 1) // 6 AS INT) AS chunk, CAST((r - 1) % 6 + 1 AS INT) AS index FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)")
-def chunk_index(spark, d):
-    return I.chunk_numbers(read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
-
-
-@query("SELECT event_id, user_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 8")
-def top_n_per_group(spark, d):
-    return I.top_n(read(spark, d, "events"), "user_id", [F.col("ts").desc(), F.col("event_id")], 8).select("event_id", "user_id", "rank")
-
-
-@query("WITH c AS (SELECT user_id, max(ts) AS last_checked_at FROM events GROUP BY user_id) SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM c WHERE last_checked_at >= TIMESTAMP '2024-01-30' - INTERVAL 48 HOURS)")
-def recheck_antijoin(spark, d):
-    checked = read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_checked_at"))
-    return I.not_recent(read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), checked, "user_id", "2024-01-30 00:00:00")
-
-
-@query(
-    """WITH RECURSIVE p AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
-UNION ALL SELECT p.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = p.user_id AND e.ts > p.ts + INTERVAL 48 HOURS) FROM p WHERE p.ts IS NOT NULL)
-SELECT e.event_id, e.user_id, e.ts, p.ts IS NOT NULL AS processed FROM events e LEFT JOIN (SELECT DISTINCT * FROM p WHERE ts IS NOT NULL) p ON e.user_id = p.user_id AND e.ts = p.ts"""
-)
-def recheck_greedy(spark, d):
-    return I.greedy_recheck(read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts")
+__all__ = ["ORACLES", "QUERIES", "featured_feed"]

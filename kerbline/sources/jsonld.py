@@ -5,51 +5,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.functions.text import absolute_url, parse_indian_price, parse_km, parse_title
+from kerbline.functions import text as T
 
 _BLOCK = r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """(url, html) -> url, block, node: JSON-LD objects; lists, @graph and itemListElement are opened.
-
-    Malformed blocks have no rows.
-    """
+    """(url, html) -> url, block, root: JSON-LD blocks of each page; malformed ones have no row."""
     found = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "json"))
-    parsed = found.select("url", "block", F.try_parse_json("json").alias("root")).where("root IS NOT NULL")
-    part = lambda v, path: F.try_variant_get(v, path, "array<variant>")
-    roots = F.coalesce(part("root", "$[\"@graph\"]"), part("root", "$"), F.array("root"))
-    nodes = parsed.select("url", "block", F.posexplode(roots).alias("at", "node"))
-    inner = F.coalesce(part("node", "$.itemListElement"), F.array("node"))
-    opened = nodes.select("url", "block", "at", F.posexplode(inner).alias("within", "element"))
-    element = F.coalesce(F.try_variant_get("element", "$.item", "variant"), F.col("element"))
-    return opened.select("url", "block", "at", "within", element.alias("node"))
+    return found.select("url", "block", F.try_parse_json("json").alias("root")).where("root IS NOT NULL")
+
+
+def _list(value: str, path: str) -> Column:
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def _text(path: str, value: str = "node") -> Column:
+    return F.try_variant_get(value, path, "string")
+
+
+def _number(path: str) -> Column:
+    """A number, or the leading number of a text."""
+    return F.coalesce(F.try_variant_get("node", path, "double"), T.leading_number(_text(path)))
+
 
+def _whole(path: str) -> Column:
+    """A whole number, or the leading one of a text."""
+    return F.coalesce(F.try_variant_get("node", path, "int"), T.leading_int(_text(path)))
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("node", path, "string")
+
+def _photos() -> Column:
+    one = F.nullif(_text("$.image"), F.lit(""))
+    return F.coalesce(F.try_variant_get("node", "$.image", "array<string>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
 
 
 def listing_links(pages: DataFrame) -> DataFrame:
-    """url, name, link of the list items that have a link."""
-    items = blocks(pages).where(_text('$["@type"]') == "ListItem")
-    return items.select("url", _text("$.name").alias("name"), _text("$.url").alias("link")).where("link IS NOT NULL AND link <> ''")
+    """url, name, link, image of the list items in a block's @graph that have a link."""
+    nodes = blocks(pages).select("url", "block", F.posexplode(_list("root", '$["@graph"]')).alias("at", "node"))
+    items = nodes.where((_text('$["@type"]') == "ListItem") & _filled(_text("$.url")))
+    return items.select("url", "block", "at", F.coalesce(_text("$.name"), F.lit("")).alias("name"), _text("$.url").alias("link"), _text("$.image").alias("image"))
+
 
+def cars(pages: DataFrame, city: str, platform: str) -> DataFrame:
+    """One listing for each page whose first Car, over its blocks, has make, model, year and price."""
+    nodes = blocks(pages).select("url", "block", F.posexplode(F.coalesce(_list("root", "$"), F.array("root"))).alias("at", "node"))
+    found = nodes.where(_text('$["@type"]') == "Car").select("url", "block", "at", F.to_json("node").alias("json"))
+    first = found.groupBy("url").agg(F.min(F.struct("block", "at", "json")).alias("f")).select("url", F.try_parse_json("f.json").alias("node"))
+    make, model, year, price = _text("$.brand.name"), _text("$.model"), _whole("$.vehicleModelDate"), _number("$.offers.price")
+    raw = first.select(
+        "url", make.alias("make"), model.alias("model"), year.alias("year"), price.cast("decimal(12,2)").alias("price"), F.coalesce(_text("$.name"), F.lit("")).alias("name"),
+        F.nullif(_whole("$.mileageFromOdometer.value"), F.lit(0)).alias("km_driven"), _text("$.fuelType").alias("fuel_type"), _text("$.vehicleTransmission").alias("transmission"),
+        _text("$.color").alias("color"), _text("$.bodyType").alias("body_type"), _photos().alias("photos"),
+    )
+    kept = raw.where(_filled(F.col("make")) & _filled(F.col("model")) & (F.col("year") != 0) & (F.col("price") != 0))
+    return kept.select(
+        T.trimmed(F.col("make")).alias("make"), T.trimmed(F.col("model")).alias("model"), T.variant_of(F.col("name"), F.col("year"), F.col("make"), F.col("model")).alias("variant"),
+        "year", "price", "km_driven", "fuel_type", "transmission", "color", "body_type", F.lit(city).alias("city"), F.lit(platform).alias("source_platform"),
+        F.col("url").alias("source_url"), T.listing_id(F.col("url")).alias("source_listing_id"), F.lit("dealer").alias("seller_type"), "photos",
+    )
 
-def products(pages: DataFrame, base: str) -> DataFrame:
-    """Cars and products with a price: make, model, year, price, km, fuel, transmission, source_url.
 
-    Make is the brand, else the first word of the name; model is the second word of the name; the year
-    comes from the model date, the production date or the name.
+def products(pages: DataFrame, base: str, city: str, platform: str) -> DataFrame:
+    """Listings of the cars and products with make, model and price on each page, one row each.
+
+    A block is an object with @graph, a list, or one object; lists of items inside are opened and items
+    unwrapped. Make is the brand, else the first word of the name; model is the second word of the
+    name; the year comes from the model date, the production date or the name.
     """
-    cars = blocks(pages).where(_text('$["@type"]').isin("Car", "Product"))
-    price = F.coalesce(_text("$.offers.price"), _text("$.offers.lowPrice"), _text("$.price"))
-    title = parse_title(F.coalesce(_text("$.name"), F.lit("")))
-    year = F.coalesce(_text("$.vehicleModelDate").try_cast("int"), _text("$.productionDate").try_cast("int"), title["year"])
-    out = cars.select(
-        F.col("url").alias("page_url"), F.coalesce(_text("$.brand.name"), title["make"]).alias("make"), title["model"].alias("model"), title["variant"].alias("variant"),
-        year.alias("year"), parse_indian_price(price).cast("decimal(12,2)").alias("price"), parse_km(F.coalesce(_text("$.mileageFromOdometer.value"), F.lit(""))).alias("km_driven"),
-        F.lower(_text("$.fuelType")).alias("fuel_type"), F.lower(_text("$.vehicleTransmission")).alias("transmission"),
-        absolute_url(F.coalesce(_text("$.offers.url"), _text("$.url"), F.lit("/")), base).alias("source_url"),
+    roots = F.coalesce(_list("root", '$["@graph"]'), _list("root", "$"), F.array("root"))
+    nodes = blocks(pages).select("url", "block", F.posexplode(roots).alias("at", "outer"))
+    opened = nodes.select("url", "block", "at", F.posexplode(F.coalesce(_list("outer", "$.itemListElement"), F.array("outer"))).alias("within", "element"))
+    node = F.coalesce(F.try_variant_get("element", "$.item", "variant"), F.col("element"))
+    found = opened.select("url", "block", "at", "within", node.alias("node")).where(_text('$["@type"]').isin("Car", "Product"))
+    title = T.parse_title(F.coalesce(_text("$.name"), F.lit("")))
+    price_text = F.coalesce(_text("$.offers.price"), _text("$.offers.lowPrice"), _text("$.price"), F.lit("0"))
+    price = F.coalesce(*[F.try_variant_get("node", p, "double") for p in ("$.offers.price",)], T.parse_indian_price(price_text))
+    year = F.coalesce(_whole("$.vehicleModelDate"), _whole("$.productionDate"), title["year"])
+    url = T.absolute_url(F.coalesce(_text("$.url"), _text("$.offers.url"), F.lit("")), base)
+    raw = found.select(
+        "url", "block", "at", "within", F.coalesce(F.nullif(_text("$.brand.name"), F.lit("")), title["make"]).alias("make"), title["model"].alias("model"), title["variant"].alias("variant"),
+        year.alias("year"), price.cast("decimal(12,2)").alias("price"), T.parse_km(_text("$.mileageFromOdometer.value")).alias("km_driven"),
+        F.coalesce(_text("$.fuelType"), _text("$.vehicleEngine.fuelType")).alias("fuel_type"), _text("$.vehicleTransmission").alias("transmission"), url.alias("source_url"), _photos().alias("photos"),
+    )
+    kept = raw.where(_filled(F.col("make")) & _filled(F.col("model")) & (F.col("price") != 0))
+    return kept.select(
+        F.col("url").alias("page_url"), "block", "at", "within", T.trimmed(F.col("make")).alias("make"), "model", "variant", "year", "price", "km_driven", "fuel_type", "transmission",
+        F.lit(city).alias("city"), F.lit(platform).alias("source_platform"), "source_url", T.details_page_id(F.col("source_url")).alias("source_listing_id"), "photos",
     )
-    return out.where("price IS NOT NULL AND price <> 0")

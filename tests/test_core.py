@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
-from kerbline.operators import directory as D
 from kerbline.operators import incremental as I
+from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
 from kerbline.sources import jsonld
-from kerbline.streaming.merge import latest_version, merge_stream
+from kerbline.streaming.merge import distinct_within, latest_version, merge_stream, vacuum
 
 
 def column(spark, f, values, kind="string"):
@@ -23,8 +23,10 @@ def column(spark, f, values, kind="string"):
 def test_prices_and_formats(spark):
     prices = ["₹ 4.5 Lakh", "4,50,000", "1.2 Cr", "4.5L", "DM for price", "", None, "2 lac"]
     assert column(spark, T.parse_indian_price, prices) == [450000.0, 450000.0, 12000000.0, 4.5, None, None, None, 200000.0]
-    shown = column(spark, lambda c: T.format_price(c.cast("decimal(12,2)")), [None, 999, 1000, 99999, 150000, 12345678], "int")
-    assert shown == ["Price on request", "₹999", "₹1,000", "₹99,999", "₹1.50 L", "₹1.23 Cr"]
+    prices = ["1.2.3 lakh", "Rs.4.5Lakh", " 12 crore only", "x"]
+    assert column(spark, T.parse_indian_price, prices) == [120000.0, 40000.0, 120000000.0, None]
+    shown = column(spark, lambda c: T.format_price(c.cast("decimal(12,2)")), [None, 999.0, 1000.0, 99999.5, 99999.05, 100000.0, 150000.0, 9999999.0, 12345678.0], "double")
+    assert shown == ["Price on request", "999", "1,000", "99,999.5", "99,999.05", "1.00 L", "1.50 L", "100.00 L", "1.23 Cr"]
     assert column(spark, T.format_km, [None, 999, 1000, 99999, 9999999], "int") == ["—", "999 km", "1,000 km", "99,999 km", "99,99,999 km"]
     assert column(spark, T.parse_km, ["12,345 km", "none", None]) == [12345, None, None]
     assert column(spark, T.capitalize, ["suv car", "", None]) == ["Suv car", "—", "—"]
@@ -36,6 +38,8 @@ def test_titles(spark):
     assert [tuple(r) for r in narrow] == [(2019, "Hyundai", "Creta", "SX 2020"), (None, "Hyundai", None, None), (None, None, None, None)]
     wide = column(spark, lambda c: T.parse_title(c, wide=True), ["1998 Used Maruti 800 (AC) for sale"])
     assert tuple(wide[0]) == (1998, "Maruti", "800", "AC")
+    wide = column(spark, lambda c: T.parse_title(c, wide=True), ["2018 Focused Motors X", "secondhand Honda {VXI}", "pre-owned City"])
+    assert [tuple(r) for r in wide] == [(2018, "Focused", "Motors", "X"), (None, "Honda", "VXI", None), (None, "pre-owned", "City", None)]
 
 
 def test_search_rules():
@@ -44,14 +48,22 @@ def test_search_rules():
         S.like_pattern("x\\")
     with pytest.raises(ValueError):
         S.page_of(None, [], 0)
-    assert D.toggled([3, 1], 1) == [3] and D.toggled([3], 1) == [1, 3]
+    given = S.filters_of({"search": "", "minPrice": "0", "page": "2", "fuelType": "diesel", "other": "x"})
+    assert given == S.ListingFilters(min_price=0.0, page=2, fuel_type="diesel")
 
 
 def test_validation(spark):
-    rows = [("a", "b", 9999.0, 2000, 0), ("a", "b", 10000.0, 1990, 2000000), (" \t", "b", None, None, -1), ("a", None, 1e8, 2026, None), ("a", "b", 1e8 + 1, 2027, 2000001)]
-    df = spark.createDataFrame(rows, "make string, model string, price double, year int, km_driven int")
-    got = [r["errors"] for r in Q.validated(df, 2025).collect()]
-    assert got == [["price out of range"], [], ["make is empty", "year out of range", "km out of range"], ["model is empty"], ["price out of range", "year out of range", "km out of range"]]
+    media = [("https://a/1", "image"), ("ftp://a/2", "image"), ("http://a/3", "audio"), None]
+    rows = [("a", "b", 9999.5, 2000, 0, None), ("a", "b", 10000.0, 1990, 2000000, []), (" \t", "b", None, None, -1, media), ("a", None, 1e8, 2026, None, media), ("a", "b", 1e8 + 1, 2027, 2000001, None), ("a", "b", 20000.0, 2020, 1, media)]
+    df = spark.createDataFrame(rows, "make string, model string, price double, year int, km_driven int, media array<struct<url string, type string>>")
+    df = df.withColumn("media", F.transform("media", lambda m: F.when(m.isNotNull(), F.struct(m["url"].alias("url"), m["type"].alias("type"), F.lit(None).cast("string").alias("poster_url")))))
+    got = Q.validated(df.withColumn("price", F.col("price").cast("decimal(12,2)")), 2025).collect()
+    warning = "3 invalid media item(s) filtered"
+    assert [r["errors"] for r in got] == [
+        ["price 9999.5 outside ₹10000–₹100000000 range"], [], ["make is empty", "year is missing", "kmDriven -1 outside 0–2000000 range", warning], ["model is empty", warning],
+        ["price 100000001 outside ₹10000–₹100000000 range", "year 2027 outside 1990–2026 range", "kmDriven 2000001 outside 0–2000000 range"], [warning],
+    ]
+    assert [r["valid"] for r in got] == [False, True, False, False, False, True] and len(got[5]["media"]) == 1
 
 
 def test_fold_matches_rows_one_by_one(spark):
@@ -79,14 +91,42 @@ def test_early_stop_and_alignment(spark):
     assert {(r["index"], r["value"]) for r in I.aligned(items, results).collect()} == {(1, "y"), (2, None)}
 
 
+def test_recheck(spark):
+    hours = [0, 48, 48.0003, 30, 60, 90, 96.001, None]
+    rows = [("a", None if h is None else float(h)) for h in hours] + [(None, 0.0), ("b", 5.0), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "k string, h double").withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, h * 3600)"))
+    got = {(r["k"], r["h"]): r["processed"] for r in I.greedy_recheck(df, "k", "ts").collect()}
+    assert got == {("a", 0): True, ("a", 48): False, ("a", 48.0003): True, ("a", 30): False, ("a", 60): False, ("a", 90): False, ("a", 96.001): True, ("a", None): False, (None, 0): False, ("b", 5): True}
+
+
+def test_recheck_matches_a_row_by_row_model(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.randrange(4000)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k int, m int").withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, m, 0)"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    got = {(r["k"], r["m"]): r["processed"] for r in I.greedy_recheck(df, "k", "ts", hours=3).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    clock, want = {}, {}
+    for k, m in sorted(set(rows)):
+        want[k, m] = k not in clock or m > clock[k] + 180
+        if want[k, m]:
+            clock[k] = m
+    assert got == want
+
+
 def test_jsonld(spark):
     html = """<script type="application/ld+json">{bad</script><script type="application/ld+json">
-    {"@graph": [{"@type": "Car", "name": "2019 Hyundai Creta SX", "brand": {"name": "Hyundai"}, "offers": {"price": "4,50,000", "url": "/x"}},
-    {"@type": "Car", "name": "no price"}, {"@type": "ListItem", "name": "n", "url": "/u"}]}</script>"""
-    pages = spark.createDataFrame([("p", html), ("q", ""), ("r", None)], "url string, html string")
-    got = jsonld.products(pages, "https://b").collect()
-    assert [(r["make"], r["model"], r["year"], float(r["price"]), r["source_url"]) for r in got] == [("Hyundai", "Creta", 2019, 450000.0, "https://b/x")]
+    {"@graph": [{"@type": "Car", "name": "2019 Hyundai Creta SX", "brand": {"name": "Hyundai"}, "vehicleModelDate": "2019-05", "fuelType": "Petrol", "url": "/u", "offers": {"price": "4,50,000", "url": "/x"}},
+    {"@type": "Car", "name": "no price"}, {"@type": "Car", "name": "Token", "price": 5}, {"@type": "Car", "name": "a b", "brand": {"name": "Maruti Suzuki"}, "price": "2 lakh"}, {"@type": "ListItem", "name": "n", "url": "/u"}]}</script>"""
+    car = """<script type="application/ld+json">[{"@type": "Thing"}, {"@type": "Car", "name": "2018 Kia Seltos GT", "brand": {"name": "Kia"}, "model": "Seltos", "vehicleModelDate": 2018, "offers": {"price": "900000 INR"}, "image": "a.jpg"}]</script>
+    <script type="application/ld+json">{"@type": "Car", "brand": {"name": "second"}}</script>"""
+    pages = spark.createDataFrame([("p", html), ("q", ""), ("r", None), ("https://c/buy-123456789/", car)], "url string, html string")
+    got = {r["source_url"]: r for r in jsonld.products(pages.where("url = 'p'"), "https://b", "X", "s").collect()}
+    assert [(r["make"], r["model"], r["year"], float(r["price"]), r["fuel_type"]) for r in (got["https://b/u"], got["https://b/"])] == [("Hyundai", "Creta", 2019, 450000.0, "Petrol"), ("Maruti Suzuki", "b", None, 200000.0, None)]
+    assert len(got) == 2
     assert [(r["name"], r["link"]) for r in jsonld.listing_links(pages).collect()] == [("n", "/u")]
+    one = jsonld.cars(pages, "X", "s").collect()
+    assert [(r["make"], r["model"], r["variant"], r["year"], float(r["price"]), r["source_listing_id"], r["photos"]) for r in one] == [("Kia", "Seltos", "GT", 2018, 900000.0, "123456789", ["a.jpg"])]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -98,3 +138,24 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     merge_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", ["k"], ["n"], [], ["c"]).awaitTermination()
     assert sorted(map(tuple, latest_version(spark, f"{tmp_path}/out").select("k", "c").collect())) == sorted(map(tuple, U.fold(df, ["k"], ["n"], [], ["c"]).select("k", "c").collect()))
+    vacuum(spark, f"{tmp_path}/out")
+    assert latest_version(spark, f"{tmp_path}/out").count() == 5
+
+
+def test_distinct_within(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 05:00:00"), ("b", "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = distinct_within(spark.readStream.schema("k string, t timestamp").parquet(f"{tmp_path}/in"), "k", "t")
+    stream.writeStream.format("memory").queryName("distinct_rows").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.table("distinct_rows").collect()) == ["a", "b"]
+
+
+def test_ledger_and_health(spark):
+    assert L.append_quietly(lambda: None) and not L.append_quietly(lambda: 1 / 0)
+    assert L.run_status(0, 0) == "completed" and L.run_status(0, 2) == L.run_status(1, 0) == "completed_with_errors"
+    begun = L.started("r1", "source-a", "2024-01-01 00:00:00", spark)
+    done = spark.createDataFrame([("r1", "source-a", "completed", "2024-01-01 01:00:00", 5, 3, 2, 0, None, None)], L.RUNS)
+    now = L.current(begun.unionByName(done), "run_id", "at").first()
+    assert (now["status"], now["started_at"], now["last_at"], now["found"]) == ("completed", "2024-01-01 00:00:00", "2024-01-01 01:00:00", 5)
+    assert not L.is_healthy(begun.limit(0))
