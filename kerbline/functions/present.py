@@ -55,6 +55,6 @@ def label(value: Column, labels: Mapping[str, str], fold_case: bool = False) ->
     return F.coalesce(F.element_at(known, F.lower(value) if fold_case else value), value)
 
 
-def dealer_description(description: Column, name: Column, city: Column) -> Column:
+def dealer_description(description: Column, name: Column, city: Column, intro: str = "Car listings from ") -> Column:
     place = F.when(F.coalesce(city, F.lit("")) != "", F.concat(F.lit(" in "), city)).otherwise("")
-    return F.coalesce(description, F.concat(F.lit("Preowned car listings from "), name, place, F.lit(".")))
+    return F.coalesce(description, F.concat(F.lit(intro), name, place, F.lit(".")))

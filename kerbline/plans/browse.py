@@ -278,6 +278,6 @@ def labels(spark, d):
     return listings(spark, d).select("source_platform", badge.alias("badge"), P.label(F.lit("instagram_dealer"), P.SOURCE_TYPES).alias("source_type")).distinct()
 
 
-@query(f"WITH {DEALERS_SQL} SELECT id, coalesce(description, 'Preowned car listings from ' || name || CASE WHEN coalesce(city, '') <> '' THEN ' in ' || city ELSE '' END || '.') AS description FROM dealers WHERE is_active")
+@query(f"WITH {DEALERS_SQL} SELECT id, coalesce(description, 'Car listings from ' || name || CASE WHEN coalesce(city, '') <> '' THEN ' in ' || city ELSE '' END || '.') AS description FROM dealers WHERE is_active")
 def dealer_descriptions(spark, d):
     return dealers(spark, d).where("is_active").select("id", P.dealer_description(F.col("description"), F.col("name"), F.col("city")).alias("description"))
