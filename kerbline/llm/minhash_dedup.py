@@ -146,7 +146,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _judged(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, text) -> doc_id, part, n_shingles, component_id, one row for each row."""
+    """(doc_id, text) -> doc_id, part, n_shingles, component_id, link_group (what a component is known by;
+    component_id may name several where texts share a doc_id), one row for each row."""
     texts = with_part(texts, scratch)
     features = scratch.save(texts.mapInPandas(_features, _FEATURES), "features")
 
@@ -206,10 +207,10 @@ def _judged(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     odd = broadcast_if_small(scratch.save(grouped.where("part <> 0").select("component").distinct(), "odd"))
     names = grouped.join(odd, "component").groupBy("component").agg(F.min("doc_id").alias("name"))
     names = broadcast_if_small(scratch.save(names, "names"))
-    grouped = grouped.join(names, "component", "left").select(*of_set, F.coalesce("name", "component").alias("component_id"))
+    grouped = grouped.join(names, "component", "left").select(*of_set, F.coalesce("name", "component").alias("component_id"), F.col("component").alias("link_group"))
     result = features.select("doc_id", "part", *of_set).join(grouped, of_set, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return result.select("doc_id", "part", "n_shingles", component.alias("component_id"))
+    return result.select("doc_id", "part", "n_shingles", component.alias("component_id"), "link_group")
 
 
 def without_copies(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -219,10 +220,11 @@ def without_copies(documents: DataFrame, percent: int = 80) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "copies")
     own = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     judged = _judged(own.select("doc_id", "text"), percent, scratch).where("doc_id IS NOT NULL AND n_shingles > 0")
-    each = judged.groupBy("doc_id", "part").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    each = judged.groupBy("doc_id", "part").agg(F.first("component_id").alias("component_id"), F.first("link_group").alias("link_group"), F.count(F.lit(1)).alias("n"))
     each = scratch.save(each, "each")
-    first = each.where("doc_id = component_id AND part <> 0").groupBy("doc_id").agg(F.min("part").alias("first"))
-    gone = each.join(broadcast_if_small(first), "doc_id", "left").where("doc_id <> component_id OR part <> first").select("doc_id", "part")
+    first = each.where("doc_id = component_id AND part <> 0").groupBy("doc_id", "link_group").agg(F.min("part").alias("first"))
+    first = broadcast_if_small(scratch.save(first, "first"))
+    gone = each.join(first, ["doc_id", "link_group"], "left").where("doc_id <> component_id OR part <> first").select("doc_id", "part")
     kept = with_part(own, scratch).join(gone, ["doc_id", "part"], "left_anti")
     again = each.where("n > 1").select("doc_id", "part")
     if not again.isEmpty():
