@@ -26,9 +26,21 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _hundredths(value: Column) -> Column:
+    return (value.cast("decimal(18,2)") * 100).cast("long")
+
+
+def _decimals(hundredths: Column) -> Column:
+    """What stands after the point, with it, without zeros that say nothing."""
+    rest = F.abs(hundredths) % 100
+    return F.when(rest == 0, "").when(rest % 10 == 0, F.concat(F.lit("."), F.floor(rest / 10).cast("string"))).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
+
+
 def plain_number(value: Column) -> Column:
     """A decimal as text, without zeros after the point that say nothing."""
-    return F.regexp_replace(F.regexp_replace(value.cast("decimal(20,2)").cast("string"), "0+$", ""), r"\.$", "")
+    cents = _hundredths(value)
+    sign = F.when(cents < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(F.abs(cents) / 100).cast("string"), _decimals(cents))
 
 
 def without_first(text: Column, part: Column) -> Column:
@@ -265,24 +277,25 @@ def is_retryable(message: Column) -> Column:
 # -- display -----------------------------------------------------------------------------------
 
 
-def grouped_digits(digits: Column) -> Column:
-    """Indian digit groups: the last three, then pairs."""
-    return F.regexp_replace(digits, r"(\d)(?=(\d{2})*\d{3}$)", "$1,")
+def grouped_digits(number: Column) -> Column:
+    """Indian digit groups of a whole number: the last three, then pairs."""
+    digits = number.cast("string")
+    thousands, rest = F.floor(number / 1000).cast("string"), F.lpad((number % 1000).cast("string"), 3, "0")
+    long = F.regexp_replace(digits, r"(\d)(?=(\d{2})*\d{3}$)", "$1,")
+    return F.when((number > -1000) & (number < 1000), digits).when((number >= 0) & (number < 100000), F.concat(thousands, F.lit(","), rest)).otherwise(long)
 
 
 def format_price(price: Column) -> Column:
     """Crore and lakh with two decimals, else grouped digits with the decimals that say something."""
-    hundredths = lambda unit: F.floor(price.cast("decimal(20,2)") * 100 / unit + F.lit("0.5").cast("decimal(2,1)"))
-    two = lambda unit: (hundredths(unit) / 100).cast("decimal(20,2)").cast("string")
-    plain = plain_number(price)
-    point = F.instr(plain, F.lit("."))
-    whole = F.when(point > 0, F.substring(plain, F.lit(1), point - 1)).otherwise(plain)
-    rest = F.when(point > 0, F.substring(plain, point, F.length(plain))).otherwise("")
+    cents = _hundredths(price)
+    rounded = lambda unit: F.floor((cents + unit // 2) / unit).cast("long")  # noqa: E731  hundredths of a unit of so many rupees
+    two = lambda n: F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    sign = F.when(cents < 0, "-").otherwise("")
     return (
         F.when(price.isNull(), "Price on request")
-        .when(price >= 10000000, F.concat(two(10000000), F.lit(" Cr")))
-        .when(price >= 100000, F.concat(two(100000), F.lit(" L")))
-        .otherwise(F.concat(grouped_digits(whole), rest))
+        .when(price >= 10000000, F.concat(two(rounded(10000000)), F.lit(" Cr")))
+        .when(price >= 100000, F.concat(two(rounded(100000)), F.lit(" L")))
+        .otherwise(F.concat(sign, grouped_digits(F.floor(F.abs(cents) / 100).cast("long")), _decimals(cents)))
     )
 
 
@@ -291,7 +304,7 @@ def is_priced(price: Column) -> Column:
 
 
 def format_km(km: Column) -> Column:
-    return F.when(km.isNull(), "—").otherwise(F.concat(grouped_digits(km.cast("string")), F.lit(" km")))
+    return F.when(km.isNull(), "—").otherwise(F.concat(grouped_digits(km), F.lit(" km")))
 
 
 def format_date(ts: Column) -> Column:
