@@ -11,7 +11,7 @@ from kerbline.operators import migrate as M
 from kerbline.operators import quality as Q
 from kerbline.operators import upsert as U
 from kerbline.plans.registry import query
-from kerbline.sources import jsonld, posts
+from kerbline.sources import elements, jsonld, posts
 from kerbline.sources.marketplace import DEALERS_SQL, LISTINGS_SQL, MEDIA_SQL, SOURCES_SQL, dealers, listings, read, sources, with_media
 
 # -- structured data of pages ------------------------------------------------------------------
@@ -69,6 +69,51 @@ def jsonld_products(spark, d):
     return jsonld.products(pages, "https://b", "Chennai", "source-b").select("page_url", "make", "model", "variant", "year", "price", "km_driven", "fuel_type", "source_url", "source_listing_id")
 
 
+# -- elements of pages -------------------------------------------------------------------------
+
+_SIZE = "CAST(p_size AS STRING)"
+_BOX = f"'<div data-aut-id=\"itemBox\"><a href=\"/item/' || {_K} || '\"><b data-aut-id=\"itemTitle\"> 2017 Used ' || p_brand || ' Swift VXI</b><br><p class=\"price-now\">₹ ' || {_SIZE} || '.5 Lakh</p><i class=\"x-location\">Adyar</i></a></div><div data-aut-id=\"itemBox\"><a href=\"/item/0\"><b class=\"title\">no price</b></a></div>'"
+_ROW = f"'<ul><li class=\"ad-card\"><a href=\"https://c/x/' || {_K} || '\"><h3>2016 ' || p_brand || ' City</h3><p class=\"price\">7,500</p></a><li class=\"ad-card\"><h2>no link</h2><p class=\"price\">1</p></ul><a href=\"/item/9\">x</a>'"
+
+
+@query(
+    """SELECT 'p' || p_partkey AS url, p_brand AS make, CASE p_partkey % 3 WHEN 0 THEN 'Swift' ELSE 'City' END AS model, CASE p_partkey % 3 WHEN 0 THEN 'VXI' END AS variant, CASE p_partkey % 3 WHEN 0 THEN 2017 ELSE 2016 END AS year,
+ CAST(CASE p_partkey % 3 WHEN 0 THEN p_size * 100000 + 50000 ELSE 7500 END AS DECIMAL(12,2)) AS price, CASE p_partkey % 3 WHEN 0 THEN 'Adyar' END AS location, CASE p_partkey % 3 WHEN 0 THEN 'https://b/item/' ELSE 'https://c/x/' END || p_partkey AS source_url FROM part WHERE p_partkey % 3 < 2"""
+)
+def element_cards(spark, d):
+    pages = read(spark, d, "part").selectExpr(f"'p' || {_K} AS url", f"CASE p_partkey % 3 WHEN 0 THEN {_BOX} || {_ROW} WHEN 1 THEN {_ROW} ELSE '' END AS html")
+    return elements.result_cards(pages, "https://b").drop("at", "image", "said")
+
+
+_DETAILS_PAGE = (
+    f"'<div class=\"image-box\"><img src=\"https://i/1.jpg\"><img src=\"/2.jpg\"><img src=\"https://i/placeholder.png\"><img src=\"https://i/1.jpg\"></div><figure><img src=\"https://i/a' || {_K} || '.jpg\"></figure><img src=\"https://i/9.jpg\">'"
+    f" || '<div data-aut-id=\"itemDescriptionContent\"> Good &amp; <b>clean</b> </div><div class=\"seller-box\"><b class=\"the-name\">N' || {_K} || '</b></div><ul class=\"detail\"><li>Model year <b>x</b><span>2015</span></li><li>KM driven <strong>' || {_SIZE} || ',000 km</strong></li>"
+    "<li>Fuel <i class=\"value\">Diesel</i></li><li>Transmission: Manual</li><li>Owner <span>2nd</span><li>Fuel <span>steam</span></ul>'"
+)
+
+
+@query("SELECT 'p' || p_partkey AS url, 'https://i/1.jpg https://i/a' || p_partkey || '.jpg' AS photos, 'Good & clean' AS description, 'N' || p_partkey AS seller_name, 2015 AS year, p_size * 1000 AS km_driven, 'diesel' AS fuel_type, 'manual' AS transmission, 2 AS owner_count FROM part")
+def element_details(spark, d):
+    pages = read(spark, d, "part").selectExpr(f"'p' || {_K} AS url", f"{_DETAILS_PAGE} AS html")
+    return elements.details_pages(pages).withColumn("photos", F.array_join("photos", " "))
+
+
+_LISTED_CARD = f"'<div class=\"listingCard\"><h3></h3><h2>2019 ' || p_brand || ' Swift</h2><p class=\"Price\">' || {_SIZE} || ' Lakh</p>12,300 kms Petrol AMT 2nd owner<span class=\"cityLocation\"> Adyar </span>' || CASE WHEN p_partkey % 4 = 1 THEN '<a href=\"/used-car-details/x-' || {_K} || '.htm\">x</a><img data-src=\"/i.jpg\">' ELSE '' END || '</div><div class=\"listingCard\"><h3>2019 Only</h3><p class=\"price\">5</p></div>'"
+_ONE_PRODUCT = f"{_SCRIPT} || '{{\"@type\": \"Car\", \"name\": \"2018 ' || p_brand || ' City\", \"price\": 5, \"url\": \"/u\"}}</script>'"
+
+
+@query(
+    """SELECT 'p' || p_partkey AS page_url, p_brand AS make, CASE WHEN p_partkey % 2 = 0 THEN 'City' ELSE 'Swift' END AS model, CASE WHEN p_partkey % 2 = 0 THEN 2018 ELSE 2019 END AS year, CAST(CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE p_size * 100000 END AS DECIMAL(12,2)) AS price,
+ CASE WHEN p_partkey % 2 = 1 THEN 12300 END AS km_driven, CASE WHEN p_partkey % 2 = 1 THEN 'petrol' END AS fuel_type, CASE WHEN p_partkey % 2 = 1 THEN 'automatic' END AS transmission, CASE WHEN p_partkey % 2 = 1 THEN 2 END AS owner_count, CASE WHEN p_partkey % 2 = 1 THEN 'Adyar' END AS location,
+ CASE WHEN p_partkey % 2 = 0 THEN 'https://b/u' WHEN p_partkey % 4 = 1 THEN 'https://b/used-car-details/x-' || p_partkey || '.htm' ELSE 'https://b/search' END AS source_url, CASE WHEN p_partkey % 4 = 1 THEN p_partkey::VARCHAR END AS source_listing_id,
+ CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END AS n_photos FROM part"""
+)
+def products_or_cards(spark, d):
+    pages = read(spark, d, "part").selectExpr(f"'p' || {_K} AS url", f"{_LISTED_CARD} || CASE WHEN p_partkey % 2 = 0 THEN {_ONE_PRODUCT} ELSE '' END AS html")
+    out = elements.products_or_cards(pages, "https://b", "/search", "Chennai", "source-b")
+    return out.withColumn("n_photos", F.size("photos")).drop("at", "variant", "photos", "city", "source_platform")
+
+
 # -- pages of posts ----------------------------------------------------------------------------
 
 _S = "CAST(s_suppkey AS STRING)"

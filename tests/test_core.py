@@ -11,7 +11,7 @@ from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
-from kerbline.sources import jsonld
+from kerbline.sources import elements, jsonld
 from kerbline.streaming.merge import distinct_within, latest_version, merge_stream, vacuum
 
 
@@ -159,3 +159,23 @@ def test_ledger_and_health(spark):
     now = L.current(begun.unionByName(done), "run_id", "at").first()
     assert (now["status"], now["started_at"], now["last_at"], now["found"]) == ("completed", "2024-01-01 00:00:00", "2024-01-01 01:00:00", 5)
     assert not L.is_healthy(begun.limit(0))
+
+
+def test_elements(spark):
+    page = elements.Elements("<div><p>a<b>c</b></div>d<br><ul><li>x<li><span>y</span>z</ul></nothing>")
+    assert page.tag == ["div", "p", "b", "br", "ul", "li", "li", "span"] and page.end == [3, 3, 3, 4, 8, 6, 8, 8]
+    assert [page.text(i) for i in range(8)] == ["ac", "ac", "c", "", "xyz", "x", "yz", "y"] and page.last_child[5:] == [False, True, True]
+    assert page.closest(2, "p") == 1 and page.closest(4, "p") is None and not elements.Elements(None).tag
+    deep = elements.Elements("<div class='card'><i>x " * 20000 + "</u>" * 20000)
+    assert len(deep.tag) == 40000 and deep.end[0] == 40000
+    box = '<div data-aut-id="itemBox"><a href="{}"></a><i class="my-title">{}</i><i class="price">{}</i></div>'
+    other = '<a href="/item/1"><h3>Kia X</h3><i class="price">5</i></a>'
+    assert elements.card_texts(box.format("/u", "Kia", "5") + other) == [("Kia", "5", "", "/u", "", "Kia5")]
+    assert elements.card_texts(box.format("", "Kia", "5") + other) == [("Kia X", "5", "", "/item/1", "", "Kia X5")]
+    assert elements.card_texts('<li class="card"><h2>t</h2><i class="price">5</i></li>') == [] == elements.card_texts(None)
+    linked = '<a href="/used-car-details/z"><div class="usedCarListing"><h3>2019 Kia X</h3><i class="price">5</i></div></a>'
+    assert [r[3] for r in elements.listed_texts(linked)] == ["/used-car-details/z"]
+    pages = spark.createDataFrame([("p", linked, 1), ("q", "", 1), ("r", None, 1), ("s", "<![x<p", 1)], "url string, html string, at int")
+    assert [(r["url"], r["photos"], r["year"]) for r in elements.details_pages(pages).orderBy("url").collect()] == [(u, [], None) for u in "pqrs"]
+    assert [(r["page_url"], r["source_url"], r["city"]) for r in elements.products_or_cards(pages, "https://b", "/s", "C", "x").collect()] == [("p", "https://b/used-car-details/z", "C")]
+    assert elements.result_cards(pages.limit(0), "https://b").count() == 0
