@@ -39,9 +39,10 @@ LABELLED_ROWS = 200_000
 SAMPLE_ROWS = 20_000
 #: Patterns in this many toxic labelled texts, with this share of toxic ones, are looked at more closely.
 LEAST_TOXIC_TEXTS = 3
-LEAST_SHARE = 0.5
-#: Log of how unlikely a pattern's places must be by chance: one in twenty in a million patterns.
-LEAST_SURPRISE = float(np.log(1e6 / 0.05))
+LEAST_SHARE = 0.7
+#: Log of how unlikely a pattern's places must be by chance: fifty in a million patterns. This and
+#: LEAST_SHARE are chosen on rows that may be learned from alone, those of remainder 0 against those of 2.
+LEAST_SURPRISE = float(np.log(1e6 / 50))
 PREFIXES = (4, 5, 6)
 VOTERS_PER_KIND = 8
 THRESHOLD = 0.7
