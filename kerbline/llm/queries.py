@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import license_scan
+from kerbline.llm import importance, license_scan, substring_dedup, vector_codes
 from kerbline.llm.common import scratch_root, table
 from kerbline.llm.decontaminate import leaks
 from kerbline.llm.embedding_dedup import near_vectors
@@ -126,6 +126,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -137,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: The other operators' results are beyond SQL; tests hold them against brute force.
@@ -144,4 +159,7 @@ ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op5_url_filters": OP5_SQL,
     "op8_license_scan": license_scan.oracle_sql(),
+    "op11_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_importance_resampling": importance.oracle_sql(),
 }
