@@ -120,24 +120,21 @@ def _chunk_rows(docs: list[tuple[int, int, str]], window: int, bits: int, number
         ends = np.minimum(to[np.searchsorted(to, cut, side="right")] if len(cut) else to, np.append(first[1:], len(h))[np.searchsorted(first, cut, side="right") - 1])
         repeats = np.stack([ids[d[cut]], parts[d[cut]], s[cut], ends - cut]).astype("<i8")
         places = np.stack([ids[used], parts[used], first, s[first]]).astype("<i8")
-        yield chunk & ((1 << bits) - 1), chunk, places.tobytes(), repeats.tobytes(), None, None, None
+        yield chunk & ((1 << bits) - 1), chunk, places.tobytes(), repeats.tobytes(), None, None, None, None
         left = np.flatnonzero(~inside)
         bucket = (h[left] >> np.uint64(64 - bits)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        left, bucket = left[by].astype("<u4"), bucket[by]
-        for lo, hi in zip(*_equal(bucket), strict=True):
-            which = left[lo:hi]
-            yield int(bucket[lo]), chunk, None, None, which.tobytes(), h[which].astype("<u8").tobytes(), g[which].astype("<u2").tobytes()
+        left, bucket = left[by], bucket[by]
+        gap = np.diff(left, prepend=0)
+        cut = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (gap > 0xFFFF))
+        gap[cut] = 0
+        tails = h[left].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]  # the bucket has the first byte
+        for lo, hi in zip(cut, np.append(cut[1:], len(left)), strict=True):
+            yield int(bucket[lo]), chunk, None, None, int(left[lo]), gap[lo:hi].astype("<u2").tobytes(), tails[lo:hi].tobytes(), g[left[lo:hi]].astype("<u2").tobytes()
 
 
-def _equal(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and one past the last place of every run of equal values."""
-    edge = np.flatnonzero(values[1:] != values[:-1]) + 1
-    return np.append(0, edge)[: len(values)], np.append(edge, len(values))[: len(values)]
-
-
-_BLOCK = ["bucket", "chunk", "docs", "repeats", "places", "h", "g"]
-_BLOCK_SCHEMA = "bucket int, chunk long, docs binary, repeats binary, places binary, h binary, g binary"
+_BLOCK = ["bucket", "chunk", "docs", "repeats", "first", "gaps", "tails", "g"]
+_BLOCK_SCHEMA = "bucket int, chunk long, docs binary, repeats binary, first int, gaps binary, tails binary, g binary"
 
 
 def _blocks(window: int, bits: int):
@@ -156,28 +153,36 @@ def _blocks(window: int, bits: int):
     return run
 
 
-def _met_elsewhere(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's rows -> the same with only the windows whose hash stands in another row too."""
-    packed = rows["h"].notna().to_numpy()
-    blocks = rows[packed]
-    if len(blocks):
-        h = np.frombuffer(b"".join(blocks["h"]), dtype="<u8")
-        size = blocks["h"].map(len).to_numpy() // 8
+_MET_SCHEMA = "chunk long, docs binary, repeats binary, places binary, h binary, g binary"
+
+
+def _met_elsewhere(bits: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's rows -> the same with only the windows whose hash stands in another row too."""
+        packed = rows["tails"].notna().to_numpy()
+        others = rows.loc[~packed, ["chunk", "docs", "repeats"]].assign(places=None, h=None, g=None)
+        blocks = rows[packed]
+        if not len(blocks):
+            return others
+        tails = np.frombuffer(b"".join(blocks["tails"]), dtype=np.uint8).reshape(-1, 7)
+        h = np.zeros((len(tails), 8), dtype=np.uint8)
+        h[:, :7] = tails
+        h = h.view("<u8").ravel()
+        h |= np.uint64(int(rows["bucket"].iloc[0]) >> (bits - 8)) << np.uint64(56)
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         met = np.zeros(len(h), dtype=bool)
         met[order[1:][same]] = True
         met[order[:-1][same]] = True
-        out = {"places": [], "h": [], "g": []}
-        ends = np.cumsum(size)
-        for lo, hi, p, g in zip(ends - size, ends, blocks["places"], blocks["g"], strict=True):
+        out, ends = [], np.cumsum(blocks["g"].map(len).to_numpy() // 2)
+        for chunk, first, gaps, g, lo, hi in zip(blocks["chunk"], blocks["first"], blocks["gaps"], blocks["g"], np.append(0, ends[:-1]), ends, strict=True):
             keep = met[lo:hi]
-            out["places"].append(np.frombuffer(p, dtype="<u4")[keep].tobytes())
-            out["h"].append(h[lo:hi][keep].tobytes())
-            out["g"].append(np.frombuffer(g, dtype="<u2")[keep].tobytes())
-        blocks = blocks.assign(**out)
-        blocks = blocks[blocks["h"].map(len) > 0]
-    return pd.concat([rows[~packed], blocks])
+            if keep.any():
+                places = int(first) + np.cumsum(np.frombuffer(gaps, dtype="<u2"), dtype=np.int64)
+                out.append((chunk, None, None, places[keep].astype("<u4").tobytes(), h[lo:hi][keep].tobytes(), np.frombuffer(g, dtype="<u2")[keep].tobytes()))
+        return pd.concat([others, pd.DataFrame(out, columns=others.columns)])
+
+    return run
 
 
 _PLACED_SCHEMA = "h long, g int, doc_id long, part long, start int, n int"
@@ -219,9 +224,10 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = WINDOW) -
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = (max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES)) - 1).bit_length()
     blocks = texts.where("doc_id IS NOT NULL").select("doc_id", "part", "text").mapInPandas(_blocks(window, bits), _BLOCK_SCHEMA)
-    met = blocks.groupBy("bucket").applyInPandas(_met_elsewhere, _BLOCK_SCHEMA)
     with _shuffles_freed(spark):
+        met = scratch.save(blocks.groupBy("bucket").applyInPandas(_met_elsewhere(bits), _MET_SCHEMA), "met")
         placed = scratch.save(met.groupBy("chunk").applyInPandas(_placed, _PLACED_SCHEMA), "placed")
+        scratch.drop(met)
         windows, at = placed.where("h IS NOT NULL"), F.struct("doc_id", "part", "start")
         first = windows.groupBy("h", "g").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("seen")).where("seen > 1").select("h", "g", "first")
         later = windows.join(first.hint("merge"), ["h", "g"]).where(at > F.col("first"))

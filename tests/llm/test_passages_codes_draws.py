@@ -85,18 +85,18 @@ def test_chunks_do_not_change_repeats(monkeypatch):
     """Chunks cut within texts: the repeats found inside them, and all other windows, are each there once."""
     monkeypatch.setattr(sub, "_CHUNK_WINDOWS", 37)
     docs = [(k, 0, t or "") for k, t in enumerate(passages(8))]
-    rows = list(sub._chunk_rows(docs + docs[:3], 3, 4, 9))
+    rows = list(sub._chunk_rows(docs + docs[:3], 3, 8, 9))
     seen = {}
-    for bucket, chunk, places, repeats, at, h, g in rows:
-        assert 0 <= bucket < 16
+    for bucket, _, places, repeats, first, gaps, tails, g in rows:
+        assert 0 <= bucket < 256
         if places is not None:
             table = np.frombuffer(places, "<i8").reshape(4, -1)
             for doc_id, _, start, n in np.frombuffer(repeats, "<i8").reshape(4, -1).T.tolist():
                 for k in range(n):
                     assert seen.setdefault((doc_id, start + k), "inside") == "inside"
         else:
-            assert len(h) // 8 == len(g) // 2 == len(at) // 4 and {x >> 60 for x in np.frombuffer(h, "<u8").tolist()} == {bucket}
-            for k in np.frombuffer(at, "<u4").tolist():
+            assert len(tails) // 7 == len(g) // 2 == len(gaps) // 2 > 0
+            for k in (first + np.cumsum(np.frombuffer(gaps, "<u2"))).tolist():
                 d = np.searchsorted(table[2], k, side="right") - 1
                 assert seen.setdefault((int(table[0][d]), int(k - table[2][d] + table[3][d])), "left") == "left"
     want = {(d, k) for d, _, t in docs for k in range(len(re.findall("[^\x20\x09-\x0d]+", t)) - 2)}
