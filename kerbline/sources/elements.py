@@ -6,9 +6,7 @@ what they say is read by Spark's functions.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,71 +14,49 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
 from kerbline.sources import jsonld
+from kerbline.sources.markup import Node, tree
 
-#: Elements without an end tag.
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CARD = "title string, price string, location string, href string, image string, said string"
 _DETAILS = "photos array<string>, description string, seller_name string, attributes array<struct<label string, value string>>"
 
 
-class Elements(HTMLParser):
+class Elements:
     """Elements of a page in document order: tag, attributes, and the number after their last descendant."""
 
     def __init__(self, html: str | None):
-        super().__init__(convert_charrefs=True)
         self.tag: list[str] = []
-        self.attributes: list[dict] = []
+        self.attributes: list[dict[str, str]] = []
         self.end: list[int] = []
         self.parent: list[int] = []
         self.last_child: list[bool] = []
         self._pieces: list[str] = []
         self._said: list[list[int]] = []
-        self._open: list[int] = []
-        self._n_open: Counter = Counter()
-        self._latest: dict[int, int] = {}
-        try:
-            self.feed(html or "")
-            self.close()
-        except AssertionError:  # a declaration that the parser can't read ends the page
-            pass
-        while self._open:
-            self._pop()
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "li" and self._open and self.tag[self._open[-1]] == "li":
-            self._pop()
-        parent, own = self._open[-1] if self._open else -1, len(self.tag)
-        if parent in self._latest:
-            self.last_child[self._latest[parent]] = False
-        self._latest[parent] = own
-        self.tag.append(tag)
-        self.attributes.append({k: v or "" for k, v in reversed(attrs)})
-        self.last_child.append(True)
-        self.parent.append(parent)
-        self.end.append(own + 1)
-        self._said.append([len(self._pieces), len(self._pieces)])
-        if tag not in _VOID:
-            self._open.append(own)
-            self._n_open[tag] += 1
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        while self._n_open[tag] and self._pop() != tag:
-            pass
-
-    def handle_data(self, data):
-        self._pieces.append(data)
-
-    def unknown_decl(self, data):
-        pass
-
-    def _pop(self) -> str:
-        i = self._open.pop()
-        self.end[i], self._said[i][1] = len(self.tag), len(self._pieces)
-        self._n_open[self.tag[i]] -= 1
-        return self.tag[i]
+        latest: dict[int, int] = {}
+        # an element's own entry ends it; what a table throws out stands before it
+        todo: list[tuple[Node | str | int, int]] = [(c, -1) for c in reversed(tree(html).children)]
+        while todo:
+            item, parent = todo.pop()
+            if isinstance(item, str):
+                self._pieces.append(item)
+            elif isinstance(item, int):
+                self.end[item], self._said[item][1] = len(self.tag), len(self._pieces)
+            elif item.before:
+                thrown, item.before = item.before, []
+                todo.append((item, parent))
+                todo += [(c, parent) for c in reversed(thrown)]
+            else:
+                own = len(self.tag)
+                if parent in latest:
+                    self.last_child[latest[parent]] = False
+                latest[parent] = own
+                self.tag.append(item.tag)
+                self.attributes.append(item.attributes)
+                self.last_child.append(True)
+                self.parent.append(parent)
+                self.end.append(own + 1)
+                self._said.append([len(self._pieces), len(self._pieces)])
+                todo.append((own, parent))
+                todo += [(c, own) for c in reversed(item.children)]
 
     def text(self, i: int | None) -> str:
         return "" if i is None else "".join(self._pieces[slice(*self._said[i])])
