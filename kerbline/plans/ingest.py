@@ -117,7 +117,7 @@ def products_or_cards(spark, d):
 # -- pages of posts ----------------------------------------------------------------------------
 
 _S = "CAST(s_suppkey AS STRING)"
-_PROFILE = f"'<a href=\"/p/A' || {_S} || '/\">x</a><a href=\"/about\"></a><a href=\"https://s.example.com/reel/B' || {_S} || '/\"></a><a href=\"/p/A' || {_S} || '/\"></a>'"
+_PROFILE = f"'<a class=x href=/p/A' || {_S} || '/>x</a><a href=\"/about\"></a><a href=''https://s.example.com/reel/B' || {_S} || '/''></a><a href=\"/p/A' || {_S} || '/\"></a>'"
 
 
 @query(
@@ -130,19 +130,25 @@ def profile_links(spark, d):
 
 
 _CDN = "https://scontent.cdninstagram.com/v"
+#: References in attributes, attributes in any order and quotes, an image element's src before its own set.
 _POST = (
-    f"'<meta property=\"og:description\" content=\"5 likes - \"' || '><meta property=\"og:image\" content=\"{_CDN}/1.jpg?ig_cache_key=A' || {_S} || '\"><link rel=\"preload\" as=\"image\" href=\"{_CDN}/2.jpg\" imagesrcset=\"{_CDN}/3.jpg 1x, {_CDN}/2.jpg?x=2 2x\">'"
-    f" || '<img src=\"{_CDN}/1b.jpg?ig_cache_key=A' || {_S} || '\" srcset=\"{_CDN}/s150x150/4.jpg 1x\"><time datetime=\"2024-03-05T10:20:30.000Z\">' || CASE WHEN s_suppkey % 2 = 0 THEN '<meta property=\"og:video\" content=\"v.mp4\">' ELSE '' END || '{{\"u\":\"https:\\\\/\\\\/x.fbcdn.net\\\\/v\\\\/9.jpg\"}}'"
-).replace("{{", "{").replace("}}", "}")
+    f"'<meta content=\"5 likes - &quot;' || p_name || ' &amp; co: - 4.5L&quot;\" property=og:description><meta property=\"og:image\" content=\"{_CDN}/1.jpg?x=1&amp;ig_cache_key=A' || {_S} || '\"><link as=\"image\" rel=\"preload\" href=\"{_CDN}/2.jpg\" imagesrcset=\"{_CDN}/3.jpg 1x, {_CDN}/2.jpg?x=2 2x\">'"
+    f" || '<img src=\"{_CDN}/1b.jpg?x=1&amp;ig_cache_key=A' || {_S} || '\" srcset=\"{_CDN}/s150x150/4.jpg 1x, {_CDN}/5.jpg?a=1&amp;b=2 2x\"><img src=\"{_CDN}/6.jpg\" srcset=\"{_CDN}/7.jpg 1x\"><time datetime=\"2024-03-05T10:20:30.000Z\">' || CASE WHEN s_suppkey % 2 = 0 THEN '<meta property=\"og:video\" content=\"v.mp4?a=1&amp;b=2\">' ELSE '' END || '<script>{{\"u\":\"https:\\\\/\\\\/x.fbcdn.net\\\\/v\\\\/9.jpg?a=1\\\\u0026b=2\"}}</script>'"
+).replace("{{", "{").replace("}}", "}").replace("p_name", "lower(s_name)")
+
+
+_PICTURES = f"'{_CDN}/1.jpg?x=1&ig_cache_key=A' || s_suppkey || ' {_CDN}/2.jpg {_CDN}/3.jpg {_CDN}/5.jpg?a=1&b=2 {_CDN}/6.jpg {_CDN}/7.jpg https://x.fbcdn.net/v/9.jpg?a=1&b=2'"
 
 
 @query(
-    f"""SELECT lower(s_name) AS handle, 'A' || s_suppkey AS post_id, '' AS caption, '{_CDN}/1.jpg?ig_cache_key=A' || s_suppkey || ' {_CDN}/2.jpg {_CDN}/3.jpg https://x.fbcdn.net/v/9.jpg' AS images,
- s_suppkey % 2 = 0 AS is_reel, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 4 END AS n_media FROM supplier"""
+    f"""SELECT lower(s_name) AS handle, 'A' || s_suppkey AS post_id, lower(s_name) || ' & co: - 4.5L' AS caption, {_PICTURES} AS images, '2024-03-05 10:20:30' AS posted_at,
+ s_suppkey % 2 = 0 AS is_reel, CASE WHEN s_suppkey % 2 = 0 THEN 'video:v.mp4?a=1&b=2' ELSE 'image:{_CDN}/1.jpg?x=1&ig_cache_key=A' || s_suppkey END AS first_media,
+ CASE WHEN s_suppkey % 2 = 0 THEN '{_CDN}/1.jpg?x=1&ig_cache_key=A' || s_suppkey END AS poster, CASE WHEN s_suppkey % 2 = 0 THEN 8 ELSE 7 END AS n_media FROM supplier"""
 )
 def post_pages(spark, d):
     pages = read(spark, d, "supplier").selectExpr("lower(s_name) AS handle", f"'https://s.example.com/p/A' || {_S} || '/' AS url", f"{_POST} AS html")
-    return posts.post_pages(pages).select("handle", "post_id", "caption", F.array_join("images", " ").alias("images"), "is_reel", "n_media")
+    item, at = F.get("media", F.lit(0)), F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss")
+    return posts.post_pages(pages).select("handle", "post_id", "caption", F.array_join("images", " ").alias("images"), at.alias("posted_at"), "is_reel", F.concat(item["type"], F.lit(":"), item["url"]).alias("first_media"), item["poster_url"].alias("poster"), "n_media")
 
 
 _O = "CAST(o_orderkey % 50 + 1 AS STRING)"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
+from kerbline.sources.markup import tokens
 
 LINKS_PER_PROFILE, IMAGES_PER_POST, IMAGES_TO_READ = 20, 8, 2
 #: What an extracted record may say.
@@ -14,30 +18,64 @@ TRANSMISSIONS = ("manual", "automatic")
 BODIES = ("sedan", "suv", "hatchback", "muv", "coupe", "convertible", "pickup", "van", "wagon")
 
 
-def _meta(html: Column, name: str) -> Column:
-    """content of a meta tag, empty without one."""
-    return F.regexp_extract(html, rf'<meta[^>]*property="{name}"[^>]*content="([^"]*)"', 1)
+#: What a page's elements say: metas and time (null without one), addresses of links, preloads and images in page order.
+_SAID = "description string, preview string, video string, posted string, links array<string>, preloads array<string>, pictures array<string>"
+
+
+def _srcset(value: str) -> list[str]:
+    return [parts[0] for part in value.split(",") if (parts := part.split())]
+
+
+def _said(html: str | None) -> tuple:
+    metas, posted = {}, None
+    links, preloads, pictures = [], [], []
+    for kind, tag, attributes in tokens(html):
+        if kind != "start" or tag not in ("meta", "a", "link", "img", "time"):
+            continue
+        has = dict(reversed(attributes))
+        if tag == "meta":
+            metas.setdefault(has.get("property"), has.get("content", ""))
+        elif tag == "a":
+            if "/p/" in has.get("href", "") or "/reel/" in has.get("href", ""):
+                links.append(has["href"])
+        elif tag == "link":
+            if has.get("rel") == "preload" and has.get("as") == "image":
+                preloads += [has.get("href", ""), *_srcset(has.get("imagesrcset", ""))]
+        elif tag == "time":
+            posted = has.get("datetime") if posted is None else posted
+        elif "srcset" in has or any(host in has.get("src", "") for host in ("cdninstagram", "fbcdn")):
+            pictures += [has.get("src", ""), *_srcset(has.get("srcset", ""))]
+    return metas.get("og:description"), metas.get("og:image"), metas.get("og:video"), posted, links, preloads, pictures
+
+
+def _said_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [column.split()[0] for column in _SAID.split(", ")]
+    for batch in batches:
+        yield pd.concat([batch.reset_index(drop=True), pd.DataFrame([_said(html) for html in batch["html"]], columns=names, dtype=object)], axis=1)
+
+
+def page_elements(pages: DataFrame, *columns: str) -> DataFrame:
+    """(columns, html) -> the same and what the page's elements say, references decoded, attributes in any
+    order and quotes. A null or empty page says nothing."""
+    own = pages.select(*columns, "html")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInPandas(_said_rows, f"{kept}, {_SAID}")
 
 
 def profile_links(pages: DataFrame, base: str, most: int = LINKS_PER_PROFILE) -> DataFrame:
     """(handle, html) -> handle, position, url: the first different links to posts and reels."""
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*/(?:p|reel)/[^"]*)"'), F.lit(1)))
-    links = F.slice(found, 1, most)
-    out = pages.select("handle", F.posexplode(links).alias("position", "href"))
+    links = F.slice(F.array_distinct("links"), 1, most)
+    out = page_elements(pages, "handle").select("handle", F.posexplode(links).alias("position", "href"))
     return out.select("handle", "position", T.absolute_url(F.col("href"), base).alias("url"))
 
 
-def image_urls(html: Column) -> Column:
-    """Usable images of a post's page, the first of each image: its preview, preloads, image tags, and
-    whatever addresses of image hosts its text has."""
-    attributes = lambda tag, name: F.transform(F.regexp_extract_all(html, F.lit(rf"(<{tag}[^>]*>)"), F.lit(1)), lambda t: F.regexp_extract(t, rf'\b{name}="([^"]*)"', 1))
-    preload = F.filter(F.regexp_extract_all(html, F.lit(r"(<link[^>]*>)"), F.lit(1)), lambda t: t.contains('rel="preload"') & t.contains('as="image"'))
-    hrefs = F.transform(preload, lambda t: F.regexp_extract(t, r'\bhref="([^"]*)"', 1))
-    sets = F.flatten(F.transform(preload, lambda t: T.srcset_urls(F.regexp_extract(t, r'(?i)\bimagesrcset="([^"]*)"', 1))))
-    images = attributes("img", "src")
-    image_sets = F.flatten(F.transform(attributes("img", "srcset"), T.srcset_urls))
-    loose = F.regexp_extract_all(html, F.lit(r"""(https:(?:\\?/){2}[^"'\s<>]*?(?:cdninstagram\.com|fbcdn\.net)[^"'\s<>]+)"""), F.lit(1))
-    every = F.concat(F.array(_meta(html, "og:image")), hrefs, sets, images, image_sets, F.transform(loose, T.unescape_slashes))
+def image_urls() -> Column:
+    """Usable images of a post, of the columns of `page_elements`; the first of each image: its preview,
+    preloads, image tags (each with its own set of sources), and whatever addresses of image hosts the
+    page's text has, where references and JSON escapes are undone."""
+    loose = F.regexp_extract_all("html", F.lit(r"""(https:(?:\\?/){2}[^"'\s<>]*?(?:cdninstagram\.com|fbcdn\.net)[^"'\s<>]+)"""), F.lit(1))
+    plain = lambda u: F.replace(T.unescape_slashes(u), F.lit("&amp;"), F.lit("&"))
+    every = F.concat(F.array(F.coalesce("preview", F.lit(""))), "preloads", "pictures", F.coalesce(F.transform(loose, plain), F.array().cast("array<string>")))
     return first_of_each_image(F.array_distinct(F.filter(every, T.usable_image)))
 
 
@@ -47,16 +85,23 @@ def first_of_each_image(urls: Column) -> Column:
     return F.filter(urls, lambda u, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
+def post_media(images: Column, video: Column, types: Column | None = None) -> Column:
+    """A post's media: its video first, with the first image as poster, then its images. types: the
+    images' content types where they were fetched."""
+    kind = lambda i: F.lit(None).cast("string") if types is None else T.media_type(F.get(types, i))
+    item = lambda url, what, mime, poster: F.struct(url.alias("url"), F.lit(what).alias("type"), mime.alias("mime_type"), poster.alias("poster_url"))
+    pictures = F.transform(images, lambda u, i: item(u, "image", kind(i), F.lit(None).cast("string")))
+    return F.when(video.isNull(), pictures).otherwise(F.concat(F.array(item(video, "video", F.lit("video/mp4"), F.get(images, F.lit(0)))), pictures))
+
+
 def post_pages(pages: DataFrame) -> DataFrame:
-    """(handle, url, html) -> handle, url, post_id, caption, images, video_url, is_reel, posted_at, n_media."""
-    html = F.col("html")
-    video = F.nullif(_meta(html, "og:video"), F.lit(""))
-    out = pages.select(
-        "handle", "url", T.post_id(F.col("url")).alias("post_id"), T.caption_of(_meta(html, "og:description")).alias("caption"),
-        F.slice(image_urls(html), 1, IMAGES_PER_POST).alias("images"), video.alias("video_url"),
-        F.regexp_extract(html, r'<time[^>]*datetime="([^"]*)"', 1).try_cast("timestamp").alias("posted_at"),
+    """(handle, url, html) -> handle, url, post_id, caption, images, video_url, posted_at, is_reel, media, n_media."""
+    out = page_elements(pages, "handle", "url").select(
+        "handle", "url", T.post_id(F.col("url")).alias("post_id"), T.caption_of(F.coalesce("description", F.lit(""))).alias("caption"),
+        F.slice(image_urls(), 1, IMAGES_PER_POST).alias("images"), F.nullif("video", F.lit("")).alias("video_url"), F.col("posted").try_cast("timestamp").alias("posted_at"),
     )
-    return out.withColumns({"is_reel": T.is_reel(F.col("url"), F.col("video_url").isNotNull()), "n_media": F.size("images") + F.col("video_url").isNotNull().cast("int")})
+    out = out.withColumns({"is_reel": T.is_reel(F.col("url"), F.col("video_url").isNotNull()), "media": post_media(F.col("images"), F.col("video_url"))})
+    return out.withColumn("n_media", F.size("media"))
 
 
 def images_to_read(images: Column, stored: Column, data: Column) -> Column:
@@ -104,8 +149,9 @@ def listings_of_posts(records: DataFrame, dealers: DataFrame, city: str) -> Data
     """Extracted records (handle, url, make, model, year, ...) of car posts as listings.
 
     Only records that are a listing and have make, model and year; the dealer is looked up by handle,
-    what it lacks is filled in.
+    what it lacks is filled in. Where records have media, caption and posted_at of their post, so does the listing.
     """
+    more = {"media": "media", "description": "caption", "listed_at": "posted_at"}
     there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     cars = records.where(F.col("is_car_listing") & there("make") & there("model") & (F.col("year") != 0))
     known = dealers.select(F.col("handle").alias("__handle"), F.col("display_name").alias("__name"), F.col("city").alias("__city"), F.col("dealer_id").alias("__dealer"))
@@ -114,4 +160,5 @@ def listings_of_posts(records: DataFrame, dealers: DataFrame, city: str) -> Data
         "make", "model", "year", "price", T.listing_status(F.lit(None).cast("string"), F.col("price")).alias("listing_status"), F.when(F.col("is_sold"), "sold").otherwise("available").alias("sale_status"),
         F.coalesce("__city", F.lit(city)).alias("city"), F.lit("social").alias("source_platform"), F.col("url").alias("source_url"), T.post_path_id(F.col("url")).alias("source_listing_id"),
         F.coalesce("__name", F.concat(F.lit("@"), "handle")).alias("seller_name"), F.lit("dealer").alias("seller_type"), F.col("__dealer").alias("dealer_id"),
+        *[(F.nullif(c, F.lit("")) if c == "caption" else F.col(c)).alias(name) for name, c in more.items() if c in records.columns],
     )

@@ -1,6 +1,7 @@
 """Edge rows of the marketplace operators that the test tables don't hold."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
-from kerbline.sources import elements, jsonld
+from kerbline.sources import elements, jsonld, posts
+from kerbline.sources.markup import tokens
 from kerbline.streaming.merge import distinct_within, latest_version, merge_stream, vacuum
 
 
@@ -179,3 +181,48 @@ def test_elements(spark):
     assert [(r["url"], r["photos"], r["year"]) for r in elements.details_pages(pages).orderBy("url").collect()] == [(u, [], None) for u in "pqrs"]
     assert [(r["page_url"], r["source_url"], r["city"]) for r in elements.products_or_cards(pages, "https://b", "/s", "C", "x").collect()] == [("p", "https://b/used-car-details/z", "C")]
     assert elements.result_cards(pages.limit(0), "https://b").count() == 0
+
+
+def test_pages_with_open_elements():
+    """What a browser's tree holds: (tag, text, number of the parent)."""
+    known = {
+        '<p class="price">5 Lakh<p>12,300 km': [("p", "5 Lakh", -1), ("p", "12,300 km", -1)],
+        "<table><tr><td>a<td>b<tr><th>c</table>": [("table", "abc", -1), ("tbody", "abc", 0), ("tr", "ab", 1), ("td", "a", 2), ("td", "b", 2), ("tr", "c", 1), ("th", "c", 5)],
+        "<table>x<div>y</div><tr><td>z</table>": [("div", "y", -1), ("table", "z", -1), ("tbody", "z", 1), ("tr", "z", 2), ("td", "z", 3)],
+        "<dl><dt>a<dd>b<dt>c</dl>": [("dl", "abc", -1), ("dt", "a", 0), ("dd", "b", 0), ("dt", "c", 0)],
+        "<select><option>a<option>b<optgroup><option>c</select>": [("select", "abc", -1), ("option", "a", 0), ("option", "b", 0), ("optgroup", "c", 0), ("option", "c", 3)],
+        "<ul><li>a<ul><li>b</ul><li>c</ul>": [("ul", "abc", -1), ("li", "ab", 0), ("ul", "b", 1), ("li", "b", 2), ("li", "c", 0)],
+        "<p>a<table><tr><td>b<p>c</td></table>d": [("p", "a", -1), ("table", "bc", -1), ("tbody", "bc", 1), ("tr", "bc", 2), ("td", "bc", 3), ("p", "c", 4)],
+        "<h1>a<h2>b</h1>c": [("h1", "a", -1), ("h2", "b", -1)],
+        "<div><b>a<div>b</b>c</div>d</div>": [("div", "abcd", -1), ("b", "abcd", 0), ("div", "bc", 1)],
+        "<![x<p>y<p>z": [("p", "z", -1)],
+        "<script>if (a<b) '</p>'</script>t<i>u": [("script", "if (a<b) '</p>'", -1), ("i", "u", -1)],
+    }
+    for html, want in known.items():
+        page = elements.Elements(html)
+        assert [(page.tag[i], page.text(i), page.parent[i]) for i in range(len(page.tag))] == want, html
+    card = elements.listed_texts('<div class="listingCard"><h3>2019 Kia X</h3><p class="price">5 Lakh<p>12,300 km<a href="/used-car-details/x?a=1&amp;b=2">')
+    assert [(r[1], r[3]) for r in card] == [("5 Lakh", "/used-car-details/x?a=1&b=2")]
+    for odd in ("<a " * 300_000, '<a x="' * 200_000, "<!--" * 300_000, "<p><b>" * 100_000, "<table><tr><td>" * 50_000, "<p><table>" + "<i>" * 50_000 + "<div>" * 50_000):
+        began = time.monotonic()
+        elements.Elements(odd)
+        assert time.monotonic() - began < 20
+
+
+def test_tokens():
+    assert list(tokens("<a href='x&amp;y&copy=1' ID=3>&lt;</a/>< 3<!--x--><!-->?")) == [
+        ("start", "a", [("href", "x&y&copy=1"), ("id", "3")]), ("text", "<", []), ("end", "a", []), ("text", "<", []), ("text", " 3", []), ("text", "?", []),
+    ]
+    assert list(tokens(None)) == [] == list(tokens("<a b")) and list(tokens("<title>a&amp;<b></title>")) == [("start", "title", []), ("text", "a&<b>", []), ("end", "title", [])]
+
+
+def test_posts(spark):
+    cdn = "https://scontent.cdninstagram.com/v"
+    nine = "".join(f"<img srcset='{cdn}/{k}b.jpg 1x' src='{cdn}/{k}a.jpg'>" for k in range(9))
+    same = f'<img src="{cdn}/1.jpg?x=1&amp;ig_cache_key=A"><img src="{cdn}/2.jpg?x=1&amp;ig_cache_key=A">'
+    pages = spark.createDataFrame([("a", "https://s/p/1/", nine), ("b", "https://s/p/2/", same), ("c", "https://s/reel/3/", None), ("d", "https://s/p/4/", "")], "handle string, url string, html string")
+    got = {r["handle"]: r for r in posts.post_pages(pages).collect()}
+    assert [u.rsplit("/", 1)[1] for u in got["a"]["images"]] == [f"{k}{x}.jpg" for k in range(4) for x in "ab"] and got["a"]["n_media"] == 8
+    assert got["b"]["images"] == [f"{cdn}/1.jpg?x=1&ig_cache_key=A"]
+    assert [(got[h]["caption"], got[h]["images"], got[h]["media"], got[h]["is_reel"]) for h in "cd"] == [("", [], [], True), ("", [], [], False)]
+    assert posts.profile_links(pages.limit(0), "https://s").count() == 0
