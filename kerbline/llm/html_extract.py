@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.sources.markup import tokens
+
 TRAINING_PAGES = 700
 EPOCHS = 12
 #: Fixed values of HTML.
@@ -98,14 +99,13 @@ class _Node:
 Block = tuple[str, _Node, float]  # text, where it stands, share of linked characters
 
 
-class _Blocks(HTMLParser):
+class _Blocks:
     """Leaf blocks of a page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = _Node("body", (), None, 0)
         self.stack: list[_Node] = []
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.nodes = 1
         self.skipped = 0
         self.pieces: list[str] = []
@@ -122,23 +122,21 @@ class _Blocks(HTMLParser):
     def _pop(self) -> None:
         node = self.stack.pop()
         node.end = self.nodes
-        self.open[node.tag] -= 1
+        self.open[node.tag].pop()
         if node.tag in _SKIPPED:
             self.skipped -= 1
 
-    def _close_up_to(self, wanted: set[str], stop: frozenset[str] | set[str]) -> None:
-        if not any(self.open.get(t) for t in wanted):
-            return
-        for k in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[k].tag
-            if tag in wanted:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if tag in stop:
-                return
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _innermost(self, tags: Iterable[str]) -> int:
+        return max((held[-1] for t in tags if (held := self.open.get(t))), default=-1)
+
+    def _close_up_to(self, wanted: Iterable[str], stop: Iterable[str]) -> None:
+        """Closes the innermost open element of `wanted`, unless one of `stop` stands further in."""
+        place = self._innermost(wanted)
+        if place >= 0 and place >= self._innermost(stop):
+            while len(self.stack) > place:
+                self._pop()
+
+    def start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
         if tag not in _INLINE:
             self._flush()
         elif tag == "img":
@@ -151,21 +149,18 @@ class _Blocks(HTMLParser):
             self._close_up_to({tag}, _SCOPE | _CLOSES_P)
         if tag in _VOID:
             return
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(_Node(tag, _kinds(tag, attrs), self.stack[-1] if self.stack else self.root, self.nodes))
         self.nodes += 1
-        self.open[tag] = self.open.get(tag, 0) + 1
         if tag in _SKIPPED:
             self.skipped += 1
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # HTML has no self-closing elements but the void ones
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag not in _INLINE:
             self._flush()
-        self._close_up_to({tag}, frozenset())
+        self._close_up_to({tag}, ())
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.skipped:
             return
         if self.place is None and not data.isspace():
@@ -175,7 +170,6 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
 
     def close(self) -> None:
-        super().close()
         self._flush()
         while self.stack:
             self._pop()
@@ -183,11 +177,17 @@ class _Blocks(HTMLParser):
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
-    """Blocks in page order."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    return parser.blocks
+    """Blocks in page order. What a page leaves open or malforms is read as browsers do, in time linear in it."""
+    page = _Blocks()
+    for kind, said, attributes in tokens(html):
+        if kind == "text":
+            page.text(said)
+        elif kind == "start":
+            page.start(said, attributes)
+        else:
+            page.end(said)
+    page.close()
+    return page.blocks
 
 
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -518,7 +518,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     text is the article's blocks in page order, joined by one space; character references are decoded
     and white space inside a block is one space. n_chars counts its code points, n_kept and n_blocks the
     blocks that are the article and all blocks. Null or empty html, and a page without an article, give
-    an empty text. Nothing is cut off, however long the page or deep its elements. Null page_id and url stay; other columns are ignored.
+    an empty text. Nothing is cut off, however long the page or deep its elements; a malformed
+    declaration is read as a comment. Null page_id and url stay; other columns are ignored; an empty table gives no rows.
     """
     field = trained_field()
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

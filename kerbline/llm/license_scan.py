@@ -67,8 +67,10 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved"),
 )
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: For text in lower case, in which A-Z don't occur.
+#: For text in lower case, in which A-Z don't occur. Spark's form gives nothing back: Java would follow each
+#: blank line by a call of its own, and many of them end its stack. Nothing comes after, so both find the same.
 _SENTENCE_END = r"[.!?][ \t\n\x0B\f\r]+|\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n)+"
+_SPARK_SENTENCE_END = r"[.!?][ \t\n\x0B\f\r]++|\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+\n)++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LONGEST = max(len(text.split()) for _, text in TEMPLATES)
 _WINDOW, _STEP = 2 * _LONGEST, _LONGEST // 2
@@ -143,7 +145,7 @@ def matching_blocks(read: DataFrame) -> DataFrame:
     prefix = F.broadcast(read.sparkSession.createDataFrame(prefixes, "template int, label string, size int, need int, word string, place int, of_template array<string>, phrase string"))
 
     texts = read.where("text IS NOT NULL").dropDuplicates(["k1", "k2"])
-    parts = texts.select("k1", "k2", F.explode(F.split(_lower(F.col("text")), _SENTENCE_END)).alias("part"))
+    parts = texts.select("k1", "k2", F.explode(F.split(_lower(F.col("text")), _SPARK_SENTENCE_END)).alias("part"))
     worded = parts.select("k1", "k2", F.explode(F.array(_words(F.col("part")))).alias("all"))
     begins = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - _WINDOW + _STEP - 1), F.lit(_STEP))
     blocks = worded.select("k1", "k2", F.explode(F.transform(begins, lambda at: F.slice("all", at + 1, F.lit(_WINDOW)))).alias("block"))

@@ -25,13 +25,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the latest version of the sharded documents holds, with a digest of each text."""
-    store = shard_documents(table(spark, sf_dir, "documents"), f"{scratch_root(spark)}/shards-{uuid.uuid4().hex[:12]}")
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+#: Appends that op2's documents come in.
+ARRIVALS = 6
 
 
-OP2_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the latest version holds after several arrivals, each compacted: documents with a digest of
+    each text, the arrival they came with, the rows of its version before and after the merges, and
+    whether no tier of the latest version holds a run to merge."""
+    number = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int") % ARRIVALS).alias("arrival")
+    documents = table(spark, sf_dir, "documents").select("*", number)
+    store, arrivals = shard_documents(documents, f"{scratch_root(spark)}/shards-{uuid.uuid4().hex[:12]}", by="arrival", arrivals=ARRIVALS)
+    settled = not store.plan(store.manifest()[1])
+    of = lambda name: F.element_at(F.array(*[F.lit(getattr(a, name)).cast("long") for a in arrivals]), F.col("arrival") + 1)
+    return store.read().select(
+        "doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), "arrival",
+        of("rows_appended").alias("rows_appended"), of("rows_compacted").alias("rows_compacted"), F.lit(settled).alias("settled"),
+    )
+
+
+OP2_SQL = f"""WITH a AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::INT % {ARRIVALS})::INT AS arrival FROM documents),
+r AS (SELECT arrival, sum(count(*)) OVER (ORDER BY arrival)::BIGINT AS n FROM a GROUP BY arrival)
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, arrival, n AS rows_appended, n AS rows_compacted, true AS settled FROM a JOIN r USING (arrival)"""
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

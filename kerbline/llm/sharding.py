@@ -6,9 +6,11 @@ files of similar size are merged into files of about the target size. Every merg
 its files and writes one: no shuffle, and no task larger than the target. Files of a merged run stay
 until `vacuum`, so readers of an earlier version are not disturbed.
 
-A version of the table is a manifest: a small JSON file that lists the shards. It is written under
-another name and renamed without overwriting, so a version appears whole or not at all, and of two
-writers one loses and starts over from the newer version. Files that no manifest lists don't belong to
+A version of the table is a manifest: a small JSON file that names lists of shards, which are files of
+their own and never change. A commit writes lists only for what it adds and for the lists that it takes
+shards from; the others are named again. A manifest is written under another name and renamed without
+overwriting, so a version appears whole or not at all, and of two writers one loses and starts over from
+the newer version. Files that no manifest lists don't belong to
 the table, whatever failed or ran twice; lost executors only repeat tasks.
 """
 
@@ -28,6 +30,8 @@ FAN_IN = 4
 LEAST_BYTES = 1 << 20
 #: Merges that are planned in one Spark job; the plan has one scan for each.
 MERGES_PER_JOB = 64
+#: Shards in a list at most, and lists of a manifest from which on those half empty are put together.
+LIST_SHARDS, MANY_LISTS = 10_000, 64
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, schema, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.target_bytes, self.fan_in = target_bytes, fan_in
+        self._lists: dict[str, list[Shard]] = {}  # lists that were read; they never change
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -68,19 +73,51 @@ class ShardStore:
         version = version if version is not None else (have[-1] if have else 0)
         if version == 0:
             return 0, []
-        stream = self._fs.open(self._path(f"manifests/v{version:012d}.json"))
+        return version, [s for name in self._names(version) for s in self._listed(name)]
+
+    def _json(self, name: str):
+        stream = self._fs.open(self._path(name))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return version, [Shard(**s) for s in json.loads(text)["shards"]]
+
+    def _put_json(self, name: str, value) -> None:
+        stream = self._fs.create(self._path(name), False)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+
+    def _names(self, version: int) -> list[str]:
+        """Lists of a version."""
+        return self._json(f"manifests/v{version:012d}.json")["lists"] if version else []
+
+    def _listed(self, name: str) -> list[Shard]:
+        if name not in self._lists:
+            self._lists[name] = [Shard(**s) for s in self._json(name)]
+        return self._lists[name]
+
+    def _lists_of(self, after: int, shards: list[Shard]) -> list[str]:
+        """Names of lists that hold exactly `shards`: those of version `after` that stay whole, and new ones."""
+        left, kept = set(shards), []
+        names = self._names(after)
+        many = len(names) >= MANY_LISTS
+        for name in names:
+            own = self._listed(name)
+            if left.issuperset(own) and not (many and 2 * len(own) < LIST_SHARDS):
+                left.difference_update(own)
+                kept.append(name)
+        rest = sorted(left, key=lambda s: s.path)
+        for at in range(0, len(rest), LIST_SHARDS):
+            name = f"lists/{uuid.uuid4().hex}.json"
+            self._put_json(name, [asdict(s) for s in rest[at : at + LIST_SHARDS]])
+            kept.append(name)
+        return kept
 
     def _commit(self, after: int, shards: list[Shard]) -> int:
         version = after + 1
-        draft, final = self._path(f"manifests/.draft-{uuid.uuid4().hex}"), self._path(f"manifests/v{version:012d}.json")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
-        stream.close()
+        draft, final = f"manifests/.draft-{uuid.uuid4().hex}", self._path(f"manifests/v{version:012d}.json")
+        self._put_json(draft, {"version": version, "lists": self._lists_of(after, shards)})
+        draft = self._path(draft)
         modes = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
         modes[0] = getattr(self._hadoop, "Options$Rename").NONE
         context = self._hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -101,12 +138,14 @@ class ShardStore:
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")}
         if not sizes:
             return []
-        rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        # a schema of its own keeps columns of any name out of the way of Spark's file column
+        rows = self.spark.read.schema("unrelated int").parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
         return [Shard(f"{folder}/{r['name']}", sizes[r["name"]], r["n"]) for r in sorted(rows.collect())]  # a row for each file; files without rows are left out
 
     def append(self, arrivals: DataFrame) -> int:
         """Adds rows as new shards; returns the version that has them."""
-        new = self._write(arrivals.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]), "arrival")
+        quoted = lambda name: "`" + name.replace("`", "``") + "`"
+        new = self._write(arrivals.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in self.schema]), "arrival")
         while True:
             version, shards = self.manifest()
             try:
@@ -140,33 +179,32 @@ class ShardStore:
     def compact(self) -> int:
         """Merges until no tier holds a full run; returns the latest version.
 
-        Each job's files replace theirs in one commit, after their rows are counted. A commit that
+        Each round's files replace theirs in one commit, after their rows are counted. A commit that
         meets a newer version is repeated on it, for appends don't touch the merged shards; where
-        another compaction has taken one of them, the merge is dropped.
+        another compaction has taken one of them, the round is dropped.
         """
         while True:
             version, shards = self.manifest()
             runs = self.plan(shards)
             if not runs:
                 return version
+            new: list[Shard] = []
             for at in range(0, len(runs), MERGES_PER_JOB):
                 batch = runs[at : at + MERGES_PER_JOB]
                 merged = self._read(batch[0]).coalesce(1)
                 for run in batch[1:]:
                     merged = merged.unionAll(self._read(run).coalesce(1))
-                gone = {s for run in batch for s in run}
-                new = self._write(merged, "merged")
-                if sum(s.n_rows for s in new) != sum(s.n_rows for s in gone):
+                made = self._write(merged, "merged")
+                if sum(s.n_rows for s in made) != sum(s.n_rows for run in batch for s in run):
                     raise RuntimeError("a merge lost rows; nothing was committed")
-                while True:
+                new += made
+            gone = {s for run in runs for s in run}
+            while gone <= set(shards):
+                try:
+                    self._commit(version, [s for s in shards if s not in gone] + new)
+                    break
+                except Conflict:
                     version, shards = self.manifest()
-                    if not gone <= set(shards):
-                        break
-                    try:
-                        self._commit(version, [s for s in shards if s not in gone] + new)
-                        break
-                    except Conflict:
-                        continue
 
     def vacuum(self, keep: int = 1) -> None:
         """Deletes all but the last `keep` versions, and shards that none of those lists.
@@ -174,9 +212,14 @@ class ShardStore:
         Not to be run beside writers: shards that are not committed yet are not listed either.
         """
         have = self.versions()
-        listed = {s.path for v in have[-keep:] for s in self.manifest(v)[1]}
+        names = {name for v in have[-keep:] for name in self._names(v)}
+        listed = {s.path for name in names for s in self._listed(name)}
         for v in have[:-keep]:
             self._fs.delete(self._path(f"manifests/v{v:012d}.json"), False)
+        if self._fs.exists(self._path("lists")):
+            for f in self._fs.listStatus(self._path("lists")):
+                if f"lists/{f.getPath().getName()}" not in names:
+                    self._fs.delete(f.getPath(), False)
         if self._fs.exists(self._path("shards")):
             for folder in self._fs.listStatus(self._path("shards")):
                 for f in self._fs.listStatus(folder.getPath()):
@@ -192,14 +235,30 @@ class ShardStore:
         return self._read(shards) if shards else self.spark.createDataFrame([], self.schema)
 
 
-def shard_documents(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -> ShardStore:
-    """Store under `root` with all rows of `documents` in compacted shards.
+@dataclass(frozen=True)
+class Arrival:
+    """An append and the compaction after it."""
+
+    number: int
+    appended: int  # version
+    rows_appended: int  # of that version
+    compacted: int
+    rows_compacted: int
+
+
+def shard_documents(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES, by: str | None = None, arrivals: int = 1) -> tuple[ShardStore, list[Arrival]]:
+    """Store under `root` with all rows of `documents` in compacted shards, and what each arrival did.
 
-    Rows are kept as they are, repeated rows, nulls and extra columns too. An empty table has a version
-    without shards.
+    Rows arrive in as many appends as said, told apart by the column `by`, whose values are 0 to
+    arrivals - 1; tiers are merged after each. Rows are kept as they are, repeated rows, nulls and
+    columns of any name too. An empty table has versions without shards.
     """
     store = ShardStore(documents.sparkSession, root, documents.schema, target_bytes)
-    store.append(documents)
-    store.compact()
-    store.vacuum()
-    return store
+    done = []
+    for number in range(arrivals):
+        appended = store.append(documents.where(F.col(by) == number) if by else documents)
+        before = sum(s.n_rows for s in store.manifest(appended)[1])
+        compacted = store.compact()
+        done.append(Arrival(number, appended, before, compacted, sum(s.n_rows for s in store.manifest(compacted)[1])))
+        store.vacuum()
+    return store, done

@@ -1,18 +1,21 @@
 """Repeated ids, clashing columns, very long texts, reordered passages and small optima."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 
-from kerbline.llm import common
+from kerbline.llm import common, sharding
 from kerbline.llm.decontaminate import leaks, without_leaks
 from kerbline.llm.embedding_dedup import MEASURED_RECALL, near_vectors, recall, sketch_distance
+from kerbline.llm.html_extract import extract_main_text, fit_field, leaf_blocks, page_features, place_features, training_pages
 from kerbline.llm.license_scan import scan_licenses
 from kerbline.llm.line_dedup import dedup_lines, keep_first_lines, one_run_apart
 from kerbline.llm.minhash_dedup import near_duplicates, without_copies
 from kerbline.llm.packing import best_fit, pack, plan_sequences, reduce_by_dominance
-from kerbline.llm.sharding import Conflict, ShardStore
+from kerbline.llm.sharding import Conflict, ShardStore, shard_documents
 from kerbline.llm.toxicity import Finder, score_toxicity
 from kerbline.llm.url_filter import judge_captures
 
@@ -184,3 +187,75 @@ def test_shard_tiers_and_conflicts(spark, tmp_path):
     assert store.versions()[-1] == latest and store.read(first).count() == 2000
     assert [len(run) for run in store.plan([])] == []
     assert all(sum(s.n_bytes for s in run) <= 1 << 20 for run in store.plan(store.manifest(first - 1)[1]))
+
+
+def test_shard_columns_of_any_name(spark, tmp_path):
+    rows = [(k, None if k % 7 == 0 else "" if k % 5 == 0 else f"text {k}", k, f"m{k}", k % 3) for k in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _metadata string, `x``y` int")
+    store, arrivals = shard_documents(docs.repartition(6), f"file://{tmp_path}/s", target_bytes=1 << 20, by="`x``y`", arrivals=3)
+    assert [(a.rows_appended, a.rows_compacted) for a in arrivals] == [(40, 40), (80, 80), (120, 120)]
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect())) and not store.plan(store.manifest()[1])
+    assert any(a.compacted > a.appended for a in arrivals)
+    empty, done = shard_documents(docs.limit(0), f"file://{tmp_path}/e")
+    assert empty.read().count() == 0 and done[0].rows_compacted == 0
+
+
+def test_manifest_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY_LISTS", 4)
+    rows = spark.range(90)
+    store = ShardStore(spark, f"file://{tmp_path}/s", rows.schema)
+    names = []
+    for k in range(9):
+        store.append(rows.where(f"id % 9 = {k}").coalesce(1))
+        names.append(store._names(k + 1))
+    assert [len(n) for n in names] == [1, 2, 3, 4, 1, 2, 3, 4, 1] and names[0][0] in names[3]
+    fresh = ShardStore(spark, store.root, rows.schema)
+    assert fresh.manifest() == store.manifest() and fresh.read(4).count() == 40
+    store.compact()
+    store.vacuum()
+    assert len(store.manifest()[1]) == 1 and fresh.read().count() == 90
+
+
+def test_licenses_of_many_blank_lines(spark):
+    gap = " \n" * 200_000
+    rows = [(1, "all rights reserved\n" + gap + "gnu general public license"), (2, "a" + "\n" * 200_000), (3, ". " * 100_000)]
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "all-rights-reserved,gpl", 2: "", 3: ""}
+    assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_malformed_pages(spark):
+    told = lambda html: [b[0] for b in leaf_blocks(html)]
+    assert told("<![x<p") == [] and told("<![foo[bar]]><p>x") == ["x"]
+    assert told("<article><p>hello world.</p></article><![x<p>more") == ["hello world.", "more"]
+    began = time.monotonic()
+    for page in ("<a " * 350_000, '<a x="' * 200_000, "<!--" * 250_000, "<p><table>" + "<i>" * 50_000 + "<div>" * 50_000):
+        assert told(page) == []
+    assert time.monotonic() - began < 30
+    pages = spark.createDataFrame([(1, "u", "<article><p>hello world.</p></article><![x<p")], "page_id long, url string, html string")
+    assert extract_main_text(pages).count() == 1 and extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_chains_decode_as_all_labellings():
+    field, pages = fit_field(training_pages(40)), training_pages(60, seed=9)
+    short = [blocks for blocks, _ in pages if len(blocks) <= 11][:15] + [blocks[:9] for blocks, _ in pages[:15]]
+    assert len(short) >= 15
+    for blocks in short:
+        gains = np.zeros((len(blocks), 2))
+        for k, (place, features) in enumerate(page_features(blocks)):
+            for f in place_features(place) + features:
+                if f in field.index:
+                    gains[k] += field.emit[field.index[f]]
+        score = lambda y, gains=gains: field.start[y[0]] + sum(gains[k, label] for k, label in enumerate(y)) + sum(field.step[a, b] for a, b in itertools.pairwise(y))
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=score)
+        assert abs(score(field.decode(blocks)) - score(best)) < 1e-6
+
+
+def test_empty_tables(spark):
+    captures = spark.createDataFrame([], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("l", "a.com", "block", "2024-01-01")], "list string, pattern string, action string, since string")
+    assert judge_captures(captures, entries).count() == 0
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    assert score_toxicity(docs, labels).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 1, 1.0, 1), (2, None, 1, 1.0, 1)], "doc_id long, text string, found int, score double, held_out int")
+    assert score_toxicity(clash, labels).count() == 2
