@@ -60,15 +60,17 @@ def run_summary(checked: DataFrame) -> DataFrame:
 
 
 def error_message(problems: DataFrame) -> DataFrame:
-    """(run, section, position, line) -> run, message: a section's lines by line break, sections by blank line.
+    """(run, section, position, line) -> run, message: the lines of section "error" by line break, then,
+    after a blank line and under a heading, those of section "rejection".
 
     A run's report goes into one cell of its ledger row, so its lines are gathered; they are as many as
     one run had problems.
     """
-    lines = problems.groupBy("run", "section").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("lines"))
-    sections = lines.select("run", "section", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
-    whole = sections.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("parts"))
-    return whole.select("run", F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n").alias("message"))
+    lines = lambda section: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("position", "line")))), lambda x: x["line"])
+    whole = problems.groupBy("run").agg(lines("error").alias("errors"), lines("rejection").alias("rejections"))
+    said = F.when(F.size("errors") > 0, F.array_join("errors", "\n"))
+    refused = F.when(F.size("rejections") > 0, F.concat(F.lit("Validation rejections:\n"), F.array_join("rejections", "\n")))
+    return whole.select("run", F.concat_ws("\n\n", said, refused).alias("message"))
 
 
 def is_filled(df: DataFrame, column: str) -> Column:

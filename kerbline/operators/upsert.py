@@ -57,8 +57,11 @@ def fallback_ids(listings: DataFrame, sources: DataFrame, columns: Sequence[str]
 #: Columns of a listing by what a repeated address does to them: kept from the first row, taken from the
 #: last, or taken from the last that has one.
 LISTING_KEYS = ("source_platform", "source_url")
-LISTING_FIRST = ("make", "model", "variant", "year", "fuel_type", "transmission", "body_type", "city", "scraped_at")
-LISTING_LAST = ("price", "listing_status", "km_driven", "media_count", "description", "dealer_id", "sale_status", "content_hash", "updated_at")
+LISTING_FIRST = (
+    "make", "model", "variant", "year", "fuel_type", "transmission", "owner_count", "color", "body_type", "location", "city",
+    "source_listing_id", "seller_name", "seller_phone", "seller_type", "listed_at", "scraped_at",
+)
+LISTING_LAST = ("price", "listing_status", "km_driven", "media", "description", "dealer_source_id", "dealer_id", "sale_status", "is_active", "updated_at", "content_hash")
 LISTING_LAST_KNOWN = ("sold_at",)
 
 

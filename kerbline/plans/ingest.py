@@ -233,13 +233,16 @@ def run_summary(spark, d):
     return Q.run_summary(_checked(spark, d))
 
 
+_SECTION = "CASE WHEN event_type = 'click' THEN 'error' ELSE 'rejection' END"
+
+
 @query(
-    """SELECT user_id AS run, string_agg(part, chr(10) || chr(10) ORDER BY section) AS message FROM
- (SELECT user_id, event_type AS section, string_agg('e' || event_id, chr(10) ORDER BY event_id) AS part FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) GROUP BY 1"""
+    """SELECT user_id AS run, concat_ws(chr(10) || chr(10), string_agg('e' || event_id, chr(10) ORDER BY event_id) FILTER (WHERE event_type = 'click'),
+ 'Validation rejections:' || chr(10) || string_agg('e' || event_id, chr(10) ORDER BY event_id) FILTER (WHERE event_type <> 'click')) AS message FROM events WHERE event_id % 3 = 0 GROUP BY user_id"""
 )
 def error_messages(spark, d):
     rows = read(spark, d, "events").where("event_id % 3 = 0")
-    return Q.error_message(rows.selectExpr("user_id AS run", "event_type AS section", "event_id AS position", "'e' || CAST(event_id AS STRING) AS line"))
+    return Q.error_message(rows.selectExpr("user_id AS run", f"{_SECTION} AS section", "event_id AS position", "'e' || CAST(event_id AS STRING) AS line"))
 
 
 _COVERED = {"make": "make <> ''", "price": "price <> 0", "km_driven": "km_driven <> 0", "fuel_type": "fuel_type <> ''", "description": "description <> ''", "city": "city <> ''", "media": "media_count > 0"}
@@ -438,13 +441,32 @@ def chunk_index(spark, d):
     return _chunked(spark, d)
 
 
-@query(f"WITH {_CHUNKED} SELECT event_id, user_id, chunk, index, CASE WHEN index % 3 <> 0 THEN CASE WHEN index % 2 = 0 THEN 'again' ELSE 'once' END END AS value FROM c")
+@query(f"WITH {_CHUNKED} SELECT event_id, user_id, chunk, index, CASE WHEN index % 3 <> 0 THEN CASE WHEN index % 2 = 0 THEN 'again' ELSE 'once' END END AS value, index % 3 <> 0 AS is_car_listing FROM c")
 def chunk_align(spark, d):
     items = _chunked(spark, d)
-    given = items.where("index % 3 <> 0").select("user_id", "chunk", "index", F.lit("once").alias("value"), F.lit(0).alias("pos"))
+    given = items.where("index % 3 <> 0").select("user_id", "chunk", "index", F.lit("once").alias("value"), F.lit(True).alias("is_car_listing"), F.lit(0).alias("pos"))
     again = given.where("index % 2 = 0").withColumns({"value": F.lit("again"), "pos": F.lit(1)})
     beyond = given.withColumns({"index": F.lit(9), "pos": F.lit(2)})
-    return I.aligned(items, given.unionByName(again).unionByName(beyond), ("user_id", "chunk", "index")).drop("pos")
+    return I.aligned(items, given.unionByName(again).unionByName(beyond), ("user_id", "chunk", "index"), ("value", "is_car_listing"), empty=I.EMPTY_RECORD).drop("answered")
+
+
+_POST_TEXT = "CASE WHEN {id} % 4 = 0 THEN '' WHEN {id} % 4 = 1 THEN '2019 Swift 4.5L petrol' ELSE 'good morning' END"
+
+
+@query(
+    f"""WITH {_CHUNKED}, a AS (SELECT c.*, e.ts, bool_or(c.event_id % 4 <> 0) OVER (PARTITION BY c.user_id, chunk) AS asked FROM c JOIN events e USING (event_id)),
+b AS (SELECT *, asked AND index <> 4 AND event_id % 4 = 1 AS car FROM a)
+SELECT event_id, user_id, chunk, index, car AS is_car_listing, CASE WHEN car THEN 2019 END AS year, CASE WHEN car THEN 450000.00::DECIMAL(12,2) END AS price FROM b"""
+)
+def batch_extraction(spark, d):
+    """Posts through chunks, an extractor that leaves out every fourth of a chunk, and back; what a chunk without content says is never asked."""
+    items = read(spark, d, "events").select("event_id", "user_id", "ts", F.expr(_POST_TEXT.format(id="event_id")).alias("caption"), F.lit(0).alias("n_images"))
+
+    def ask(chunks):
+        said = chunks.where("index <> 4").select("user_id", "chunk", "index", F.lit(0).alias("pos"), posts.car_in_caption(F.col("caption")).alias("c"))
+        return said.select("user_id", "chunk", "index", "pos", "c.is_car_listing", "c.year", "c.price")
+
+    return I.extracted(items, "user_id", ["ts", "event_id"], "caption", "n_images", ask, ("is_car_listing", "year", "price")).select("event_id", "user_id", "chunk", "index", "is_car_listing", "year", "price")
 
 
 @query(f"WITH {_CHUNKED} SELECT user_id, chunk, count(*) AS n_items, sum(event_id % 3)::BIGINT AS n_images FROM c GROUP BY 1, 2 HAVING bool_or(event_id % 2 = 0 OR event_id % 3 > 0)")

@@ -90,7 +90,8 @@ def test_early_stop_and_alignment(spark):
     assert {r["page"] for r in I.until_empty(pages).collect()} == {1, 2}
     items = spark.createDataFrame([(0, 1), (0, 2)], "chunk int, index int")
     results = spark.createDataFrame([(0, 1, "x", 0), (0, 1, "y", 1), (0, 9, "z", 2)], "chunk int, index int, value string, pos int")
-    assert {(r["index"], r["value"]) for r in I.aligned(items, results).collect()} == {(1, "y"), (2, None)}
+    assert {(r["index"], r["value"], r["answered"]) for r in I.aligned(items, results).collect()} == {(1, "y", True), (2, None, False)}
+    assert {(r["index"], r["value"]) for r in I.aligned(items, results, empty={"value": "none"}).collect()} == {(1, "y"), (2, "none")}
 
 
 def test_recheck(spark):
@@ -108,6 +109,10 @@ def test_recheck_matches_a_row_by_row_model(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     got = {(r["k"], r["m"]): r["processed"] for r in I.greedy_recheck(df, "k", "ts", hours=3).collect()}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    linked = I.greedy_recheck(df.withColumn("other", F.lit(1)), "k", "ts", hours=3, hot_rows=1000)  # the keys have about a thousand each
+    assert linked.count() == 3000 and {(r["k"], r["m"]): r["processed"] for r in linked.collect()} == got
+    by_links = I.greedy_recheck(df, "k", "ts", hours=3, hot_rows=0)
+    assert {(r["k"], r["m"]): r["processed"] for r in by_links.collect()} == got
     clock, want = {}, {}
     for k, m in sorted(set(rows)):
         want[k, m] = k not in clock or m > clock[k] + 180
