@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbline.plans import browse, ingest, texts  # noqa: F401  they register their queries
+from kerbline.plans import browse, ingest, stored, texts  # noqa: F401  they register their queries
 from kerbline.plans.browse import featured_feed
 from kerbline.plans.registry import ORACLES, QUERIES
 
