@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.text import trimmed
+from kerbline.operators.stored import Folder
 
 LATEST = 48
 
@@ -63,3 +64,30 @@ def reports(sent: DataFrame) -> DataFrame:
     there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
     kept = sent.where(there("listing_id") & there("report_type"))
     return kept.select("listing_id", "report_type", F.nullif(trimmed(F.col("description")), F.lit("")).alias("description"), F.lit("open").alias("status"))
+
+
+#: Addresses that a sitemap file may hold, and how sitemap files and their index begin.
+SITEMAP_URLS = 50_000
+_NAMESPACE = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def export_sitemap(entries: DataFrame, folder: Folder, base: str, size: int = SITEMAP_URLS) -> list[str]:
+    """Writes (url, change) as sitemap files of at most `size` addresses, and an index of them; returns
+    the files' names.
+
+    Addresses are sorted by ranges and each range is cut by itself, so files are written side by side. An
+    export that was written whole stays as it is; one that failed is written anew.
+    """
+
+    def xml(df: DataFrame, root: str, row: str, name: str) -> None:
+        options = {"rootTag": f"{root} {_NAMESPACE}", "rowTag": row, "declaration": 'version="1.0" encoding="UTF-8"', "maxRecordsPerFile": size}
+        df.write.mode("overwrite").format("xml").options(**options).save(f"{folder.root}/{name}")
+
+    if not folder.exists("done.json"):
+        rows = entries.orderBy("url", "change").select(F.concat(F.lit(base), "url").alias("loc"), F.col("change").alias("changefreq"))
+        xml(rows, "urlset", "url", "urls")
+        files = [n for n in folder.names("urls") if n.startswith("part-")]
+        names = entries.sparkSession.createDataFrame([(f"{base}/urls/{n}",) for n in files], "loc string")  # a row for each file
+        xml(names.coalesce(1), "sitemapindex", "sitemap", "index")
+        folder.put_json_once("done.json", files)
+    return folder.read_json("done.json")

@@ -1,14 +1,21 @@
-"""Runs over stored listings, sinks that take a batch once, and pages of a stored order."""
+"""Runs over stored listings, sinks that take a batch once, pages of a stored order, and streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kerbline.operators import directory as D
 from kerbline.operators import ledger as L
 from kerbline.operators import runs as R
-from kerbline.operators.stored import StoredLog, work_folder
+from kerbline.operators import search as S
+from kerbline.operators.paging import StoredOrder
+from kerbline.operators.stored import Folder, KeyedTable, StoredLog, work_folder
+from kerbline.plans.browse import _FEATURED, SHOWN
+from kerbline.plans.ingest import _FOLD_SQL, _LOG, _SHAPE, _log
 from kerbline.plans.registry import query
-from kerbline.sources.marketplace import LISTINGS_SQL, listings, read
+from kerbline.sources.marketplace import DEALERS_SQL, LISTINGS_SQL, dealers, listings, read
+from kerbline.streaming.merge import distinct_within, merge_stream
+from kerbline.streaming.recheck import recheck_stream
 
 _AS_OF = 1999
 #: What run n finds of listing id, in words that Spark and the checking engine both read.
@@ -109,3 +116,71 @@ def stored_sink(spark, d):
     for batch in (0, 0, 1, 2):
         log.append(rows.where(F.col("event_id") % 3 == batch), str(batch))
     return log.read()
+
+
+@query(
+    f"WITH {DEALERS_SQL} SELECT 'https://c.example.com/dealers/' || slug || '?a=1&b=<2>' AS loc, 'daily' AS changefreq, true AS in_limit FROM dealers WHERE is_active"
+)
+def sitemap_export(spark, d):
+    """What the exported files hold, and whether each keeps to its limit; the export is asked for twice."""
+    folder, limit = Folder(spark, work_folder(spark, "sitemap")), 500
+    entries = dealers(spark, d).where("is_active").select(F.concat(F.lit("/dealers/"), "slug", F.lit("?a=1&b=<2>")).alias("url"), F.lit("daily").alias("change"))
+    for _ in range(2):
+        D.export_sitemap(entries, folder, "https://c.example.com", limit)
+    found = spark.read.format("xml").option("rowTag", "url").schema("loc string, changefreq string").load(f"{folder.root}/urls").withColumn("file", F.input_file_name())
+    sizes = found.groupBy("file").agg((F.count(F.lit(1)) <= limit).alias("in_limit"))
+    return found.join(sizes, "file").drop("file")
+
+
+@query(
+    f"""WITH {LISTINGS_SQL}, r AS (SELECT *, row_number() OVER ({_FEATURED}) AS place, count(*) OVER () AS n FROM listings WHERE is_active)
+SELECT {', '.join(SHOWN)} FROM r WHERE place > n // 48 * 24 AND place <= n // 48 * 24 + 24"""
+)
+def deep_page(spark, d):
+    """The page in the middle of the featured order, from the files of the stored order that it lies in."""
+    order = StoredOrder.build(S.search(listings(spark, d), S.ListingFilters()), work_folder(spark, "order"), S.featured_order())
+    return order.page(order.total() // 48 + 1).select(SHOWN)
+
+
+# -- streams -----------------------------------------------------------------------------------
+
+
+def _stream(spark, d, *columns):
+    """The events table as a stream of its files (a stream reads no single file but through a pattern)."""
+    schema = read(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(*columns)
+
+
+@query(f"WITH {_LOG} {_FOLD_SQL.format(more='')}")
+def stream_upsert(spark, d):
+    root, rows = work_folder(spark, "stream"), _log(spark, d)
+    made = [F.col("value").alias("price"), F.col("ts").alias("scraped_at"), F.when(F.col("event_type") == "purchase", "sold").otherwise("available").alias("status"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("sold_at")]
+    stream = _stream(spark, d, "event_type", "user_id", "ts", "event_id", *made)
+    table = KeyedTable(spark, f"{root}/table", rows.select(*_SHAPE["keys"], *_SHAPE["first"], *_SHAPE["last"], *_SHAPE["last_known"]).schema, _SHAPE["keys"], _SHAPE["first"], _SHAPE["last"], _SHAPE["last_known"], parts=16)
+    merge_stream(stream, table, f"{root}/check", _SHAPE["seq"]).awaitTermination()
+    return table.read()
+
+
+def _sunk(spark, stream, schema):
+    root = work_folder(spark, "stream")
+    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_distinct(spark, d):
+    """Users of one delivery of events, each once: repeated rows within the delay are dropped as they arrive."""
+    first = distinct_within(_stream(spark, d, "user_id", "ts"), "user_id", "ts").select("user_id")
+    return _sunk(spark, first, first.schema)
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+UNION ALL SELECT p.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = p.user_id AND e.ts > p.ts + INTERVAL 48 HOURS) FROM p WHERE p.ts IS NOT NULL)
+SELECT e.event_id, e.user_id, e.ts, p.ts IS NOT NULL AS processed FROM events e LEFT JOIN (SELECT DISTINCT * FROM p WHERE ts IS NOT NULL) p ON e.user_id = p.user_id AND e.ts = p.ts
+WHERE e.ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR"""
+)
+def stream_recheck(spark, d):
+    """Events that the watermark, an hour behind the latest, has passed."""
+    judged = recheck_stream(_stream(spark, d, "event_id", "user_id", "ts"), "user_id", "ts", "1 hour")
+    return _sunk(spark, judged, judged.schema)

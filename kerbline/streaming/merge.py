@@ -4,70 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from kerbline.operators.upsert import fold_into
+from kerbline.operators.stored import KeyedTable
 
-#: Parts of the state by key hash; a micro-batch rewrites only the parts that its keys fall into.
-PARTS = 64
 
+def merge_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, seq: Sequence[str], writer: str = "stream") -> StreamingQuery:
+    """Starts a query that folds each micro-batch into a stored table.
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-
-
-def _newest_parts(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
-    """Part number -> folder of its newest state, of batches that were written whole (and before `before`)."""
-    newest: dict[int, tuple[int, str]] = {}
-    for name in _children(spark, target):
-        number = int(name.removeprefix("batch="))
-        inside = _children(spark, f"{target}/{name}")
-        if "_SUCCESS" not in inside or (before is not None and number >= before):
-            continue
-        for part in (int(p.removeprefix("part=")) for p in inside if p.startswith("part=")):
-            if part not in newest or newest[part][0] < number:
-                newest[part] = (number, f"{target}/{name}/part={part}")
-    return {part: path for part, (_, path) in newest.items()}
-
-
-def merge_stream(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], seq: Sequence[str], first: Sequence[str], last: Sequence[str], last_known: Sequence[str] = (), parts: int = PARTS):
-    """Starts a query that folds each micro-batch into a Parquet table under `target`.
-
-    A batch writes new states of the parts it touches under its own number; a batch that is repeated
-    after a failure reads what earlier batches left and writes the same again.
+    The table knows the number of the last batch of each writer, so a batch that is repeated after a
+    failure changes nothing. `writer` must be the query's own and go with its checkpoint.
     """
-    columns = [*keys, *first, *last, *last_known]
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]  # at most `parts`
-        known = _newest_parts(spark, target, number)
-        paths = [known[p] for p in touched if p in known]
-        schema = batch.select(*columns).schema
-        before = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-        after = fold_into(before.select(*columns), batch, keys, seq, first, last, last_known).drop("is_new")
-        after.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """Newest state that was written whole."""
-    return spark.read.parquet(*_newest_parts(spark, target).values())
-
-
-def vacuum(spark: SparkSession, target: str) -> None:
-    """Deletes states that a newer one replaces. Not to be run beside a batch or a reader."""
-    kept = set(_newest_parts(spark, target).values())
-    for name in _children(spark, target):
-        for part in [p for p in _children(spark, f"{target}/{name}") if p.startswith("part=")]:
-            if f"{target}/{name}/{part}" not in kept:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}/{part}")
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, writer, number, seq)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def distinct_within(stream: DataFrame, key: str, ts: str, delay: str = "48 hours") -> DataFrame:

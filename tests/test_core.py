@@ -12,9 +12,11 @@ from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
+from kerbline.operators.stored import KeyedTable, StoredLog
 from kerbline.sources import elements, jsonld, posts
 from kerbline.sources.markup import tokens
-from kerbline.streaming.merge import distinct_within, latest_version, merge_stream, vacuum
+from kerbline.streaming.merge import distinct_within, merge_stream
+from kerbline.streaming.recheck import recheck_stream
 
 
 def column(spark, f, values, kind="string"):
@@ -143,10 +145,100 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         df.where(f"n div 20 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    merge_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", ["k"], ["n"], [], ["c"]).awaitTermination()
-    assert sorted(map(tuple, latest_version(spark, f"{tmp_path}/out").select("k", "c").collect())) == sorted(map(tuple, U.fold(df, ["k"], ["n"], [], ["c"]).select("k", "c").collect()))
-    vacuum(spark, f"{tmp_path}/out")
-    assert latest_version(spark, f"{tmp_path}/out").count() == 5
+    table = KeyedTable(spark, f"file://{tmp_path}/table", "k int, c int", ["k"], [], ["c"], parts=4)
+    merge_stream(stream, table, f"{tmp_path}/check", ["n"]).awaitTermination()
+    want = sorted(map(tuple, U.fold(df, ["k"], ["n"], [], ["c"]).select("k", "c").collect()))
+    assert table.version() == 3 and sorted(map(tuple, table.read().collect())) == want
+    again = table.merge(df.where("n >= 40"), "stream", 2, ["n"])
+    assert again.repeated and table.version() == 3 and again.version == 3 and (again.n_new, again.n_updated) == (0, 5)
+    table.vacuum()
+    assert sorted(map(tuple, table.read().collect())) == want
+
+
+def test_keyed_table_lost_races(spark, tmp_path):
+    schema, shape = "k int, a int, b int, c int", dict(keys=["k"], first=["a"], last=["b"], last_known=["c"])
+    table = KeyedTable(spark, f"file://{tmp_path}/t", schema, **shape, parts=8)
+    batch = lambda *rows: spark.createDataFrame([(*r, 0) for r in rows], schema + ", n int")
+    first = table.merge(batch((1, 1, 1, None), (2, 1, 1, 5), (None, 1, 1, 1)), "w", 0, ["n"])
+    assert (first.version, first.n_new, first.n_updated) == (1, 2, 0)
+    other = KeyedTable(spark, table.folder.root, schema, **shape, parts=8)
+    raced = []
+
+    def meanwhile(*rows):
+        def run():
+            if len(raced) < 1:
+                raced.append(other.merge(batch(*rows), "other", 0, ["n"]))
+
+        return run
+
+    # the winner writes the same key: the loser merges again, on top of it
+    mine = batch((1, 7, 7, None), (3, 7, 7, None))
+    done = table.merge_staged(table.stage(mine), mine.schema, "w", 1, ["n"], before_commit=meanwhile((1, 8, 8, 8), (3, 8, 8, 8)))
+    assert raced[0].version == 2 and (done.version, done.n_new, done.n_updated) == (3, 0, 2)
+    assert {r["k"]: (r["a"], r["b"], r["c"]) for r in table.read().collect()} == {1: (1, 7, 8), 2: (1, 1, 5), 3: (8, 7, 8)}
+    assert {r["k"]: r["is_new"] for r in table.changes("w", 1).collect()} == {1: False, 3: False}
+    assert {r["k"]: r["is_new"] for r in table.changes("other", 0, version=2).collect()} == {1: False, 3: True}
+    # the winner writes another part: the loser's work stays
+    raced.clear()
+    part_of = {r["k"]: r["p"] for r in spark.range(40).selectExpr("CAST(id AS INT) AS k").select("k", table.part().alias("p")).collect()}
+    far = next(k for k in range(10, 40) if part_of[k] != part_of[1])
+    mine = batch((1, 9, 9, None))
+    staged = table.stage(mine)
+    done = table.merge_staged(staged, mine.schema, "w", 2, ["n"], before_commit=lambda: raced or raced.append(other.merge(batch((far, 1, 1, 1)), "other", 1, ["n"])))
+    assert done.version == 5 and table.read().count() == 4 and table.read(1).count() == 2
+    assert {r["b"] for r in table.read().where("k = 1").collect()} == {9}
+    table.vacuum()
+    assert table.read().count() == 4 and table.folder.names("versions") == ["v000000000005.json"]
+
+
+def test_stored_log(spark, tmp_path):
+    log = StoredLog(spark, f"file://{tmp_path}/log", "a int")
+    rows = spark.createDataFrame([(1,), (2,)], "a int")
+    assert log.read().count() == 0 and log.append(rows, "x") and not log.append(rows, "x") and log.append(rows, "y")
+    log.folder.delete("batch=y/_SUCCESS")  # as a failure in the middle of a write leaves it
+    assert log.read().count() == 2 and log.append(rows, "y") and log.read().count() == 4
+
+
+def test_ranks_of_one_huge_group(spark):
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.6 else None if rng.random() < 0.1 else f"k{rng.randrange(4)}", rng.randrange(-200_000, 900_000), n) for n in range(4000)]
+    rows += [("hot", None, 9001), ("hot", None, 9002)]
+    df = spark.createDataFrame(rows, "k string, t long, n int")
+    got = {r["n"]: r["rank"] for r in I.ranks(df, "k", ["t", "n"]).collect()}
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {n: i + 1 for i, (_, _, n) in enumerate(own)}
+    assert got == want
+    slots = df.withColumn("s", I.slot_of(df, "t")).groupBy("k", "s").count().agg(F.max("count")).first()[0]
+    assert slots < 400  # what one task ranks of the hot group
+    assert I.ranks(df.limit(0), "k", ["t", "n"]).count() == 0
+    with pytest.raises(ValueError):
+        I.ranks(df, "n", ["k"])
+
+
+def test_recheck_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(5), rng.randrange(12_000), n) for n in range(400))
+    rows.sort(key=lambda r: r[1] + rng.randrange(90))  # up to an hour and a half late
+    rows += [(99, 20_000, 1000)]  # drives the watermark past all others
+    frame = lambda some: spark.createDataFrame(some, "k int, m int, n int").withColumn("ts", F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, m, 0)"))
+    want = {(r["n"], r["processed"]) for r in I.greedy_recheck(frame(rows[:-1]), "k", "ts", hours=10).collect()}
+    assert 10 < sum(p for _, p in want) < 200
+    schema = frame(rows[:1]).schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        out = recheck_stream(stream, "k", "ts", "2 hours", hours=10)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+
+    cuts = [0, 90, 91, 250, 330, 401]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        frame(rows[a:b]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k in (2, 4):  # stopped and started again on the same state
+            run()
+    got = {(r["n"], r["processed"]) for r in spark.read.parquet(f"{tmp_path}/out").where("k <> 99").collect()}
+    assert got == want
 
 
 def test_distinct_within(spark, tmp_path):
