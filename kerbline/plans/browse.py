@@ -59,8 +59,8 @@ def search_filters(spark, d):
 
 @query(_WITH + "SELECT id, fuel_type, body_type, city FROM listings WHERE is_active AND fuel_type = 'diesel' AND body_type = 'sedan' AND city = (SELECT min(n_name) FROM nation) AND price >= 0")
 def search_exact(spark, d):
-    city = read(spark, d, "nation").agg(F.min("n_name")).first()[0]
-    return S.search(listings(spark, d), S.ListingFilters(fuel_type="diesel", body_type="sedan", city=city, min_price=0)).select("id", "fuel_type", "body_type", "city")
+    city = read(spark, d, "nation").agg(F.min("n_name")).scalar()
+    return S.search(listings(spark, d), S.ListingFilters(fuel_type="diesel", body_type="sedan", min_price=0)).where(F.col("city") == city).select("id", "fuel_type", "body_type", "city")
 
 
 @query(_WITH + "SELECT count(*) AS total, CAST(ceil(count(*) / 24.0) AS BIGINT) AS total_pages FROM listings WHERE is_active AND transmission = 'manual'")
@@ -270,12 +270,13 @@ _BADGES = {"source-0": "Source Zero", "source-1": "Source One"}
 
 @query(
     f"""WITH {LISTINGS_SQL} SELECT DISTINCT source_platform, CASE lower(source_platform) WHEN 'source-0' THEN 'Source Zero' WHEN 'source-1' THEN 'Source One' ELSE source_platform END AS badge,
- CASE 'instagram_dealer' WHEN 'instagram_dealer' THEN 'Instagram' END AS source_type FROM listings"""
+ CASE source_platform WHEN 'source-0' THEN 'Instagram' WHEN 'source-1' THEN 'Marketplace feed' ELSE 'new_kind' END AS source_type FROM listings"""
 )
 def labels(spark, d):
+    kind = F.when(F.col("source_platform") == "source-0", "instagram_dealer").when(F.col("source_platform") == "source-1", "marketplace_aggregator").otherwise("new_kind")
     badge = P.label(F.upper("source_platform"), {k: v for k, v in _BADGES.items()}, fold_case=True)
     badge = F.when(badge == F.upper("source_platform"), F.col("source_platform")).otherwise(badge)
-    return listings(spark, d).select("source_platform", badge.alias("badge"), P.label(F.lit("instagram_dealer"), P.SOURCE_TYPES).alias("source_type")).distinct()
+    return listings(spark, d).select("source_platform", badge.alias("badge"), P.label(kind, P.SOURCE_TYPES).alias("source_type")).distinct()
 
 
 @query(f"WITH {DEALERS_SQL} SELECT id, coalesce(description, 'Car listings from ' || name || CASE WHEN coalesce(city, '') <> '' THEN ' in ' || city ELSE '' END || '.') AS description FROM dealers WHERE is_active")

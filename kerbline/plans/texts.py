@@ -143,7 +143,7 @@ SELECT o_orderkey, CASE WHEN contains(s, ' - ') THEN regexp_replace(regexp_repla
 )
 def caption(spark, d):
     out = read(spark, d, "orders").selectExpr("o_orderkey", f"{_CAPTION} AS s")
-    return out.select("o_orderkey", T.caption_of(F.col("s")).alias("caption"), T.unescape_slashes(F.lit(r"https:\/\/x\/a&b")).alias("unescaped"))
+    return out.select("o_orderkey", T.caption_of(F.col("s")).alias("caption"), T.unescape_slashes(F.lit(r"https:\/\/x\/a\u0026b")).alias("unescaped"))
 
 
 _TYPE = _shapes("o_orderkey", "'image/PNG'", "'image/webp; q=1'", "'GIF'", "NULL", "'text/html'")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
+from kerbline.operators.stored import Saved
 from kerbline.sources import jsonld
 from kerbline.sources.markup import Node, tree
 
@@ -231,8 +232,10 @@ def listed_cards(pages: DataFrame, base: str, search_path: str) -> DataFrame:
 
 
 def products_or_cards(pages: DataFrame, base: str, search_path: str, city: str, platform: str) -> DataFrame:
-    """Listings of each page's structured data; of its cards where that has none."""
-    own = jsonld.products(pages, base, city, platform).drop("block", "within", "source_listing_id")
-    bare = pages.join(own.select(F.col("page_url").alias("url")).distinct(), "url", "left_anti")
+    """Listings of each page's structured data; of its cards where that has none. Captures of one address
+    with other contents are pages of their own. What the data says is read once, into a working table."""
+    told = pages.select("url", "html", F.xxhash64("html").alias("capture"))
+    own = Saved(pages.sparkSession, "products").save(jsonld.products(told, base, city, platform, page="capture").drop("block", "within", "source_listing_id"))
+    bare = told.join(own.select(F.col("page_url").alias("url"), "capture").distinct(), ["url", "capture"], "left_anti")
     cards = listed_cards(bare, base, search_path).withColumns({"city": F.lit(city), "source_platform": F.lit(platform)})
-    return own.unionByName(cards, allowMissingColumns=True).withColumn("source_listing_id", T.details_page_id(F.col("source_url")))
+    return own.drop("capture").unionByName(cards, allowMissingColumns=True).withColumn("source_listing_id", T.details_page_id(F.col("source_url")))

@@ -10,10 +10,10 @@ from kerbline.functions import text as T
 _BLOCK = r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """(url, html) -> url, block, root: JSON-LD blocks of each page; malformed ones have no row."""
-    found = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "json"))
-    return found.select("url", "block", F.try_parse_json("json").alias("root")).where("root IS NOT NULL")
+def blocks(pages: DataFrame, *keep: str) -> DataFrame:
+    """(url, keep, html) -> url, keep, block, root: JSON-LD blocks of each page; malformed ones have no row."""
+    found = pages.select("url", *keep, F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "json"))
+    return _once(found, ["url", *keep, "block"], root=F.try_parse_json("json")).where("root IS NOT NULL")
 
 
 def _list(value: str, path: str) -> Column:
@@ -69,30 +69,48 @@ def cars(pages: DataFrame, city: str, platform: str) -> DataFrame:
     )
 
 
-def products(pages: DataFrame, base: str, city: str, platform: str) -> DataFrame:
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and computed columns; a generator stands between, so what is above works with their values
+    instead of working them out again for each use."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__o")).select(*keep, "__o.*")
+
+
+def _first_said(*paths: str) -> Column:
+    """text and JSON of the first of the paths that has a value."""
+    json = lambda p: F.to_json(F.try_variant_get("node", p, "variant"))
+    return F.coalesce(*[F.when(_text(p).isNotNull(), F.struct(_text(p).alias("text"), json(p).alias("json"))) for p in paths])
+
+
+def products(pages: DataFrame, base: str, city: str, platform: str, page: str | None = None) -> DataFrame:
     """Listings of the cars and products with make, model and price on each page, one row each.
 
     A block is an object with @graph, a list, or one object; lists of items inside are opened and items
     unwrapped. Make is the brand, else the first word of the name; model is the second word of the
-    name; the year comes from the model date, the production date or the name.
+    name. The year is the model date, else the production date, else the name's; one of the dates that
+    doesn't begin with a number leaves none. A distance of the number 0 is none. `page` names a column that
+    tells captures of one address apart and is kept.
     """
+    own = [page] if page else []
     roots = F.coalesce(_list("root", '$["@graph"]'), _list("root", "$"), F.array("root"))
-    nodes = blocks(pages).select("url", "block", F.posexplode(roots).alias("at", "outer"))
-    opened = nodes.select("url", "block", "at", F.posexplode(F.coalesce(_list("outer", "$.itemListElement"), F.array("outer"))).alias("within", "element"))
+    nodes = blocks(pages, *own).select("url", *own, "block", F.posexplode(roots).alias("at", "outer"))
+    opened = nodes.select("url", *own, "block", "at", F.posexplode(F.coalesce(_list("outer", "$.itemListElement"), F.array("outer"))).alias("within", "element"))
     node = F.coalesce(F.try_variant_get("element", "$.item", "variant"), F.col("element"))
-    found = opened.select("url", "block", "at", "within", node.alias("node")).where(_text('$["@type"]').isin("Car", "Product"))
-    title = T.parse_title(F.coalesce(_text("$.name"), F.lit("")))
-    price_text = F.coalesce(_text("$.offers.price"), _text("$.offers.lowPrice"), _text("$.price"), F.lit("0"))
-    price = F.coalesce(*[F.try_variant_get("node", p, "double") for p in ("$.offers.price",)], T.parse_indian_price(price_text))
-    year = F.coalesce(_whole("$.vehicleModelDate"), _whole("$.productionDate"), title["year"])
-    url = T.absolute_url(F.coalesce(_text("$.url"), _text("$.offers.url"), F.lit("")), base)
-    raw = found.select(
-        "url", "block", "at", "within", F.coalesce(F.nullif(_text("$.brand.name"), F.lit("")), title["make"]).alias("make"), title["model"].alias("model"), title["variant"].alias("variant"),
-        year.alias("year"), price.cast("decimal(12,2)").alias("price"), T.parse_km(_text("$.mileageFromOdometer.value")).alias("km_driven"),
-        F.coalesce(_text("$.fuelType"), _text("$.vehicleEngine.fuelType")).alias("fuel_type"), _text("$.vehicleTransmission").alias("transmission"), url.alias("source_url"), _photos().alias("photos"),
+    place = ["url", *own, "block", "at", "within"]
+    typed = _once(opened, place, node=node).where(_text('$["@type"]').isin("Car", "Product"))
+    said = _once(
+        typed, place, title=T.parse_title(F.coalesce(_text("$.name"), F.lit(""))), brand=F.nullif(_text("$.brand.name"), F.lit("")), dated=F.coalesce(_text("$.vehicleModelDate"), _text("$.productionDate")),
+        price=_first_said("$.offers.price", "$.offers.lowPrice", "$.price"), km=_first_said("$.mileageFromOdometer.value"), fuel_type=F.coalesce(_text("$.fuelType"), _text("$.vehicleEngine.fuelType")),
+        transmission=_text("$.vehicleTransmission"), link=F.coalesce(_text("$.url"), _text("$.offers.url"), F.lit("")), photos=_photos(),
     )
-    kept = raw.where(_filled(F.col("make")) & _filled(F.col("model")) & (F.col("price") != 0))
-    return kept.select(
-        F.col("url").alias("page_url"), "block", "at", "within", T.trimmed(F.col("make")).alias("make"), "model", "variant", "year", "price", "km_driven", "fuel_type", "transmission",
-        F.lit(city).alias("city"), F.lit(platform).alias("source_platform"), "source_url", T.details_page_id(F.col("source_url")).alias("source_listing_id"), "photos",
+    kept = said.where(_filled(F.coalesce("brand", "title.make")) & _filled(F.col("title.model")))
+    in_words = lambda c: F.col(f"{c}.json").startswith('"')
+    number = lambda c: F.col(f"{c}.json").try_cast("double")
+    price = F.when(in_words("price"), T.parse_indian_price(F.col("price.text"))).otherwise(number("price"))
+    km = F.when(in_words("km"), T.parse_km(F.col("km.text"))).when(number("km") != 0, F.round(number("km"), 0).try_cast("int"))
+    priced = _once(kept, [*place, "title", "brand", "dated", "fuel_type", "transmission", "link", "photos"], price=price.cast("decimal(12,2)"), km_driven=km).where("price <> 0")
+    year = F.when(F.col("dated").isNotNull(), T.leading_int(F.col("dated"))).otherwise(F.col("title.year"))
+    source_url = T.absolute_url(F.col("link"), base)
+    return priced.select(
+        F.col("url").alias("page_url"), *own, "block", "at", "within", T.trimmed(F.coalesce("brand", "title.make")).alias("make"), F.col("title.model").alias("model"), F.col("title.variant").alias("variant"), year.alias("year"),
+        "price", "km_driven", "fuel_type", "transmission", F.lit(city).alias("city"), F.lit(platform).alias("source_platform"), source_url.alias("source_url"), T.details_page_id(source_url).alias("source_listing_id"), "photos",
     )

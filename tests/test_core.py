@@ -138,6 +138,24 @@ def test_jsonld(spark):
     assert [(r["make"], r["model"], r["variant"], r["year"], float(r["price"]), r["source_listing_id"], r["photos"]) for r in one] == [("Kia", "Seltos", "GT", 2018, 900000.0, "123456789", ["a.jpg"])]
 
 
+def test_jsonld_years_distances_and_prices(spark):
+    one = lambda k, said: f'<script type="application/ld+json">{{"@type": "Car", "name": "2018 Kia Rio {k}", "url": "/{k}", {said}}}</script>'
+    said = [
+        '"price": 5, "vehicleModelDate": "new", "productionDate": "2016"', '"price": 5, "productionDate": 2016.0, "mileageFromOdometer": {"value": 0}', '"price": 5, "vehicleModelDate": null, "mileageFromOdometer": {"value": "0"}',
+        '"offers": {"lowPrice": 4.5e5}, "mileageFromOdometer": {"value": 1200.4}', '"offers": {"price": null, "lowPrice": "4.5 lakh"}, "price": 7, "mileageFromOdometer": {"value": "1,200 km"}', '"offers": {"price": 0}, "price": 7', '"offers": {"price": "call"}',
+    ]
+    pages = spark.createDataFrame([("p", "".join(one(k, x) for k, x in enumerate(said)))], "url string, html string")
+    got = {int(r["source_url"][-1]): (r["year"], float(r["price"]), r["km_driven"]) for r in jsonld.products(pages, "https://b", "C", "s").collect()}
+    assert got == {0: (None, 5.0, None), 1: (2016, 5.0, None), 2: (2018, 5.0, 0), 3: (2018, 450000.0, 1200), 4: (2018, 450000.0, 1200)}
+
+
+def test_two_captures_of_one_page(spark):
+    car = '<script type="application/ld+json">{"@type": "Car", "name": "2018 Kia Rio", "price": 5, "url": "/u"}</script>'
+    card = '<div class="listingCard"><h3>2019 Kia X</h3><p class="price">5</p><a href="/used-car-details/z">x</a></div>'
+    pages = spark.createDataFrame([("p", car + card), ("p", card), ("q", None)], "url string, html string")
+    assert sorted(r["source_url"] for r in elements.products_or_cards(pages, "https://b", "/s", "C", "x").collect()) == ["https://b/u", "https://b/used-car-details/z"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(n % 5, n, n if n % 3 else None) for n in range(60)]
     schema = "k int, n int, c int"
