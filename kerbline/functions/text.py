@@ -3,6 +3,8 @@ Column in, Column out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,17 +32,18 @@ def _hundredths(value: Column) -> Column:
     return (value.cast("decimal(18,2)") * 100).cast("long")
 
 
-def _decimals(hundredths: Column) -> Column:
-    """What stands after the point, with it, without zeros that say nothing."""
-    rest = F.abs(hundredths) % 100
+def _decimals(rest: Column) -> Column:
+    """What stands after the point, with it, without zeros that say nothing; rest is 0 to 99."""
     return F.when(rest == 0, "").when(rest % 10 == 0, F.concat(F.lit("."), F.floor(rest / 10).cast("string"))).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
 
 
 def plain_number(value: Column) -> Column:
     """A decimal as text, without zeros after the point that say nothing."""
-    cents = _hundredths(value)
-    sign = F.when(cents < 0, "-").otherwise("")
-    return F.concat(sign, F.floor(F.abs(cents) / 100).cast("string"), _decimals(cents))
+
+    def said(cents: Column) -> Column:
+        return F.concat(F.when(cents < 0, "-").otherwise(""), F.floor(F.abs(cents) / 100).cast("string"), _decimals(F.abs(cents) % 100))
+
+    return _once(_hundredths(value), said)
 
 
 def without_first(text: Column, part: Column) -> Column:
@@ -277,26 +280,40 @@ def is_retryable(message: Column) -> Column:
 # -- display -----------------------------------------------------------------------------------
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it stands in there. Spark shares nothing
+    between the branches of a conditional, and long ones grow beyond what the JVM compiles."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _grouped(n: Column) -> Column:
+    part = lambda unit: F.lpad((F.floor(n / unit) % 100).cast("string"), 2, "0")
+    tail = F.concat(F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))
+    long = F.regexp_replace(n.cast("string"), r"(\d)(?=(\d{2})*\d{3}$)", "$1,")
+    return (
+        F.when((n > -1000) & (n < 1000), n.cast("string"))
+        .when((n >= 0) & (n < 100_000), F.concat(F.floor(n / 1000).cast("string"), tail))
+        .when((n >= 0) & (n < 10_000_000), F.concat(F.floor(n / 100_000).cast("string"), F.lit(","), part(1000), tail))
+        .otherwise(long)
+    )
+
+
 def grouped_digits(number: Column) -> Column:
     """Indian digit groups of a whole number: the last three, then pairs."""
-    digits = number.cast("string")
-    thousands, rest = F.floor(number / 1000).cast("string"), F.lpad((number % 1000).cast("string"), 3, "0")
-    long = F.regexp_replace(digits, r"(\d)(?=(\d{2})*\d{3}$)", "$1,")
-    return F.when((number > -1000) & (number < 1000), digits).when((number >= 0) & (number < 100000), F.concat(thousands, F.lit(","), rest)).otherwise(long)
+    return _once(number, _grouped)
 
 
 def format_price(price: Column) -> Column:
     """Crore and lakh with two decimals, else grouped digits with the decimals that say something."""
-    cents = _hundredths(price)
-    rounded = lambda unit: F.floor((cents + unit // 2) / unit).cast("long")  # noqa: E731  hundredths of a unit of so many rupees
     two = lambda n: F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
-    sign = F.when(cents < 0, "-").otherwise("")
-    return (
-        F.when(price.isNull(), "Price on request")
-        .when(price >= 10000000, F.concat(two(rounded(10000000)), F.lit(" Cr")))
-        .when(price >= 100000, F.concat(two(rounded(100000)), F.lit(" L")))
-        .otherwise(F.concat(sign, grouped_digits(F.floor(F.abs(cents) / 100).cast("long")), _decimals(cents)))
-    )
+    # hundredths of a unit of so many rupees
+    rounded = lambda cents, unit, name: F.concat(_once(F.floor((cents + unit // 2) / unit).cast("long"), two), F.lit(name))
+
+    def said(cents: Column) -> Column:
+        small = F.concat(F.when(cents < 0, "-").otherwise(""), grouped_digits(F.floor(F.abs(cents) / 100).cast("long")), _once(F.abs(cents) % 100, _decimals))
+        return F.when(cents >= 1_000_000_000, rounded(cents, 10_000_000, " Cr")).when(cents >= 10_000_000, rounded(cents, 100_000, " L")).otherwise(small)
+
+    return F.coalesce(_once(_hundredths(price), said), F.lit("Price on request"))
 
 
 def is_priced(price: Column) -> Column:
