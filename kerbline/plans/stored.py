@@ -13,6 +13,7 @@ from kerbline.operators.stored import Folder, KeyedTable, StoredLog, work_folder
 from kerbline.plans.browse import _FEATURED, SHOWN
 from kerbline.plans.ingest import _FOLD_SQL, _LOG, _SHAPE, _log
 from kerbline.plans.registry import query
+from kerbline.sources import paged
 from kerbline.sources.marketplace import DEALERS_SQL, LISTINGS_SQL, dealers, listings, read
 from kerbline.streaming.merge import distinct_within, merge_stream
 from kerbline.streaming.recheck import recheck_stream
@@ -142,6 +143,21 @@ def deep_page(spark, d):
     return order.page(order.total() // 48 + 1).select(SHOWN)
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT (p_partkey - 1) // 50 + 1 AS page FROM part)
+SELECT 'a' AS source, page::INT AS page, 'listingCard ' || page AS said FROM p WHERE page < 7 UNION ALL SELECT 'b', page::INT, 'listingCard ' || page FROM p WHERE page <= 20"""
+)
+def paged_source(spark, d):
+    """Result pages of two sources, as they were captured: one has an empty page, the other more than are read."""
+    paged.register(spark)
+    root = work_folder(spark, "captured")
+    numbers = read(spark, d, "part").selectExpr("CAST((p_partkey - 1) div 50 + 1 AS INT) AS page").distinct()
+    pages = numbers.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source"), "page")
+    empty = (F.col("source") == "a") & (F.col("page") == 7)
+    pages.withColumn("value", F.when(empty, "<p>no cars</p>").otherwise(F.concat(F.lit("listingCard "), "page"))).write.partitionBy("source", "page").text(root)
+    return spark.read.format(paged.FORMAT).load(root).select("source", "page", F.trim(F.regexp_replace("html", r"\s+$", "")).alias("said"))
+
+
 # -- streams -----------------------------------------------------------------------------------
 
 

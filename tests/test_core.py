@@ -7,13 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
+from kerbline.operators import directory as D
 from kerbline.operators import incremental as I
 from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
-from kerbline.operators.stored import KeyedTable, StoredLog
-from kerbline.sources import elements, jsonld, posts
+from kerbline.operators.paging import StoredOrder
+from kerbline.operators.stored import Folder, KeyedTable, StoredLog
+from kerbline.sources import elements, jsonld, paged, posts
 from kerbline.sources.markup import tokens
 from kerbline.streaming.merge import distinct_within, merge_stream
 from kerbline.streaming.recheck import recheck_stream
@@ -235,6 +237,62 @@ def test_ranks_of_one_huge_group(spark):
         I.ranks(df, "n", ["k"])
 
 
+def test_paged_source(spark, tmp_path):
+    paged.register(spark)
+
+    def capture(source, page, html):
+        folder = tmp_path / "in" / f"source={source}" / f"page={page}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_bytes(html)
+
+    for page in (1, 2):
+        capture("a", page, b"listingCard")
+    capture("a", 3, b"none")
+    capture("a", 4, b"\xff listingCard")  # would fail if it were read
+    capture("b", 1, b"itemBox \xc3\xa9")
+    capture("b", 3, b"\xff")  # page 2 is missing
+    capture("c", 1, b"")
+    rows = lambda df: sorted((r["source"], r["page"]) for r in df.collect())
+    load = lambda **o: spark.read.format("captured_pages").options(**o).load(f"file://{tmp_path}/in")
+    assert rows(load()) == [("a", 1), ("a", 2), ("b", 1)] and rows(load(mostPages=1)) == [("a", 1), ("b", 1)] and rows(load(listing="item")) == [("b", 1)]
+    assert load().where("source = 'b'").first()["html"] == "itemBox \u00e9"
+    assert spark.read.format("captured_pages").load(f"file://{tmp_path}/nothing").count() == 0
+
+    def run():
+        stream = spark.readStream.format("captured_pages").load(f"file://{tmp_path}/in")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(once=True).start().awaitTermination()
+        return rows(spark.read.parquet(f"{tmp_path}/out"))
+
+    assert run() == [("a", 1), ("a", 2), ("b", 1)]
+    (tmp_path / "in" / "source=b" / "page=3" / "part-0.txt").write_bytes(b"itemBox")
+    capture("b", 2, b"itemBox")
+    assert run() == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
+
+
+def test_deep_pages(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id", "id % 7 AS price").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    order = StoredOrder.build(rows, f"file://{tmp_path}/o", S.sorted_by("price", True))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [r["id"] for r in rows.orderBy(*S.sorted_by("price", True)).collect()]
+    for page in (1, 2, 41, 83, 84, 85):
+        assert [r["id"] for r in order.page(page).collect()] == want[(page - 1) * 24 : page * 24]
+    files = order.folder.read_json("index.json")["files"]
+    assert order.total() == 2000 and len(files) > 1 and all(len(order.files_of(k)[0]) <= 2 for k in range(1, 84))
+    with pytest.raises(ValueError):
+        order.page(0)
+    assert StoredOrder.build(rows.limit(0), f"file://{tmp_path}/e", S.sorted_by("price", True)).page(1).count() == 0
+
+
+def test_sitemap_files(spark, tmp_path):
+    entries = spark.range(25).selectExpr("concat('/d/', id, '?a=1&b') AS url", "'daily' AS change").coalesce(1)
+    folder = Folder(spark, f"file://{tmp_path}/s")
+    files = D.export_sitemap(entries, folder, "https://c", size=10)
+    assert len(files) >= 3 and files == D.export_sitemap(entries.limit(0), folder, "https://c", size=10)
+    texts = [(tmp_path / "s" / "urls" / f).read_text() for f in files]
+    assert all(t.count("<url>") <= 10 and "sitemaps.org" in t for t in texts) and sum(t.count("<url>") for t in texts) == 25 and "a=1&amp;b" in texts[0]
+
+
 def test_recheck_stream_equals_batch(spark, tmp_path):
     rng = random.Random(8)
     rows = sorted((rng.randrange(5), rng.randrange(12_000), n) for n in range(400))
