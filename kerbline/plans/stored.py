@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import directory as D
 from kerbline.operators import ledger as L
+from kerbline.operators import migrate as M
 from kerbline.operators import runs as R
 from kerbline.operators import search as S
+from kerbline.operators import versions as V
 from kerbline.operators.paging import StoredOrder
 from kerbline.operators.stored import Folder, KeyedTable, StoredLog, work_folder
 from kerbline.plans.browse import _FEATURED, SHOWN
-from kerbline.plans.ingest import _FOLD_SQL, _LOG, _SHAPE, _log
+from kerbline.plans.ingest import _FOLD_SQL, _LOG, _SHAPE, _STEPS, _log, _tables
 from kerbline.plans.registry import query
 from kerbline.sources import paged
 from kerbline.sources.marketplace import DEALERS_SQL, LISTINGS_SQL, dealers, listings, read
@@ -158,6 +160,21 @@ def paged_source(spark, d):
     return spark.read.format(paged.FORMAT).load(root).select("source", "page", F.trim(F.regexp_replace("html", r"\s+$", "")).alias("said"))
 
 
+@query(
+    f"""WITH {_STEPS} SELECT o.id, a.slug AS dealer_slug, CASE WHEN a.slug IS NULL THEN NULL WHEN platform = 'social' THEN 'instagram_dealer' WHEN platform = 'source-a' THEN 'marketplace_aggregator' ELSE 'other' END AS source_type,
+ o.id::VARCHAR AS handle_number, 6 AS n_steps FROM own o LEFT JOIN all_dealers a ON a.slug = CASE WHEN platform = 'source-a' THEN platform ELSE o.slug END"""
+)
+def stored_migration(spark, d):
+    """Sources after the journal and changes of columns, run twice over stored tables that keep their constraints."""
+    stored = V.StoredTables(spark, work_folder(spark, "tables"), [V.Unique("dealers", "slug"), V.Restrict("sources", "dealer_slug", "dealers", "slug")])
+    given = _tables(spark, d)
+    first = ("0000_given", lambda _: given | {"dealers": given["dealers"].drop("profile_url"), "sources": given["sources"].withColumn("handle_number", F.col("id"))})
+    steps = [first, M.JOURNAL[0], ("0001_profile_url", V.add_column("dealers", "profile_url", "string")), *M.JOURNAL[1:], ("0004_handle_number", V.change_column("sources", "handle_number", "string"))]
+    for _ in range(2):
+        stored.migrate(steps)
+    return stored.read()["sources"].select("id", "dealer_slug", "source_type", "handle_number", F.lit(len(stored.journal())).alias("n_steps"))
+
+
 # -- streams -----------------------------------------------------------------------------------
 
 

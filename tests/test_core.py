@@ -13,6 +13,7 @@ from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
+from kerbline.operators import versions as V
 from kerbline.operators.paging import StoredOrder
 from kerbline.operators.stored import Folder, KeyedTable, StoredLog
 from kerbline.sources import elements, jsonld, paged, posts
@@ -237,6 +238,22 @@ def test_ranks_of_one_huge_group(spark):
         I.ranks(df, "n", ["k"])
 
 
+def test_stored_migrations(spark, tmp_path):
+    stored = V.StoredTables(spark, f"file://{tmp_path}/t", [V.Unique("a", "k"), V.Restrict("b", "k", "a", "k")])
+    a, b = spark.createDataFrame([(1, "7"), (2, "x")], "k int, v string"), spark.createDataFrame([(1,), (None,)], "k int")
+    assert stored.migrate([("given", lambda _: {"a": a, "b": b})]) == ["given"] and stored.journal() == ["given"]
+    steps = [("given", lambda _: 1 / 0), ("more", V.add_column("a", "n", "int", 5))]
+    assert stored.migrate(steps) == ["more"] and stored.migrate(steps) == [] and {r["n"] for r in stored.read()["a"].collect()} == {5}
+    for step, wrong in (("dangling", lambda t: t | {"a": t["a"].where("k <> 1")}), ("twice", lambda t: t | {"a": t["a"].unionAll(t["a"])})):
+        with pytest.raises(V.Broken):
+            stored.migrate([(step, wrong)])
+    with pytest.raises(Exception, match="is no int"):
+        stored.migrate([("kind", V.change_column("a", "v", "int"))])
+    assert stored.journal() == ["given", "more"] and stored.read()["a"].count() == 2
+    assert stored.migrate([("drop", V.drop_column("a", "v")), ("unused", lambda t: t | {"a": t["a"].where("k <> 2")})]) == ["drop", "unused"]
+    assert [tuple(r) for r in stored.read()["a"].collect()] == [(1, 5)] and stored.manifest()["tables"]["b"].startswith("tables/b-given-")
+
+
 def test_paged_source(spark, tmp_path):
     paged.register(spark)
 
