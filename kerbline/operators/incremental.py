@@ -160,10 +160,12 @@ def successors(times: DataFrame, hours: int = RECHECK_HOURS) -> DataFrame:
     both = times.select("k", F.col("t").alias("at"), F.lit(0).alias("asks")).unionByName(times.select("k", (F.col("t") + wait).alias("at"), F.lit(1).alias("asks")))
     slotted = both.withColumn("slot", F.floor(F.col("at") / SLOT))
     slots = slotted.groupBy("k", "slot").agg(F.min(F.when(F.col("asks") == 0, F.col("at"))).alias("least"))
-    ahead = F.first("least", ignorenulls=True).over(Window.partitionBy("k").orderBy("slot").rowsBetween(1, Window.unboundedFollowing))
+    # read from the end: a frame that looks ahead is computed anew for each row, one that looks back is carried on
+    behind = (Window.unboundedPreceding, -1)
+    ahead = F.last("least", ignorenulls=True).over(Window.partitionBy("k").orderBy(F.desc("slot")).rowsBetween(*behind))
     slots = slots.select("k", "slot", ahead.alias("beyond"))
     # at one moment times stand before what asks for a later one
-    here = F.first(F.when(F.col("asks") == 0, F.col("at")), ignorenulls=True).over(Window.partitionBy("k", "slot").orderBy("at", "asks").rowsBetween(1, Window.unboundedFollowing))
+    here = F.last(F.when(F.col("asks") == 0, F.col("at")), ignorenulls=True).over(Window.partitionBy("k", "slot").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(*behind))
     met = slotted.withColumn("here", here).where("asks = 1").join(slots, ["k", "slot"])
     return met.select("k", (F.col("at") - wait).alias("t"), F.coalesce("here", "beyond").alias("next"))
 

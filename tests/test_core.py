@@ -107,6 +107,20 @@ def test_recheck(spark):
     assert got == {("a", 0): True, ("a", 48): False, ("a", 48.0003): True, ("a", 30): False, ("a", 60): False, ("a", 90): False, ("a", 96.001): True, ("a", None): False, (None, 0): False, ("b", 5): True}
 
 
+@pytest.mark.parametrize("step", [60_000_000, 100])
+def test_successors_of_a_long_key(spark, step):
+    """A key over 200,000 slots, and one with 200,000 times in a few slots: time must not grow with their square."""
+    n, hours = 200_000, 1 if step > 1000 else 0
+    times = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * step + F.pmod(F.xxhash64("id"), F.lit(step))).alias("t"))
+    begin = time.time()
+    got = I.successors(times, hours).toPandas().sort_values("t")
+    assert time.time() - begin < 60
+    own = got["t"].to_numpy()
+    at = own.searchsorted(own + hours * 3_600_000_000, side="right")
+    want = [int(own[k]) if k < n else None for k in at]
+    assert len(own) == n and [None if x != x else int(x) for x in got["next"]] == want
+
+
 def test_recheck_matches_a_row_by_row_model(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(3), rng.randrange(4000)) for _ in range(3000)]
