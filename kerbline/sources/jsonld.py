@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
+from kerbline.operators.spread import spread
 
 _BLOCK = r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'
 
 
 def blocks(pages: DataFrame, *keep: str) -> DataFrame:
     """(url, keep, html) -> url, keep, block, root: JSON-LD blocks of each page; malformed ones have no row."""
-    found = pages.select("url", *keep, F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "json"))
+    told = spread(pages.select("url", *keep, "html"), "url", "html")
+    found = told.select("url", *keep, F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "json"))
     return _once(found, ["url", *keep, "block"], root=F.try_parse_json("json")).where("root IS NOT NULL")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import text as T
+from kerbline.operators.spread import spread
 from kerbline.sources.markup import tokens
 
 LINKS_PER_PROFILE, IMAGES_PER_POST, IMAGES_TO_READ = 20, 8, 2
@@ -57,7 +58,7 @@ def _said_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def page_elements(pages: DataFrame, *columns: str) -> DataFrame:
     """(columns, html) -> the same and what the page's elements say, references decoded, attributes in any
     order and quotes. A null or empty page says nothing."""
-    own = pages.select(*columns, "html")
+    own = spread(pages.select(*columns, "html"), *columns, "html")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     return own.mapInPandas(_said_rows, f"{kept}, {_SAID}")
 

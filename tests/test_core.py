@@ -387,6 +387,18 @@ def test_elements(spark):
     assert elements.result_cards(pages.limit(0), "https://b").count() == 0
 
 
+def test_pages_of_one_file_over_all_tasks(spark):
+    """Details, result cards and listed cards, structured data and posts: one input task must not stay one."""
+    card = '<div class="listingCard"><h3>2019 Kia X</h3><p class="price">5</p></div>'
+    rows = spark.range(40).selectExpr("concat('p', id div 2) AS url", f"concat('{card}<b data-aut-id=\"profileName\">n', id div 2, '</b>') AS html")
+    pages = spark.createDataFrame(rows.coalesce(1).collect(), rows.schema).coalesce(1)
+    assert pages.rdd.getNumPartitions() == 1
+    read = [elements.details_pages(pages), elements.result_cards(pages, "https://b"), elements.listed_cards(pages, "https://b", "/s"), jsonld.blocks(pages), posts.page_elements(pages, "url")]
+    assert all(df.rdd.getNumPartitions() >= 4 for df in read)
+    # copies of a page keep a row each
+    assert sorted((r["url"], r["seller_name"]) for r in read[0].collect()) == sorted((f"p{k // 2}", f"n{k // 2}") for k in range(40)) and read[2].count() == 40
+
+
 def test_pages_with_open_elements():
     """What a browser's tree holds: (tag, text, number of the parent)."""
     known = {
