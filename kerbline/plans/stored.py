@@ -156,7 +156,7 @@ def paged_source(spark, d):
     numbers = read(spark, d, "part").selectExpr("CAST((p_partkey - 1) div 50 + 1 AS INT) AS page").distinct()
     pages = numbers.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source"), "page")
     empty = (F.col("source") == "a") & (F.col("page") == 7)
-    pages.withColumn("value", F.when(empty, "<p>no cars</p>").otherwise(F.concat(F.lit("listingCard "), "page"))).write.partitionBy("source", "page").text(root)
+    paged.capture(pages.withColumn("html", F.when(empty, "<p>no cars</p>").otherwise(F.concat(F.lit("listingCard "), "page"))), root)
     return spark.read.format(paged.FORMAT).load(root).select("source", "page", F.trim(F.regexp_replace("html", r"\s+$", "")).alias("said"))
 
 

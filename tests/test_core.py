@@ -300,6 +300,25 @@ def test_paged_source(spark, tmp_path):
     assert run() == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
 
 
+def test_captured_ranges_of_pages(spark, tmp_path):
+    paged.register(spark)
+    root = f"file://{tmp_path}/in"
+    html = F.when(F.col("page") == 1003, "none").otherwise(F.concat(F.lit("itemBox "), "page"))
+    pages = spark.range(3000).selectExpr("CAST(2999 - id AS INT) + 1 AS page", "substr(CAST(id AS STRING), 1, 0) || 'a' AS source").withColumn("html", html)
+    paged.capture(pages.where("page <> 700"), root)
+    load = lambda **o: spark.read.format("captured_pages").options(**o).load(root)
+    files = list((tmp_path / "in").rglob("*.parquet"))
+    assert len(files) == 6  # a file for a range, not for a page
+    assert all((n := [r["page"] for r in spark.read.parquet(f"file://{f}").collect()]) == sorted(n) for f in files)
+    assert sorted(r["page"] for r in load().collect()) == list(range(1, 21)) and load(mostPages=5000).count() == 699  # page 700 is missing
+    paged.capture(pages.where("page = 700"), root)  # comes later
+    spark.createDataFrame([(1002, "itemBox 1002"), (1001, "itemBox 1001")], "page int, html string").coalesce(1).write.parquet(f"{root}/source=d/pages=1001")
+    paged.capture(spark.range(1, 1001).selectExpr("'d' AS source", "CAST(id AS INT) AS page", "'itemBox' AS html"), root)
+    paged.capture(spark.createDataFrame([("b", 1, "itemBox"), ("b", 3, "itemBox"), ("c", 1, None)], "source string, page int, html string"), root)
+    rows = load(mostPages=5000).collect()
+    assert sorted((r["source"], r["page"]) for r in rows) == [("a", n) for n in range(1, 1003)] + [("b", 1)] + [("d", n) for n in range(1, 1003)] and all(r["html"] in ("itemBox", f"itemBox {r['page']}") for r in rows)
+
+
 def test_deep_pages(spark, tmp_path):
     rows = spark.range(2000).selectExpr("id", "id % 7 AS price").repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
