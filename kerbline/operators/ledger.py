@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,62 @@ def started(run_id: str, source: str, at: str, spark) -> DataFrame:
 RUNS = "run_id string, source_platform string, status string, at string, found long, new long, updated long, rejected long, rejection_reasons string, error_message string"
 
 
+#: Entries of runs whose report is kept beside them, a row for each line.
+ENTRIES = RUNS.split(", rejection_reasons")[0]
+LINES = "run string, section string, position struct<n:long,by:string>, line string"
+
+
 def run_status(n_source_errors: int, n_rejected: int) -> str:
     return "completed_with_errors" if n_source_errors or n_rejected else "completed"
 
 
+def report_chunks(lines: DataFrame) -> DataFrame:
+    """LINES -> run, section, range, number, text: each report in pieces, whose order is that of the columns.
+    Lines are sorted by ranges, so no report comes together in one task; a piece ends without a line break."""
+
+    schema = pa.schema([("run", pa.string()), ("section", pa.string()), ("range", pa.int32()), ("number", pa.int64()), ("text", pa.string())])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            pieces: dict[tuple, list[str]] = {}
+            for row in zip(*(batch.column(c).to_pylist() for c in ("run", "section", "range", "line")), strict=True):
+                pieces.setdefault(row[:3], []).append(row[3])
+            rows = [(*place, number, "\n".join(said)) for place, said in pieces.items()]
+            yield pa.record_batch([pa.array([row[k] for row in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    ordered = lines.where("line IS NOT NULL").orderBy("run", "section", "position.n", "position.by", "line")
+    return ordered.select("run", "section", "line", F.spark_partition_id().alias("range")).mapInArrow(texts, "run string, section string, range int, number long, text string")
+
+
+def report_digests(lines: DataFrame) -> DataFrame:
+    """LINES -> run, reasons_md5, message_md5: md5 of the rejections by line break, and of the message as
+    `quality.error_message` words it, over the whole texts. A digest takes a report piece by piece, in order."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, said, done = None, {}, []
+
+        def end() -> None:
+            if run is not None:
+                done.append((run, reasons.hexdigest() if said.get("rejection") else None, message.hexdigest()))
+
+        for batch in batches:
+            for name, section, text in zip(*(batch.column(c).to_pylist() for c in ("run", "section", "text")), strict=True):
+                if name != run:
+                    end()
+                    run, said, reasons, message = name, {}, hashlib.md5(), hashlib.md5()
+                heading = "Validation rejections:\n" if section == "rejection" else ""
+                before = "\n" if said.get(section) else ("\n\n" if said else "") + heading
+                message.update((before + text).encode())
+                if section == "rejection":
+                    reasons.update((("\n" if said.get(section) else "") + text).encode())
+                said[section] = True
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in done], pa.string()) for k in range(3)], ["run", "reasons_md5", "message_md5"])
+
+    pieces = report_chunks(lines).repartition("run").sortWithinPartitions("run", "section", "range", "number")
+    return pieces.select("run", "section", "text").mapInArrow(digests, "run string, reasons_md5 string, message_md5 string")
+
+
 def current(entries: DataFrame, key: str, order: str) -> DataFrame:
     """Last entry of each id; started_at is the time of its first."""
     rest = [c for c in entries.columns if c not in (key, order)]

@@ -14,6 +14,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.operators.spread import tasks
 from kerbline.operators.upsert import fold_into
 
 
@@ -170,6 +171,15 @@ class KeyedTable:
     def part(self) -> Column:
         return F.pmod(F.xxhash64(*self.shape["keys"]), F.lit(self.parts)).cast("int")
 
+    def dealt(self, rows: DataFrame, *beside: str) -> DataFrame:
+        """Rows over all tasks, those of one part in tasks of their own, so that a staged part has few files.
+        `beside` columns are hashed with the keys, lest a key that holds much of the batch be one task."""
+        own = -(-tasks(self.spark) // self.parts)
+        kinds = self._rows([]).schema
+        keys = [F.col(k).cast(kinds[k].dataType) for k in self.shape["keys"]]
+        place = F.pmod(F.xxhash64(*keys), F.lit(self.parts)) + self.parts * F.pmod(F.hash(*keys, *beside), F.lit(own))
+        return rows.repartitionById(self.parts * own, place.cast("int"))
+
     def stage(self, batch: DataFrame) -> str:
         """Writes a batch by part, once; `merge_staged` reads each part from there."""
         name = f"staged/{uuid.uuid4().hex}"

@@ -28,9 +28,11 @@ def fold(log: DataFrame, keys: Sequence[str], seq: Sequence[str], first: Sequenc
 
 def fold_into(target: DataFrame, log: DataFrame, keys: Sequence[str], seq: Sequence[str], first: Sequence[str], last: Sequence[str], last_known: Sequence[str] = ()) -> DataFrame:
     """Target after a batch, with is_new (the key wasn't there). A replay of the batch changes nothing else."""
-    new = fold(log, keys, seq, first, last, last_known)
-    t, n = target.alias("t"), new.alias("n")
-    joined = t.join(n, on=[F.col(f"t.{k}") == F.col(f"n.{k}") for k in keys], how="full")
+    # rows are sorted by a hash first: keys often begin alike, and whole texts cost much to compare
+    hashed, placed = F.xxhash64(*keys), ["__hash", *keys]
+    new = fold(log.withColumn("__hash", hashed), placed, seq, first, last, last_known)
+    t, n = target.withColumn("__hash", hashed).alias("t"), new.alias("n")
+    joined = t.join(n, on=[F.col(f"t.{k}") == F.col(f"n.{k}") for k in placed], how="full")
     there, comes = F.col(f"t.{keys[0]}").isNotNull(), F.col(f"n.{keys[0]}").isNotNull()
     pick = lambda c, old, new: F.when(old, F.col(f"t.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     return joined.select(

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbline.operators import directory as D
-from kerbline.operators import ledger as L
 from kerbline.operators import migrate as M
 from kerbline.operators import runs as R
 from kerbline.operators import search as S
 from kerbline.operators import versions as V
 from kerbline.operators.paging import StoredOrder
-from kerbline.operators.stored import Folder, KeyedTable, StoredLog, work_folder
+from kerbline.operators.stored import Folder, KeyedTable, Saved, StoredLog, work_folder
 from kerbline.plans.browse import _FEATURED, SHOWN
 from kerbline.plans.ingest import _FOLD_SQL, _LOG, _SHAPE, _STEPS, _log, _tables
 from kerbline.plans.registry import query
@@ -50,11 +49,11 @@ def _columns(n: int) -> list[str]:
 
 def _after_runs(spark, d):
     """Three runs of one source, the second of them twice."""
-    every = listings(spark, d)
+    every = Saved(spark, "every").save(listings(spark, d, over_tasks=True).select("id", "source_url", "make", "model", "year", "city", "price", "km_driven", "dealer_id"))
     sources = spark.createDataFrame([("source-0", "source-0", 90, 900), ("source-1", "other", 91, 901)], "platform string, handle string, dealer_source_id long, dealer_id long")
     root = work_folder(spark, "listings")
     table = R.listing_table(spark, f"{root}/table", parts=16)
-    runs = StoredLog(spark, f"{root}/runs", L.RUNS)
+    runs = R.RunLog(spark, f"{root}/runs")
     for n in (0, 1, 1, 2):
         found = every.where(f"(id + {n}) % 3 <> 0").selectExpr(*_columns(n))
         problems = spark.createDataFrame([("https://b/1", "timeout", 0), ("https://b/2", "blocked", 1)], "url string, message string, position int") if n == 1 else None
@@ -108,7 +107,7 @@ SELECT 'source-0-' || n AS run_id, 'completed_with_errors' AS status, found, coa
 )
 def stored_runs(spark, d):
     _, runs = _after_runs(spark, d)
-    return runs.read().select("run_id", "status", "found", "new", "updated", "rejected", F.md5("rejection_reasons").alias("reasons_md5"), F.md5("error_message").alias("message_md5"))
+    return runs.read().select("run_id", "status", "found", "new", "updated", "rejected", "reasons_md5", "message_md5")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.operators.spread import spread
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,9 +67,10 @@ def _select(columns: dict[str, str]) -> list[str]:
     return [f"{sql} AS {name}" for name, sql in columns.items()]
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order."""
+def listings(spark: SparkSession, sf_dir: str, over_tasks: bool = False) -> DataFrame:
+    """One row per order; `over_tasks` spreads the orders before anything is made of them."""
     o, c, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    o = spread(o, "o_orderkey") if over_tasks else o
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).selectExpr(*_select(_LISTING))
 
 

@@ -1,5 +1,6 @@
 """Edge rows of the marketplace operators that the test tables don't hold."""
 
+import hashlib
 import random
 import time
 
@@ -11,6 +12,7 @@ from kerbline.operators import directory as D
 from kerbline.operators import incremental as I
 from kerbline.operators import ledger as L
 from kerbline.operators import quality as Q
+from kerbline.operators import runs as R
 from kerbline.operators import search as S
 from kerbline.operators import upsert as U
 from kerbline.operators import versions as V
@@ -300,6 +302,27 @@ def test_paged_source(spark, tmp_path):
     assert run() == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
 
 
+def test_runs_over_all_tasks_and_their_reports(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    sources = spark.createDataFrame([("s", "s", 1, 2)], "platform string, handle string, dealer_source_id long, dealer_id long")
+    table, log = R.listing_table(spark, f"{root}/t", parts=2), R.RunLog(spark, f"{root}/log")
+    rows = spark.range(60, numPartitions=1).selectExpr("id", "'s' AS source_platform", "IF(id = 7, NULL, 'u' || id div 2) AS source_url", "IF(id % 3 = 0, '', 'Kia') AS make", "'Rio' AS model", "2000 AS year")
+    dealt = table.dealt(rows, "id").withColumn("task", F.spark_partition_id()).withColumn("part", table.part())
+    assert dealt.rdd.getNumPartitions() >= 4 and dealt.select("part", "task").distinct().groupBy("task").count().where("count > 1").count() == 0
+    problems = spark.createDataFrame([("x", "late", 1), ("w", "lost", 0)], "url string, message string, position int")
+    for number, given in ((0, rows), (0, rows), (1, rows.where("id = 1")), (2, rows.where("id = 1"))):
+        R.run_batch(table, log, given, sources, "s", number, "2024-01-01 00:00:00", 1999, ["id"], problems if number < 2 else None)
+    bad = [f"{'' if k == 7 else f'u{k // 2}'}: {'sourceUrl is missing' if k == 7 else 'make is empty'}" for k in range(60) if k % 3 == 0 or k == 7]
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    errors = "w: lost\nx: late"
+    got = {r["run_id"]: (r["found"], r["new"], r["updated"], r["rejected"], r["reasons_md5"], r["message_md5"]) for r in log.read().collect()}
+    assert got["s-0"] == (60, 29, 0, len(bad), digest("\n".join(bad)), digest(f"{errors}\n\nValidation rejections:\n" + "\n".join(bad)))
+    assert got["s-1"] == (1, 0, 1, 0, None, digest(errors)) and got["s-2"] == (1, 0, 1, 0, None, None) and len(got) == 3
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # reports in many pieces
+    assert {r["run_id"]: r["message_md5"] for r in log.read().collect()} == {k: v[5] for k, v in got.items()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_captured_ranges_of_pages(spark, tmp_path):
     paged.register(spark)
     root = f"file://{tmp_path}/in"
