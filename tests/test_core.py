@@ -441,6 +441,14 @@ def test_pages_of_one_file_over_all_tasks(spark):
     assert sorted((r["url"], r["seller_name"]) for r in read[0].collect()) == sorted((f"p{k // 2}", f"n{k // 2}") for k in range(40)) and read[2].count() == 40
 
 
+def test_boxes_within_boxes():
+    """The work of a page grows with its elements, not with the boxes that each of them stands in."""
+    for read, box in ((elements.card_texts, '<div class="card">'), (elements.card_texts, '<div data-aut-id="itemBox">'), (elements.listed_texts, '<div class="listingCard">')):
+        began = time.monotonic()
+        found = read(box * 8000 + '<h2 class="title">2019 Kia X</h2><i class="price">5</i><a href="/item/1">')
+        assert time.monotonic() - began < 10 and len(found) == 8000 and found[-1][:4] == ("2019 Kia X", "5", "", "" if read is elements.listed_texts else "/item/1")
+
+
 def test_pages_with_open_elements():
     """What a browser's tree holds: (tag, text, number of the parent)."""
     known = {
