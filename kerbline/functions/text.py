@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def leading_number(text: Column) -> Column:
     """Leading decimal number of a text, null where there is none."""
-    return F.regexp_extract(F.regexp_replace(text, r"^\s+", ""), r"^[+-]?(\d+\.?\d*|\.\d+)", 0).try_cast("double")
+    return F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
 
 
 def leading_int(text: Column) -> Column:
@@ -58,10 +58,13 @@ def without_first(text: Column, part: Column) -> Column:
 
 def parse_indian_price(text: Column) -> Column:
     """Rupees of a price text: lakh and crore are scaled and rounded, anything else is its leading number."""
-    plain = F.regexp_replace(F.lower(text), r"[₹,\s]", "")
-    lakh = leading_number(F.regexp_extract(plain, r"([\d.]+)(?:lakh|lac)", 1))
-    crore = leading_number(F.regexp_extract(plain, r"([\d.]+)(?:crore|cr)", 1))
-    return F.coalesce(F.round(lakh * 100000, 0), F.round(crore * 10000000, 0), leading_number(plain))
+
+    def said(plain: Column) -> Column:
+        lakh = leading_number(F.regexp_extract(plain, r"([\d.]+)(?:lakh|lac)", 1))
+        crore = leading_number(F.regexp_extract(plain, r"([\d.]+)(?:crore|cr)", 1))
+        return F.coalesce(F.round(lakh * 100000, 0), F.round(crore * 10000000, 0), leading_number(plain))
+
+    return _once(F.regexp_replace(F.lower(text), r"[₹,\s]", ""), said)
 
 
 def parse_km(text: Column) -> Column:
@@ -80,13 +83,13 @@ def parse_title(text: Column, wide: bool = False) -> Column:
     if wide:
         rest = F.regexp_replace(rest, r"(?i)\b(?:for\s+sale|used|second\s*hand|pre\s*owned)\b", "")
         rest = F.regexp_replace(rest, r"[\[\](){}]", "")
-    tokens = F.filter(F.split(trimmed(rest), r"\s+"), lambda t: t != "")
-    return F.struct(
-        _blank_to_null(F.regexp_extract(text, year, 0)).cast("int").alias("year"),
-        F.get(tokens, F.lit(0)).alias("make"),
-        F.get(tokens, F.lit(1)).alias("model"),
-        F.when(F.size(tokens) > 2, F.array_join(F.slice(tokens, 3, F.greatest(F.lit(0), F.size(tokens) - 2)), " ")).alias("variant"),
-    )
+    said = F.regexp_extract(text, year, 0).try_cast("int")
+
+    def parts(tokens: Column) -> Column:
+        variant = F.array_join(F.slice(tokens, 3, F.greatest(F.lit(0), F.size(tokens) - 2)), " ")
+        return F.struct(said.alias("year"), F.get(tokens, F.lit(0)).alias("make"), F.get(tokens, F.lit(1)).alias("model"), F.when(F.size(tokens) > 2, variant).alias("variant"))
+
+    return _once(F.filter(F.split(trimmed(rest), r"\s+"), lambda t: t != ""), parts)
 
 
 def variant_of(name: Column, year: Column, make: Column, model: Column) -> Column:

@@ -15,7 +15,7 @@ def blocks(pages: DataFrame, *keep: str) -> DataFrame:
     """(url, keep, html) -> url, keep, block, root: JSON-LD blocks of each page; malformed ones have no row."""
     told = spread(pages.select("url", *keep, "html"), "url", "html")
     found = told.select("url", *keep, F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "json"))
-    return _once(found, ["url", *keep, "block"], root=F.try_parse_json("json")).where("root IS NOT NULL")
+    return once(found, ["url", *keep, "block"], root=F.try_parse_json("json")).where("root IS NOT NULL")
 
 
 def _list(value: str, path: str) -> Column:
@@ -71,7 +71,7 @@ def cars(pages: DataFrame, city: str, platform: str) -> DataFrame:
     )
 
 
-def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """`keep` and computed columns; a generator stands between, so what is above works with their values
     instead of working them out again for each use."""
     return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__o")).select(*keep, "__o.*")
@@ -98,8 +98,8 @@ def products(pages: DataFrame, base: str, city: str, platform: str, page: str |
     opened = nodes.select("url", *own, "block", "at", F.posexplode(F.coalesce(_list("outer", "$.itemListElement"), F.array("outer"))).alias("within", "element"))
     node = F.coalesce(F.try_variant_get("element", "$.item", "variant"), F.col("element"))
     place = ["url", *own, "block", "at", "within"]
-    typed = _once(opened, place, node=node).where(_text('$["@type"]').isin("Car", "Product"))
-    said = _once(
+    typed = once(opened, place, node=node).where(_text('$["@type"]').isin("Car", "Product"))
+    said = once(
         typed, place, title=T.parse_title(F.coalesce(_text("$.name"), F.lit(""))), brand=F.nullif(_text("$.brand.name"), F.lit("")), dated=F.coalesce(_text("$.vehicleModelDate"), _text("$.productionDate")),
         price=_first_said("$.offers.price", "$.offers.lowPrice", "$.price"), km=_first_said("$.mileageFromOdometer.value"), fuel_type=F.coalesce(_text("$.fuelType"), _text("$.vehicleEngine.fuelType")),
         transmission=_text("$.vehicleTransmission"), link=F.coalesce(_text("$.url"), _text("$.offers.url"), F.lit("")), photos=_photos(),
@@ -109,7 +109,7 @@ def products(pages: DataFrame, base: str, city: str, platform: str, page: str |
     number = lambda c: F.col(f"{c}.json").try_cast("double")
     price = F.when(in_words("price"), T.parse_indian_price(F.col("price.text"))).otherwise(number("price"))
     km = F.when(in_words("km"), T.parse_km(F.col("km.text"))).when(number("km") != 0, F.round(number("km"), 0).try_cast("int"))
-    priced = _once(kept, [*place, "title", "brand", "dated", "fuel_type", "transmission", "link", "photos"], price=price.cast("decimal(12,2)"), km_driven=km).where("price <> 0")
+    priced = once(kept, [*place, "title", "brand", "dated", "fuel_type", "transmission", "link", "photos"], price=price.cast("decimal(12,2)"), km_driven=km).where("price <> 0")
     year = F.when(F.col("dated").isNotNull(), T.leading_int(F.col("dated"))).otherwise(F.col("title.year"))
     source_url = T.absolute_url(F.col("link"), base)
     return priced.select(

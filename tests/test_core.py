@@ -492,3 +492,12 @@ def test_posts(spark):
     assert got["b"]["images"] == [f"{cdn}/1.jpg?x=1&ig_cache_key=A"]
     assert [(got[h]["caption"], got[h]["images"], got[h]["media"], got[h]["is_reel"]) for h in "cd"] == [("", [], [], True), ("", [], [], False)]
     assert posts.profile_links(pages.limit(0), "https://s").count() == 0
+
+
+def test_titles_of_cards_are_read_once(spark):
+    pages = spark.createDataFrame([("p", '<div class="listingCard"><h3>2019 Kia X Y  Z</h3><p class="price">5</p></div><div class="listingCard"><h3>2019 Kia</h3><p class="price">99999999999</p></div>')], "url string, html string")
+    listed, cards = elements.listed_cards(pages, "https://b", "/s"), elements.result_cards(pages, "https://b")
+    for df in (listed, cards):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("^(.*?)") == 1 and plan.count("lakh|lac") == 1
+    assert [(r["make"], r["model"], r["variant"], r["year"], r["price"]) for r in listed.collect()] == [("Kia", "X", "Y Z", 2019, 5)]
